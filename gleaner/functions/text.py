@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-WS_CHARS = r"\s\x{00A0}\x{FEFF}\p{Z}"
+WS_CHARS = r"\s\x{000B}\x{00A0}\x{FEFF}\p{Z}"
 WS = f"[{WS_CHARS}]"
 
 # Sentence boundary, citation url and trailing punctuation (must equal the service's patterns).

@@ -1 +1,128 @@
-"""placeholder"""
+"""Registered queries: crawl triage (O12), decode (O36), truncation (D3), extraction (O38), quality (O13),
+fingerprints (O33), untrusted segments (O37)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import crawl as C
+from ..operators import extract as XT
+from ..sources import fixtures as FX
+from ..sources.tables import read
+from . import sqltext as Q
+from .registry import register
+
+MAXB = FX.CRAWL_MAX_BYTES
+
+TRIAGE_SQL = f"""(case when error_name is not null then (case when error_name = 'AbortError' then 'timeout' else 'transport_error' end)
+ when status < 200 or status >= 400 then 'non_2xx'
+ when content_type is not null and not (starts_with(lower(content_type), 'text/html') or starts_with(lower(content_type), 'application/xhtml')) then 'invalid_content_type'
+ when body is null then 'transport_error'
+ when strlen(body) > {MAXB} then 'over_size_cap' end)"""
+
+TRIAGED_SQL = f"""triaged as (select page_id, url as req_url, {TRIAGE_SQL} as reason,
+ case when error_name is not null then url else coalesce(nullif(final_url, ''), url) end as doc_url,
+ case when error_name is not null then {Q.origin('url')} else {Q.origin("coalesce(nullif(final_url, ''), url)", Q.origin('url'))} end as doc_origin,
+ case when error_name is not null then 0 else status end as doc_status,
+ case when error_name is not null then null else lower(content_type) end as doc_content_type,
+ body, error_name from crawl),
+triaged2 as (select *, reason is not null as low_signal,
+ cast(case when reason is null or reason = 'over_size_cap' then strlen(body) else 0 end as bigint) as byte_size,
+ case when reason is null then body else '' end as body_text from triaged)"""
+
+
+def triaged(spark, sf_dir):
+    return C.triage(FX.crawl(spark, sf_dir), max_bytes=MAXB)
+
+
+@register("crawl_triage", FX.with_ctes(FX.CRAWL_SQL, TRIAGED_SQL) + """select page_id, doc_url as url,
+ doc_origin as origin, cast(doc_status as bigint) as status, doc_content_type as content_type, byte_size,
+ low_signal, reason from triaged2""")
+def crawl_triage(spark, sf_dir):
+    t = triaged(spark, sf_dir)
+    return t.select("page_id", F.col("doc_url").alias("url"), F.col("doc_origin").alias("origin"),
+                    F.col("doc_status").cast("long").alias("status"), F.col("doc_content_type").alias("content_type"),
+                    "byte_size", "low_signal", "reason")
+
+
+@register("crawl_reason_counts", FX.with_ctes(FX.CRAWL_SQL, TRIAGED_SQL) + """select coalesce(reason, 'usable') as reason,
+ count(*) as n, cast(sum(byte_size) as bigint) as bytes from triaged2 group by 1""")
+def crawl_reason_counts(spark, sf_dir):
+    t = triaged(spark, sf_dir)
+    return (t.groupBy(F.coalesce("reason", F.lit("usable")).alias("reason"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("byte_size").cast("long").alias("bytes")))
+
+
+@register("decode_body", FX.with_ctes(FX.CRAWL_SQL, TRIAGED_SQL) + """select page_id, byte_size,
+ length(body_text) as n_chars, sha256(body_text) as text_sha256 from triaged2""")
+def decode_body(spark, sf_dir):
+    t = triaged(spark, sf_dir)
+    return t.select("page_id", "byte_size", F.length("body_text").cast("long").alias("n_chars"),
+                    X.sha256_hex("body_text").alias("text_sha256"))
+
+
+@register("body_truncate", FX.with_ctes(FX.CRAWL_SQL) + """select page_id, cast(1024 + (page_id % 5) * 2048 as bigint) as max_bytes,
+ cast(strlen(body) as bigint) as byte_size,
+ cast(least(strlen(body), 1024 + (page_id % 5) * 2048) as bigint) as kept_bytes,
+ strlen(body) > 1024 + (page_id % 5) * 2048 as truncated
+from crawl where body is not null""")
+def body_truncate(spark, sf_dir):
+    c = FX.crawl(spark, sf_dir).filter(F.col("body").isNotNull())
+    mb = (F.lit(1024) + (F.col("page_id") % 5) * 2048).cast("long")
+    t = C.truncate_body(F.col("body"), mb)
+    return c.select("page_id", mb.alias("max_bytes"), F.octet_length("body").cast("long").alias("byte_size"),
+                    t.kept_bytes.alias("kept_bytes"), t.truncated.alias("truncated"))
+
+
+_PT, _PX = XT.native_extract_sql("html")
+EXTRACT_PAGES_SQL = f"""ext as (select page_id, url, {_PT} as title, {_PX} as plaintext from pages)"""
+
+
+@register("page_extract", FX.with_ctes(EXTRACT_PAGES_SQL) + f"""select page_id, url, title, plaintext,
+ {XT.quality_sql('title', 'plaintext')} is not null as low_signal, {XT.quality_sql('title', 'plaintext')} as reason from ext""")
+def page_extract(spark, sf_dir):
+    p = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return XT.extract(p, "html").select("page_id", "url", "title", "plaintext", "low_signal", "reason")
+
+
+@register("page_extract_scored")
+def page_extract_scored(spark, sf_dir):
+    p = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return XT.extract_scored(p, "html").select("page_id", "url", "title", "plaintext", "low_signal", "reason")
+
+
+_CT, _CX = XT.native_extract_sql("body")
+EXTRACT_CRAWL_SQL = f"""cext as (select page_id, {_CT} as title, {_CX} as plaintext from crawl where body is not null)"""
+
+
+@register("page_quality", FX.with_ctes(FX.CRAWL_SQL, EXTRACT_CRAWL_SQL) + f"""select page_id, title,
+ {XT.quality_sql('title', 'plaintext')} is not null as low_signal, {XT.quality_sql('title', 'plaintext')} as reason,
+ cast(length(plaintext) as bigint) as n_chars from cext""")
+def page_quality(spark, sf_dir):
+    c = FX.crawl(spark, sf_dir).filter(F.col("body").isNotNull()).withColumn("html", X.decode_body(F.col("body")))
+    e = XT.extract(c, "html")
+    return e.select("page_id", "title", "low_signal", "reason", F.length("plaintext").cast("long").alias("n_chars"))
+
+
+@register("render_segments", FX.with_ctes(EXTRACT_PAGES_SQL) + f"""select page_id,
+ concat('<UNTRUSTED_WEB origin=', {Q.origin('url')}, ' sha256=', sha256(plaintext), '>' || chr(10),
+ replace(plaintext, '</UNTRUSTED_WEB>', '<!- UNTRUSTED_WEB-ESCAPED -!>'), chr(10) || '</UNTRUSTED_WEB>') as segment from ext""")
+def render_segments(spark, sf_dir):
+    from ..functions import urls as U
+    p = XT.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"), "html")
+    return p.select("page_id", X.render_segment(U.origin("url"), X.sha256_hex("plaintext"), F.col("plaintext"))
+                    .alias("segment"))
+
+
+@register("fingerprint", FX.with_ctes(FX.CRAWL_SQL, TRIAGED_SQL) + f""", fx as (select page_id, doc_url, reason as t_reason,
+ {_CT.replace('body', 'body_text')} as title, {_CX.replace('body', 'body_text')} as plaintext from triaged2)
+select page_id, doc_url as url,
+ case when t_reason is not null or {XT.quality_sql('title', 'plaintext')} is not null
+      then sha256('__low_signal__:' || doc_url) else sha256(plaintext) end as content_sha256 from fx""")
+def fingerprint(spark, sf_dir):
+    t = XT.extract(triaged(spark, sf_dir).withColumnRenamed("reason", "t_reason"), "body_text")
+    low = F.col("t_reason").isNotNull() | F.col("low_signal")
+    return t.select("page_id", F.col("doc_url").alias("url"),
+                    F.when(low, X.low_signal_sha(F.col("doc_url"))).otherwise(X.sha256_hex("plaintext"))
+                    .alias("content_sha256"))
