@@ -65,7 +65,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(et.isin("view", "purchase"), "web.search.v1").otherwise("web.fetch.v1").alias("contract_id"),
                     F.when(et == "signup", "realtime").otherwise("cached").alias("freshness"),
                     F.when(et == "error", "not-a-uuid").otherwise(VALID_TRACE_ID).alias("trace_id"),
-                    "url", "event_type", "user_id"))
+                    "url", "event_type", "user_id",
+                    F.concat(F.lit("agent:"), (F.col("user_id") % 7).cast("string")).alias("caller_agent_id"),
+                    F.concat(F.lit("pages about "), F.col("user_id").cast("string")).alias("query"),
+                    (F.lit(1) + F.col("event_id") % 10).cast("int").alias("top_n")))
+
+
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One NDJSON envelope line per request, with malformed, invalid and edge-case lines mixed in by rule."""
+    return requests(spark, sf_dir).select("seq", "ts", F.expr(LINE_EXPR).alias("value"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +111,8 @@ REQ_SQL = f"""req as (select e.event_id as seq, cast(e.ts as timestamp) as ts,
  case when e.event_type in ('view','purchase') then 'web.search.v1' else 'web.fetch.v1' end as contract_id,
  case when e.event_type = 'signup' then 'realtime' else 'cached' end as freshness,
  case when e.event_type = 'error' then 'not-a-uuid' else '{VALID_TRACE_ID}' end as trace_id,
- p.url, e.event_type, e.user_id
+ p.url, e.event_type, e.user_id, concat('agent:', cast(e.user_id % 7 as varchar)) as caller_agent_id,
+ concat('pages about ', cast(e.user_id as varchar)) as query, cast(1 + e.event_id % 10 as integer) as top_n
 from events e join pages p on p.page_id = e.event_id % {REQUEST_URL_POOL})"""
 
 ANS_SQL = """ans as (select page_id as doc_id, concat('Fact one is plain. See ', url, '. Also https://hallucinated.example/',
@@ -111,5 +120,33 @@ ANS_SQL = """ans as (select page_id as doc_id, concat('Fact one is plain. See ',
 from pages)"""
 
 
+# The NDJSON line rule, one SQL expression valid in both Spark SQL and DuckDB.
+LINE_EXPR = """case
+ when seq % 97 = 3 then 'not-json'
+ when seq % 89 = 5 then '{"contract_id": 5}'
+ when seq % 83 = 7 then '{"contract_id": "web.crawl.v1"}'
+ when seq % 79 = 11 then '{"contract_id": "web.fetch.v1"} x'
+ when seq % 73 = 13 then '[1, 2]'
+ when seq % 67 = 17 then '   '
+ when seq % 71 = 19 then 'null'
+ else concat('{"contract_id": "', contract_id, '", "trace_id": "', trace_id, '", "dedupe_key": "d', cast(seq as string),
+   '", "source_ref": "', source_ref, '", "caller_agent_id": "', caller_agent_id, '", ',
+   case when contract_id = 'web.search.v1' then concat(
+     '"query": "', case when seq % 61 = 19 then 'x' when seq % 59 = 23 then '  ' else query end,
+     '", "top_n": ', case when seq % 53 = 29 then '25' when seq % 47 = 31 then '5.0' when seq % 43 = 7 then '"3"'
+                          else cast(top_n as string) end,
+     ', "freshness": "', case when seq % 41 = 37 then 'hourly' else 'week' end, '"',
+     case when seq % 37 = 3 then ', "site_filter": ["example.com", "www.example.org"]'
+          when seq % 31 = 5 then ', "site_filter": ["example.net"]'
+          when seq % 29 = 7 then ', "site_filter": ["example.com", "example.com"]' else '' end)
+   else concat('"url": "', url, '", "freshness": "', freshness, '"',
+     case when seq % 23 = 7 then ', "max_bytes": 500' when seq % 19 = 3 then ', "max_bytes": 4096'
+          when seq % 17 = 5 then ', "extra": true' else '' end) end,
+   '}')
+end"""
+
+LINES_SQL = f"lines as (select seq, ts, {LINE_EXPR} as value from req)"
+
+
 def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
