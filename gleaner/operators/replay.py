@@ -52,3 +52,55 @@ def ttl_replay(log: DataFrame, url_col: str = "url", ts_col: str = "ts", seq_col
             yield pd.DataFrame({"seq": pdf["seq"], "url": pdf["url"], "hit": hit})
 
     return ordered.mapInPandas(fold, out_schema)
+
+
+def store_replay(requests: DataFrame, seeds: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Sequential store lookups of a request batch against a page store that the batch itself refreshes.
+
+    requests: ``url, t_us, seq, realtime, ttl`` (on-allowlist requests only); seeds: ``url, t_us`` -- the stored
+    row's parsed ``fetched_at`` (unparsable rows are not seeds: they always miss). Per url, in (t_us, seq)
+    order: a request hits iff it is not realtime and the current store row is at most ttl old; a miss refetches
+    and becomes the current row. Output per request: ``seq, hit, from_seed`` (the hit is served by the original
+    snapshot row) and ``ref_us`` (the ``fetched_at`` of the row a hit is served from).
+    Same streaming plan as ``ttl_replay``: seeds sort first within their url."""
+    spark = requests.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    req = requests.select("url", "t_us", "seq", "realtime", "ttl", F.lit(False).alias("is_seed"))
+    sd = (seeds.join(requests.select("url").distinct(), "url", "left_semi")
+          .select("url", "t_us", F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("realtime"),
+                  F.lit(0).cast("long").alias("ttl"), F.lit(True).alias("is_seed")))
+    ordered = (req.unionByName(sd).repartition(n, "url")
+               .sortWithinPartitions("url", F.col("is_seed").desc(), "t_us", "seq"))
+    out_schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("hit", T.BooleanType()),
+                               T.StructField("from_seed", T.BooleanType()), T.StructField("ref_us", T.LongType())])
+
+    def fold(batches):
+        import numpy as np
+        import pandas as pd
+
+        cur, ref, seed_row = None, None, False
+        for pdf in batches:
+            urls = pdf["url"].to_numpy(dtype=object)
+            t = pdf["t_us"].to_numpy(dtype=np.int64)
+            rt = pdf["realtime"].to_numpy(dtype=bool)
+            ttl = pdf["ttl"].to_numpy(dtype=np.int64)
+            is_seed = pdf["is_seed"].to_numpy(dtype=bool)
+            seqs = pdf["seq"].to_numpy(dtype=np.int64)
+            o_seq, o_hit, o_seed, o_ref = [], [], [], []
+            for i in range(len(pdf)):
+                if urls[i] != cur:
+                    cur, ref, seed_row = urls[i], None, False
+                if is_seed[i]:
+                    ref, seed_row = int(t[i]), True
+                    continue
+                hit = (not rt[i]) and ref is not None and t[i] - ref <= ttl[i] * 1_000_000
+                o_seq.append(int(seqs[i]))
+                o_hit.append(bool(hit))
+                o_seed.append(bool(hit and seed_row))
+                o_ref.append(ref if hit else int(t[i]))
+                if not hit:
+                    ref, seed_row = int(t[i]), False
+            yield pd.DataFrame({"seq": pd.Series(o_seq, dtype="int64"), "hit": pd.Series(o_hit, dtype=bool),
+                                "from_seed": pd.Series(o_seed, dtype=bool), "ref_us": pd.Series(o_ref, dtype="int64")})
+
+    return ordered.mapInPandas(fold, out_schema)

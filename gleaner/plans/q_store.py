@@ -43,7 +43,7 @@ def snapshot(spark, sf_dir):
                     "title", fetched.alias("fetched_at"),
                     F.coalesce(F.col("al_ttl_seconds"), F.lit(S.TTL_SECONDS["generic"]).cast("long")).alias("ttl_seconds"),
                     "low_signal", F.octet_length("html").cast("long").alias("byte_size"),
-                    F.lit(0).cast("long").alias("write_seq"))
+                    F.lit(-1).cast("long").alias("write_seq"))
 
 
 SNAP_SQL = EXTRACT_PAGES_SQL + f""",
@@ -54,7 +54,7 @@ snap as (select e.url, {Q.origin('e.url')} as origin,
  case when e.reason is not null then '' else e.plaintext end as plaintext, e.title,
  case when e.page_id % 17 = 9 then 'not a date' else {iso_sql("(timestamp '2024-01-01 00:00:00' + to_hours(e.page_id))")} end as fetched_at,
  cast(coalesce({Q.TTL_CASE.replace('ttl_class', 'b.ttl_class')}, 604800) as bigint) as ttl_seconds,
- e.reason is not null as low_signal, cast(strlen(p.html) as bigint) as byte_size, cast(0 as bigint) as write_seq
+ e.reason is not null as low_signal, cast(strlen(p.html) as bigint) as byte_size, cast(-1 as bigint) as write_seq
  from extq e join pages p on p.page_id = e.page_id left join bestal b on b.page_id = e.page_id)"""
 
 
