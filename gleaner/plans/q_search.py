@@ -1 +1,176 @@
-"""placeholder"""
+"""Registered queries: payload scan (O3), normalise (O11), site_filter check (O18) and narrowing (O19),
+top-N (O29), search pipeline outcomes/results (O40) and search provenance (O35 + O33)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..functions import text as X
+from ..operators import search as SR
+from ..sources import fixtures as FX
+from . import search as SP
+from . import sqltext as Q
+from .q_citations import js_trim_sql
+from .q_requests import _BUDGET_SQL, budgeted_requests
+from .q_store import iso_sql
+from .registry import ORACLES, register
+
+# Fixed derivation rules shared by both engines (search request variants and saved upstream payloads).
+QUERY_EXPR = "case when seq % 13 = 2 then '  ' when seq % 17 = 4 then 'café (menu)*!~' else query end"
+FRESH_EXPR = "case when seq % 5 = 0 then null else 'week' end"
+STATUS_EXPR = "case when seq % 29 = 1 then 503 else 200 end"
+PAYLOAD_EXPR = """case when seq % 31 = 2 then 'not json' when seq % 23 = 4 then '{}' else concat('{"web": {"results": [',
+ '{"title": "T0", "url": "', url, '", "description": "first"}, ',
+ '{"title": "T1", "url": "https://www.example.com/a/', cast(seq as string), '", "description": "second"}, ',
+ '{"title": 5, "url": "https://example.org/x", "description": "bad title"}, ',
+ '{"title": "T3", "url": "https://example.net/y", "description": "off list"}, ',
+ '{"title": "T4", "url": "https://spam-farm.example.org/p', cast(seq as string), '", "description": "nested"}, ',
+ '{"title": "T5", "url": "https://example.com/z"}, ',
+ '{"title": "T6", "url": "https://example.org/q', cast(seq as string), '", "description": "last"}',
+ ']}}') end"""
+
+
+def _site_filter_spark():
+    s = F.col("seq")
+    return (F.when(s % 7 == 3, F.array(F.lit("example.com"), F.lit("www.example.com")))
+            .when(s % 7 == 5, F.array(F.lit("example.net"), F.lit("example.com")))
+            .when(s % 11 == 6, F.array(F.lit("EXAMPLE.org")))
+            .otherwise(F.lit(None).cast("array<string>")))
+
+
+SITE_FILTER_SQL = ("case when seq % 7 = 3 then ['example.com', 'www.example.com'] when seq % 7 = 5 then "
+                   "['example.net', 'example.com'] when seq % 11 = 6 then ['EXAMPLE.org'] end")
+
+
+def search_requests(spark, sf_dir):
+    b = budgeted_requests(spark, sf_dir).filter(F.col("budget_ok") & (F.col("contract_id") == S.CONTRACT_SEARCH))
+    return b.select("seq", F.col("ts").alias("now"), F.expr(QUERY_EXPR).alias("query"), "top_n",
+                    F.expr(FRESH_EXPR).alias("freshness"), _site_filter_spark().alias("site_filter"),
+                    "caller_agent_id", "source_ref", "trace_id", "url")
+
+
+def payloads(spark, sf_dir):
+    r = search_requests(spark, sf_dir)
+    return r.select("seq", F.expr(STATUS_EXPR).alias("http_status"), F.expr(PAYLOAD_EXPR).alias("payload_json"))
+
+
+def run(spark, sf_dir):
+    return SP.search_pipeline(search_requests(spark, sf_dir).drop("url"), payloads(spark, sf_dir),
+                              FX.allowlist(spark))
+
+
+def _has_sql(u: str) -> str:
+    h = Q.host(u)
+    return f"exists (select 1 from al where {h} = al.domain or ends_with({h}, '.' || al.domain))"
+
+
+_FIELD = "case when json_type(e, '$.{f}') = 'VARCHAR' then json_extract_string(e, '$.{f}') end"
+_ENC = "replace(replace(replace(replace(replace(url_encode(query), '%28', '('), '%29', ')'), '%2A', '*'), '%21', '!'), '%27', '''')"
+
+SEARCH_SQL = FX.with_ctes(FX.AL_SQL, FX.REQ_SQL, _BUDGET_SQL) + f""",
+sreq as (select seq, ts as now, {QUERY_EXPR} as query_raw, top_n, {FRESH_EXPR} as freshness_raw,
+  {SITE_FILTER_SQL} as site_filter, caller_agent_id, source_ref, trace_id, url from bud
+  where budget_ok and contract_id = 'web.search.v1'),
+pay as (select seq, {STATUS_EXPR} as http_status, {PAYLOAD_EXPR.replace('as string', 'as varchar')} as payload_json from sreq),
+r as (select seq, now, {js_trim_sql('query_raw')} as query, coalesce(top_n, 5) as top_n,
+  coalesce(freshness_raw, 'any') as freshness, site_filter, caller_agent_id, source_ref, trace_id from sreq),
+sfh as (select seq, unnest(site_filter) as host, unnest(range(len(site_filter))) as pos from r where site_filter is not null),
+off as (select seq, arg_min(host, pos) as offender from sfh where not {_has_sql("('https://' || host || '/')")} group by seq),
+o as (select r.*, off.offender, p.http_status, p.payload_json,
+  case when r.query = '' or off.offender is not null then 'bad_query'
+       when p.http_status is null or p.http_status < 200 or p.http_status >= 300 or not json_valid(p.payload_json)
+       then 'upstream_error' else 'ok' end as code,
+  case when r.query = '' then 'query is empty'
+       when off.offender is not null then 'site_filter hostname not on allowlist: ' || off.offender
+       when p.http_status is null then 'brave_search_no_response'
+       when p.http_status < 200 or p.http_status >= 300 then 'brave_search_http_' || cast(p.http_status as varchar)
+       when not json_valid(p.payload_json) then 'brave_search_invalid_json' end as message
+  from r left join off on off.seq = r.seq left join pay p on p.seq = r.seq),
+scan as (select seq, pos as rank, e from (select seq, unnest(items) as e, unnest(range(len(items))) as pos from
+  (select seq, json_extract(case when json_valid(payload_json) then payload_json end, '$.web.results[*]') as items from pay))),
+fields as (select seq, cast(rank as integer) as rank, {_FIELD.format(f='title')} as title, {_FIELD.format(f='url')} as url,
+  {_FIELD.format(f='description')} as description from scan),
+raw as (select f.* from fields f join o on o.seq = f.seq where o.code = 'ok' and f.rank < o.top_n),
+norm as (select seq, rank, title, url, description as snippet from raw
+  where title is not null and url is not null and description is not null and {_has_sql('url')}),
+narrowed as (select n.* from norm n join o on o.seq = n.seq
+  where o.site_filter is null or ({Q.host('n.url')} is not null and list_contains(o.site_filter, {Q.host('n.url')}))),
+top as (select * from (select n.*, row_number() over (partition by n.seq order by n.rank) as result_rank, o.top_n as tn
+  from narrowed n join o on o.seq = n.seq) where result_rank <= tn)
+"""
+
+
+@register("search_results_scan")
+def search_results_scan(spark, sf_dir):
+    return SR.scan_results(payloads(spark, sf_dir))
+
+
+ORACLES["search_results_scan"] = SEARCH_SQL + """select seq, rank, title, url, description,
+ (title is not null and url is not null and description is not null) as is_wellformed from fields"""
+
+
+@register("search_normalise")
+def search_normalise(spark, sf_dir):
+    return SR.normalise(SR.scan_results(payloads(spark, sf_dir)), FX.allowlist(spark))
+
+
+ORACLES["search_normalise"] = SEARCH_SQL + f"""select seq, rank, title, url, description as snippet from fields
+ where title is not null and url is not null and description is not null and {_has_sql('url')}"""
+
+
+@register("site_filter_check")
+def site_filter_check(spark, sf_dir):
+    return SR.site_filter_offender(search_requests(spark, sf_dir), FX.allowlist(spark))
+
+
+ORACLES["site_filter_check"] = SEARCH_SQL + "select seq, offender from off"
+
+
+@register("search_site_filter")
+def search_site_filter(spark, sf_dir):
+    req = search_requests(spark, sf_dir)
+    norm = SR.normalise(SR.scan_results(payloads(spark, sf_dir)), FX.allowlist(spark))
+    return SR.narrow(norm, req).select("seq", "rank", "url")
+
+
+ORACLES["search_site_filter"] = SEARCH_SQL + f"""select n.seq, n.rank, n.url from (select * from fields
+ where title is not null and url is not null and description is not null and {_has_sql('url')}) n join r on r.seq = n.seq
+ where r.site_filter is null or ({Q.host('n.url')} is not null and list_contains(r.site_filter, {Q.host('n.url')}))"""
+
+
+@register("search_topn")
+def search_topn(spark, sf_dir):
+    return run(spark, sf_dir).results.select("seq", F.col("result_rank").cast("long").alias("result_rank"), "url")
+
+
+ORACLES["search_topn"] = SEARCH_SQL + "select seq, result_rank, url from top"
+
+
+@register("search_pipeline")
+def search_pipeline(spark, sf_dir):
+    return run(spark, sf_dir).outcomes
+
+
+ORACLES["search_pipeline"] = SEARCH_SQL + """select o.seq, o.trace_id, o.query, o.top_n, o.freshness, o.code, o.message,
+ case when o.code = 'ok' then coalesce(c.n, 0) end as n_results from o
+ left join (select seq, count(*) as n from top group by seq) c on c.seq = o.seq"""
+
+
+@register("search_results")
+def search_results(spark, sf_dir):
+    return run(spark, sf_dir).results.withColumn("result_rank", F.col("result_rank").cast("long"))
+
+
+ORACLES["search_results"] = SEARCH_SQL + f"""select seq, result_rank, title, url, snippet, {Q.origin('url')} as origin from top"""
+
+
+@register("search_provenance")
+def search_provenance(spark, sf_dir):
+    return run(spark, sf_dir).provenance
+
+
+ORACLES["search_provenance"] = SEARCH_SQL + f"""select 'brave-search://' || {_ENC} || '?top_n=' || cast(top_n as varchar)
+ || '&freshness=' || freshness as url, 'brave-search://' as origin,
+ sha256(concat_ws(':', query, cast(top_n as varchar), freshness)) as content_sha256, {iso_sql('now')} as fetched_at,
+ caller_agent_id as requesting_agent_id, source_ref as task_id, 'search' as kind, seq as request_seq from o where code = 'ok'"""
