@@ -1 +1,57 @@
-"""placeholder"""
+"""Registered queries that run Structured Streaming jobs to completion (``availableNow``) over files derived
+from the driver tables, then read the sink back: the stateful budget (O44) must equal the batch budget (O27)
+and the streaming ingest (O45) must equal the batch upsert (O5)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..session import scratch_path
+from ..sources import fixtures as FX
+from ..streaming import budget as SB
+from ..streaming import ingest as SI
+from .q_requests import _BUDGET_SQL
+from .q_store import snapshot, writes
+from .registry import ORACLES, register
+
+
+def _run_dir(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("stream_budget")
+def stream_budget(spark, sf_dir):
+    root = _run_dir(spark, "stream-budget")
+    src = (FX.requests(spark, sf_dir).filter(F.col("trace_id").rlike(S.TRACE_ID_PATTERN))
+           .select("seq", "ts", "source_ref"))
+    src.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(src.schema).parquet(f"{root}/in")
+    q = (SB.budget_stream(stream).writeStream.format("parquet").outputMode("append")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(SB.OUTPUT_SCHEMA).parquet(f"{root}/out")
+
+
+ORACLES["stream_budget"] = FX.with_ctes(FX.REQ_SQL, _BUDGET_SQL) + "select seq, source_ref, budget_ok from bud"
+
+
+@register("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    root = _run_dir(spark, "stream-ingest")
+    snapshot(spark, sf_dir).write.parquet(f"{root}/initial")
+    w = writes(spark, sf_dir)
+    w.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(w.schema).parquet(f"{root}/in")
+    q = SI.ingest(stream, f"{root}/snapshot", f"{root}/provenance", f"{root}/ckpt", initial_snapshot=f"{root}/initial")
+    q.awaitTermination()
+    out = SI.latest_snapshot(spark, f"{root}/snapshot")
+    return out.select(*[c for c in out.columns])
+
+
+from .q_store import ORACLES as _O  # noqa: E402
+
+ORACLES["stream_ingest"] = _O["page_upsert"]
