@@ -23,18 +23,24 @@ NUMBER_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)\z"
 
 
 def parse_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """Drop blank lines; add ``parse_error`` (NULL | 'too_large' | 'invalid_json') and ``envelope`` (VARIANT)."""
+    """Drop blank lines; add ``parse_error`` (NULL | 'too_large' | 'invalid_json') and ``envelope`` (VARIANT).
+
+    Each parse is its own column and later columns reference it, so a line is parsed twice in total (the
+    envelope is element 0 of the array-wrapped parse); an inline expression reused in two columns would be
+    evaluated once per use."""
     v = F.col(value_col)
-    arr = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]")))
-    obj = F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}")))
-    single = ((F.size(F.try_variant_get(arr, "$", "array<variant>")) == 1)
-              & (F.size(F.map_keys(F.try_variant_get(obj, "$", "map<string,variant>"))) == 1))
-    too_large = F.octet_length(v) > S.MAX_REQUEST_LINE_BYTES
-    err = (F.when(too_large, F.lit("too_large"))
-           .when(~F.coalesce(single, F.lit(False)), F.lit("invalid_json")))
-    return (lines.filter(F.length(X.js_trim(v)) > 0)
-            .withColumn("parse_error", err)
-            .withColumn("envelope", F.when(err.isNull(), F.try_parse_json(v))))
+    cols = lines.columns
+    staged = (lines.filter(F.length(X.js_trim(v)) > 0)
+              .select("*", F.try_parse_json(F.concat(F.lit("["), v, F.lit("]"))).alias("__gl_arr"),
+                      F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).alias("__gl_obj")))
+    single = ((F.size(F.try_variant_get("__gl_arr", "$", "array<variant>")) == 1)
+              & (F.size(F.map_keys(F.try_variant_get("__gl_obj", "$", "map<string,variant>"))) == 1))
+    flags = staged.select(*cols, "__gl_arr", (F.octet_length(v) > S.MAX_REQUEST_LINE_BYTES).alias("__gl_big"),
+                          F.coalesce(single, F.lit(False)).alias("__gl_single"))
+    err = F.when(F.col("__gl_big"), F.lit("too_large")).when(~F.col("__gl_single"), F.lit("invalid_json"))
+    return flags.select(*cols, err.alias("parse_error"),
+                        F.when(~F.col("__gl_big") & F.col("__gl_single"),
+                               F.try_variant_get("__gl_arr", "$[0]", "variant")).alias("envelope"))
 
 
 def _get(v: Column, field: str) -> Column:
