@@ -83,9 +83,9 @@ o as (select r.*, off.offender, p.http_status, p.payload_json,
        then 'upstream_error' else 'ok' end as code,
   case when r.query = '' then 'query is empty'
        when off.offender is not null then 'site_filter hostname not on allowlist: ' || off.offender
-       when p.http_status is null then 'brave_search_no_response'
-       when p.http_status < 200 or p.http_status >= 300 then 'brave_search_http_' || cast(p.http_status as varchar)
-       when not json_valid(p.payload_json) then 'brave_search_invalid_json' end as message
+       when p.http_status is null then 'upstream_no_response'
+       when p.http_status < 200 or p.http_status >= 300 then 'upstream_http_' || cast(p.http_status as varchar)
+       when not json_valid(p.payload_json) then 'upstream_invalid_json' end as message
   from r left join off on off.seq = r.seq left join pay p on p.seq = r.seq),
 scan as (select seq, pos as rank, e from (select seq, unnest(items) as e, unnest(range(len(items))) as pos from
   (select seq, json_extract(case when json_valid(payload_json) then payload_json end, '$.web.results[*]') as items from pay))),

@@ -40,7 +40,7 @@ def search_pipeline(requests: DataFrame, payloads: DataFrame, allowlist: DataFra
     message = (F.when(F.col("query") == "", F.lit("query is empty"))
                .when(F.col("offender").isNotNull(),
                      F.concat(F.lit("site_filter hostname not on allowlist: "), F.col("offender")))
-               .when(F.col("http_status").isNull(), F.lit("brave_search_no_response"))
+               .when(F.col("http_status").isNull(), F.lit("upstream_no_response"))
                .when(F.col("upstream_error").isNotNull(), F.col("upstream_error")))
     code = (F.when((F.col("query") == "") | F.col("offender").isNotNull(), F.lit("bad_query"))
             .when(F.col("http_status").isNull() | F.col("upstream_error").isNotNull(), F.lit("upstream_error"))
