@@ -44,8 +44,9 @@ def tracked_urls(urls: DataFrame, url_sha: DataFrame, provenance: DataFrame) ->
 
 def drop_positions(docs: DataFrame, url_sha: DataFrame, provenance: DataFrame, doc_col="doc_id",
                    text_col="text") -> DataFrame:
-    """(doc_id, drop array<int>): sentence positions to drop per document, only for documents with any."""
-    cites = cited_urls(docs, doc_col, text_col)
+    """(doc_id, drop array<int>): sentence positions to drop per document, only for documents with any.
+    A text without the substring ``http`` cannot cite a URL, so only the others are split (exact pre-filter)."""
+    cites = cited_urls(docs.filter(F.col(text_col).contains("http")), doc_col, text_col)
     untracked = tracked_urls(cites, url_sha, provenance).filter(~F.col("tracked")).select("url")
     bad = cites.join(untracked, "url", "left_semi")
     return bad.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
@@ -56,9 +57,13 @@ def post_filter(docs: DataFrame, url_sha: DataFrame, provenance: DataFrame, doc_
     """Add ``out_col``: the text with every sentence that cites an untracked URL removed."""
     drops = drop_positions(docs, url_sha, provenance, doc_col, text_col).withColumnRenamed("doc_id", "__gl_doc")
     j = docs.join(drops, F.col(doc_col) == F.col("__gl_doc"), "left")
-    drop = F.coalesce(F.col("drop"), F.array().cast("array<int>"))
-    kept = F.filter(X.split_sentences(F.col(text_col)), lambda s, i: ~F.array_contains(drop, i))
-    out = F.when(F.length(text_col) == 0, F.col(text_col)).otherwise(X.js_trim(F.array_join(kept, " ")))
+    kept = F.filter(X.split_sentences(F.col(text_col)), lambda s, i: ~F.array_contains(F.col("drop"), i))
+    # nothing dropped: joining the pieces with one space is the same as replacing each boundary by one space
+    # (pieces are never blank: each holds the boundary's punctuation or capital), so use one regex pass
+    whole = X.js_trim(F.regexp_replace(F.col(text_col), X.SENTENCE_SPLIT_PATTERN, " "))
+    out = (F.when(F.length(text_col) == 0, F.col(text_col))
+           .when(F.col("drop").isNull(), whole)
+           .otherwise(X.js_trim(F.array_join(kept, " "))))
     return j.withColumn(out_col, out).drop("__gl_doc", "drop")
 
 

@@ -71,8 +71,10 @@ def _str(v: Column, field: str) -> Column:
 _FIELDS = sorted(set(S.SEARCH_FIELDS + S.FETCH_FIELDS))
 
 
-def validate(parsed: DataFrame, value_col: str = "value") -> DataFrame:
+def validate(parsed: DataFrame, value_col: str = "value", keep_fields: bool = False) -> DataFrame:
     """Add ``contract_id_raw``, ``errors`` (string, NULL when valid) and ``valid`` to a parsed line table.
+    With ``keep_fields`` the string value of every contract field is kept as ``env_<field>`` (NULL when absent
+    or not a string), so callers need not navigate the VARIANT again.
 
     Field types and values are projected once (``__gl_t_*``, ``__gl_s_*``, ``__gl_n_*``) and the rules read those
     columns, which keeps the expression tree linear in the number of rules."""
@@ -164,6 +166,8 @@ def validate(parsed: DataFrame, value_col: str = "value") -> DataFrame:
            .withColumn("contract_id_raw", F.when(F.coalesce(_is_string(t("contract_id")), F.lit(False)), cid))
            .withColumn("errors", F.when(F.col("parse_error").isNull(), errors)))
     out = out.withColumn("valid", F.col("parse_error").isNull() & F.col("errors").isNull())
+    if keep_fields:
+        out = out.select("*", *[F.when(_is_string(t(f)), sv(f)).alias(f"env_{f}") for f in _FIELDS])
     return out.drop(*[c for c in out.columns if c.startswith("__gl_")])
 
 

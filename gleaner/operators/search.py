@@ -67,7 +67,8 @@ def narrow(results: DataFrame, requests: DataFrame, key: str = "seq", filter_col
 
 
 def top_n(results: DataFrame, n_col: str = "top_n", key: str = "seq", rank_col: str = "rank") -> DataFrame:
-    """First ``top_n`` results per request in upstream rank order (O29); planned as a per-key group limit."""
+    """First ``top_n`` results per request in upstream rank order (O29). A request's group is bounded by the
+    upstream page size (it was asked for ``top_n`` results), so the per-request window stays small."""
     w = Window.partitionBy(key).orderBy(rank_col)
     return (results.withColumn("result_rank", F.row_number().over(w))
             .filter(F.col("result_rank") <= F.col(n_col)))

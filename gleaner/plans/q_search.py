@@ -56,8 +56,9 @@ def payloads(spark, sf_dir):
 
 
 def run(spark, sf_dir):
-    return SP.search_pipeline(search_requests(spark, sf_dir).drop("url"), payloads(spark, sf_dir),
-                              FX.allowlist(spark))
+    r = search_requests(spark, sf_dir)
+    pays = r.select("seq", F.expr(STATUS_EXPR).alias("http_status"), F.expr(PAYLOAD_EXPR).alias("payload_json"))
+    return SP.search_pipeline(r.drop("url"), pays, FX.allowlist(spark))
 
 
 def _has_sql(u: str) -> str:

@@ -17,6 +17,7 @@ from .. import schemas as S
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import search as SR
+from ..session import materialize
 
 
 @dataclass
@@ -45,7 +46,10 @@ def search_pipeline(requests: DataFrame, payloads: DataFrame, allowlist: DataFra
     code = (F.when((F.col("query") == "") | F.col("offender").isNotNull(), F.lit("bad_query"))
             .when(F.col("http_status").isNull() | F.col("upstream_error").isNotNull(), F.lit("upstream_error"))
             .otherwise(F.lit("ok")))
-    r = r.withColumn("code", code).withColumn("message", message)
+    # the decided request table feeds four branches (scan, narrow, top-N, provenance): write it once under
+    # spark.checkpoint.dir instead of recomputing its lineage per branch
+    r = materialize(r.withColumn("code", code).withColumn("message", message).drop("offender", "http_status"),
+                    "search-requests")
     good = r.filter(F.col("code") == "ok")
     raw = SR.scan_results(good.select(key, "payload_json"), key)
     # the upstream is asked for top_n results: entries past that count were never returned
