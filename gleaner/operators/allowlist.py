@@ -82,6 +82,21 @@ def _first_per_domain(al: DataFrame) -> DataFrame:
             .select("e.*"))
 
 
+_SHAPE_CACHE: dict = {}
+
+
+def _shape(al: DataFrame, max_broadcast_rows: int):
+    """(fits_broadcast, label counts desc) of a deduplicated allowlist; two tiny jobs, memoized per plan."""
+    key = (al.semanticHash(), max_broadcast_rows)
+    if key not in _SHAPE_CACHE:
+        nlab = F.size(F.split(F.col("domain"), r"\."))
+        fits = row_count_at_most(al, max_broadcast_rows)
+        ks = sorted((r[0] for r in al.select(nlab.alias("k")).distinct().collect() if r[0] is not None),
+                    reverse=True) if fits else []
+        _SHAPE_CACHE[key] = (fits, ks)
+    return _SHAPE_CACHE[key]
+
+
 def lookup(df: DataFrame, url_col: str, allowlist: DataFrame, prefix: str = "al_",
            max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Add ``{prefix}entry_index, {prefix}domain, {prefix}purpose, {prefix}ttl_class, {prefix}added_at`` of the
@@ -94,9 +109,8 @@ def lookup(df: DataFrame, url_col: str, allowlist: DataFrame, prefix: str = "al_
     host = "__gl_host"
     out = df.withColumn(host, U.hostname(F.col(url_col)))
     nlab = F.size(F.split(F.col("domain"), r"\."))
-    if row_count_at_most(al, max_broadcast_rows):
-        ks = sorted((r[0] for r in al.select(nlab.alias("k")).distinct().collect() if r[0] is not None),
-                    reverse=True)
+    fits, ks = _shape(al, max_broadcast_rows)
+    if fits:
         hits = []
         for k in ks:
             side = al.filter(nlab == k).select(

@@ -28,6 +28,7 @@ from ..operators import crawl as C
 from ..operators import extract as XT
 from ..operators import replay as RP
 from ..operators import store as ST
+from ..session import materialize
 
 
 @dataclass
@@ -58,14 +59,21 @@ def fetch_pipeline(requests: DataFrame, allowlist: DataFrame, snapshot: DataFram
     snapshot: ``schemas.FETCHED_PAGES`` (+ optional ``write_seq``); crawl: ``schemas.CRAWL``."""
     if "write_seq" not in snapshot.columns:
         snapshot = snapshot.withColumn("write_seq", F.lit(-1).cast("long"))
-    r = A.lookup(requests, "url", allowlist)
+    # the gated request batch feeds the replay, two semi-joins and the main join: write it once under
+    # spark.checkpoint.dir rather than recomputing its lineage per branch
+    r = materialize(A.lookup(requests, "url", allowlist), "fetch-requests")
     on = r.filter(F.col("al_domain").isNotNull())
+    # only the batch's requested urls are ever read from the store or the crawl: semi-join first, so triage and
+    # extraction run on those rows only (the distinct url set is small; AQE broadcasts it when it is)
+    wanted = on.select("url").distinct()
+    store = snapshot.join(wanted, "url", "left_semi")
+    crawl = crawl.join(wanted, "url", "left_semi")
     replay = RP.store_replay(
         on.select("url", F.unix_micros(F.col("now").cast("timestamp")).alias("t_us"), "seq",
                   F.coalesce("bypass_cache", F.lit(False)).alias("realtime"), F.col("al_ttl_seconds").alias("ttl")),
-        snapshot.select("url", F.unix_micros(X.parse_iso(F.col("fetched_at"))).alias("t_us"))
+        store.select("url", F.unix_micros(X.parse_iso(F.col("fetched_at"))).alias("t_us"))
         .filter(F.col("t_us").isNotNull()))
-    snap = snapshot.select(*[F.col(c).alias("s_" + c) for c in ST.PAGE_COLS])
+    snap = store.select(*[F.col(c).alias("s_" + c) for c in ST.PAGE_COLS])
     kp = crawl_pages(crawl, max_bytes)
     j = (r.join(replay, "seq", "left")
          .join(snap, F.col("url") == F.col("s_url"), "left")

@@ -32,8 +32,15 @@ TINY_HTML = "<html><head><title>x</title></head><body><article>hi</article></bod
 NOW_ISO = "2024-02-01T00:00:00.000Z"  # the fixed "now" of the pipeline queries
 
 
+_AL: dict = {}
+
+
 def allowlist(spark: SparkSession) -> DataFrame:
-    return allowlist_source.from_rows(spark, AL_ROWS)
+    """The test allowlist, one DataFrame per Spark application (so its shape analysis is reused)."""
+    key = spark.sparkContext.applicationId
+    if key not in _AL:
+        _AL[key] = allowlist_source.from_rows(spark, AL_ROWS)
+    return _AL[key]
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
