@@ -175,3 +175,8 @@ ORACLES["search_provenance"] = SEARCH_SQL + f"""select 'brave-search://' || {_EN
  || '&freshness=' || freshness as url, 'brave-search://' as origin,
  sha256(concat_ws(':', query, cast(top_n as varchar), freshness)) as content_sha256, {iso_sql('now')} as fetched_at,
  caller_agent_id as requesting_agent_id, source_ref as task_id, 'search' as kind, seq as request_seq from o where code = 'ok'"""
+
+
+@register("search_responses")
+def search_responses(spark, sf_dir):
+    return SP.responses(run(spark, sf_dir))

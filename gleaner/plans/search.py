@@ -71,3 +71,23 @@ def search_pipeline(requests: DataFrame, payloads: DataFrame, allowlist: DataFra
         X.iso_ms("now").alias("fetched_at"), F.col("caller_agent_id").alias("requesting_agent_id"),
         F.col("source_ref").alias("task_id"), F.lit("search").alias("kind"), F.col(key).alias("request_seq"))
     return SearchResult(outcomes, results, prov)
+
+
+def responses(result: SearchResult, key: str = "seq") -> DataFrame:
+    """One JSON response line per search request (O7): ``ok, contract_id, trace_id, query, top_n, freshness,
+    results[]`` for successes (results in rank order, at most ``top_n``), ``ok, code, message, trace_id``
+    otherwise. The per-request result list is bounded by ``top_n`` (<= 20)."""
+    items = (result.results
+             .groupBy(key)
+             .agg(F.array_sort(F.collect_list(F.struct("result_rank", "title", "url", "snippet", "origin")))
+                  .alias("items")))
+    o = result.outcomes.join(items, key, "left")
+    res = F.coalesce(
+        F.transform("items", lambda x: F.struct(x.title.alias("title"), x.url.alias("url"),
+                                                x.snippet.alias("snippet"), x.origin.alias("origin"))),
+        F.array().cast("array<struct<title:string,url:string,snippet:string,origin:string>>"))
+    success = F.struct(F.lit(True).alias("ok"), F.lit(S.CONTRACT_SEARCH).alias("contract_id"), "trace_id", "query",
+                       "top_n", "freshness", res.alias("results"))
+    failure = F.struct(F.lit(False).alias("ok"), "code", "message", "trace_id")
+    return o.select(key, F.when(F.col("code") == "ok", F.to_json(success)).otherwise(F.to_json(failure))
+                    .alias("response"))

@@ -48,3 +48,13 @@ def from_yaml_text(spark: SparkSession, text: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(S.ALLOWLIST).load(path)
+
+
+def from_yaml_file(spark: SparkSession, path: str) -> DataFrame:
+    """Read a small YAML allowlist file from the driver's filesystem (configuration, not data)."""
+    try:
+        with open(path, encoding="utf-8") as fh:
+            text = fh.read()
+    except OSError as e:
+        raise AllowlistSourceError(f"cannot read {path}: {e}") from e
+    return from_yaml_text(spark, text)

@@ -92,3 +92,27 @@ def test_search_pipeline_cases(spark):
     assert sorted(prov) == [1, 2, 3]
     assert prov[1]["url"] == "brave-search://council%20tax?top_n=5&freshness=any"
     assert prov[1]["origin"] == "brave-search://"
+
+
+def test_search_responses_json(spark):
+    import json
+
+    payload = '{"web": {"results": [{"title": "A", "url": "https://example.com/a", "description": "d"}]}}'
+    now = dt.datetime(2026, 5, 13, 7, 0, 0)
+    reqs = spark.createDataFrame([(1, now, "q", 5, None, None), (2, now, " ", 5, None, None)],
+                                 "seq long, now timestamp, query string, top_n int, freshness string, "
+                                 "site_filter array<string>") \
+        .withColumn("caller_agent_id", F.lit("agent")).withColumn("source_ref", F.lit("task:1")) \
+        .withColumn("trace_id", F.lit("t"))
+    pays = spark.createDataFrame([(1, 200, payload), (2, 200, payload)], "seq long, http_status int, payload_json string")
+    out = {r["seq"]: json.loads(r["response"]) for r in SP.responses(SP.search_pipeline(reqs, pays, _al(spark))).collect()}
+    assert out[1]["ok"] is True and out[1]["results"] == [
+        {"title": "A", "url": "https://example.com/a", "snippet": "d", "origin": "https://example.com"}]
+    assert out[2] == {"ok": False, "code": "bad_query", "message": "query is empty", "trace_id": "t"}
+
+
+def test_yaml_file_unreadable(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(AS.AllowlistSourceError, match="cannot read"):
+        AS.from_yaml_file(spark, str(tmp_path / "missing.yaml"))
