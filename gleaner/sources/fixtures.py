@@ -22,7 +22,8 @@ AL_ROWS = [
     ("spam-farm.example.org", "narrow", "insurance-med", "2026-05-13"),
 ]
 VALID_TRACE_ID = "01234567-89ab-7cde-8f01-23456789abcd"
-REQUEST_URL_POOL = 50  # events request the pages with page_id = event_id % 50
+# events request the page with page_id = event_id % (number of pages): every page is requested, ~events/pages
+# times each, at every scale
 CRAWL_MAX_BYTES = 10000  # body cap used with CRAWL so that over_size_cap occurs
 SIGN_IN_HTML = ("<html><head><title>Sign in</title></head><body><article><h1>Sign in</h1>"
                 "<p>Please sign in.</p></article></body></html>")
@@ -63,10 +64,10 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log from ``events``; error events carry a bad trace_id. Arrival order = (ts, seq)."""
     e = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
-    # The join key event_id % 50 only reaches page ids 0..49, so that side is bounded by construction.
-    p = read(spark, sf_dir, "pages", "page_id", "url").filter(F.col("page_id") < REQUEST_URL_POOL)
+    p = read(spark, sf_dir, "pages", "page_id", "url")
+    n_pages = _page_count(spark, sf_dir)
     et = F.col("event_type")
-    return (e.join(F.broadcast(p), F.col("page_id") == F.col("event_id") % REQUEST_URL_POOL)
+    return (e.join(p, F.col("page_id") == F.col("event_id") % F.lit(n_pages))
             .select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
                     F.concat(F.lit("task:"), F.col("user_id").cast("string")).alias("source_ref"),
                     F.when(et.isin("view", "purchase"), "web.search.v1").otherwise("web.fetch.v1").alias("contract_id"),
@@ -78,6 +79,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit(1) + F.col("event_id") % 10).cast("int").alias("top_n")))
 
 
+_COUNTS: dict = {}
+
+
+def _page_count(spark: SparkSession, sf_dir: str) -> int:
+    """Row count of ``pages`` (a scalar from Parquet metadata-backed count), memoized per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COUNTS:
+        _COUNTS[key] = max(read(spark, sf_dir, "pages").count(), 1)
+    return _COUNTS[key]
+
+
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One NDJSON envelope line per request, with malformed, invalid and edge-case lines mixed in by rule."""
     return requests(spark, sf_dir).select("seq", "ts", F.expr(LINE_EXPR).alias("value"))
@@ -120,7 +132,7 @@ REQ_SQL = f"""req as (select e.event_id as seq, cast(e.ts as timestamp) as ts,
  case when e.event_type = 'error' then 'not-a-uuid' else '{VALID_TRACE_ID}' end as trace_id,
  p.url, e.event_type, e.user_id, concat('agent:', cast(e.user_id % 7 as varchar)) as caller_agent_id,
  concat('pages about ', cast(e.user_id as varchar)) as query, cast(1 + e.event_id % 10 as integer) as top_n
-from events e join pages p on p.page_id = e.event_id % {REQUEST_URL_POOL})"""
+from events e join pages p on p.page_id = e.event_id % (select count(*) from pages))"""
 
 ANS_SQL = """ans as (select page_id as doc_id, concat('Fact one is plain. See ', url, '. Also https://hallucinated.example/',
  cast(page_id as varchar), ' agrees, they say. Both (', url, ') and https://example.com/none differ. Plain end.') as text
