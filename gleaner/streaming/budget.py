@@ -2,9 +2,11 @@
 
 ``groupBy(source_ref).applyInPandasWithState``: the state per key is the number of ops already admitted
 (<= cap), kept in the state store and restored from the checkpoint after a restart (the service's in-memory
-counter is lost on restart; here it survives). Within a micro-batch a key's rows are ordered by (ts, seq) and
-the first ``cap - used`` are admitted. Only ``seq`` and ``ts`` of a key's rows in one micro-batch are held in
-memory; bound the micro-batch with ``maxFilesPerTrigger``/``maxBytesPerTrigger``.
+counter is lost on restart; here it survives). Within a micro-batch the ``cap - used`` smallest (ts, seq) of a
+key are admitted, found as a streaming top-k over the key's Arrow chunks: each chunk keeps only its own k
+smallest as candidates and emits the rest as denied at once; candidates displaced later are emitted as denied
+then. Memory per key is one chunk plus ``cap`` rows, however hot the key (a row outside the k smallest seen so
+far can never be admitted later, so emitting it early is exact).
 
 Arrival order across micro-batches is file order; within one, it comes from the (ts, seq) columns.
 """
@@ -22,17 +24,37 @@ STATE_SCHEMA = "used int"
 
 def _budget_fn(cap: int):
     def fn(key, pdfs, state):
+        import numpy as np
         import pandas as pd
 
         used = state.get[0] if state.exists else 0
-        parts = [p[["seq", "ts"]] for p in pdfs]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
         left = max(cap - used, 0)
-        ok = [i < left for i in range(len(rows))]
-        state.update((min(cap, used + len(rows)),))
-        yield pd.DataFrame({"seq": rows["seq"].astype("int64").to_numpy(), "source_ref": key[0], "budget_ok": ok})
+        src = key[0]
+        cand_ts = np.empty(0, dtype=np.int64)
+        cand_seq = np.empty(0, dtype=np.int64)
+        total = 0
+
+        def out(seqs, ok):
+            return pd.DataFrame({"seq": np.asarray(seqs, dtype=np.int64), "source_ref": src,
+                                 "budget_ok": np.full(len(seqs), ok, dtype=bool)})
+
+        for pdf in pdfs:
+            total += len(pdf)
+            ts = pd.to_datetime(pdf["ts"]).to_numpy(dtype="datetime64[us]").astype(np.int64)
+            seq = pdf["seq"].to_numpy(dtype=np.int64)
+            order = np.lexsort((seq, ts))
+            keep, drop = order[:left], order[left:]
+            if len(drop):
+                yield out(seq[drop], False)
+            all_ts = np.concatenate([cand_ts, ts[keep]])
+            all_seq = np.concatenate([cand_seq, seq[keep]])
+            o = np.lexsort((all_seq, all_ts))
+            if len(o) > left:
+                yield out(all_seq[o[left:]], False)
+            cand_ts, cand_seq = all_ts[o[:left]], all_seq[o[:left]]
+        if len(cand_seq):
+            yield out(cand_seq, True)
+        state.update((min(cap, used + total),))
 
     return fn
 

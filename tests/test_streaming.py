@@ -23,3 +23,29 @@ def test_budget_state_survives_across_micro_batches(spark):
     out = {r["seq"]: r["budget_ok"] for r in spark.read.parquet(os.path.join(root, "out")).collect()}
     assert [out[i] for i in range(8)] == [True] * 5 + [False] * 3
     assert out[9] is True
+
+
+def test_budget_topk_across_small_chunks_is_exact(spark):
+    """A hot key split into many Arrow chunks, later chunks holding earlier timestamps."""
+    import random
+
+    root = tempfile.mkdtemp(prefix="gleaner-stream-")
+    schema = "seq long, ts timestamp, source_ref string"
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=(97 * i) % 50), "task:hot") for i in range(50)]
+    random.Random(7).shuffle(rows)
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(root, "in", "p=1"))
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = spark.readStream.schema(schema).parquet(os.path.join(root, "in", "*"))
+        q = (SB.budget_stream(stream).writeStream.format("parquet").outputMode("append")
+             .option("path", os.path.join(root, "out")).option("checkpointLocation", os.path.join(root, "ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+    out = {r["seq"]: r["budget_ok"] for r in spark.read.parquet(os.path.join(root, "out")).collect()}
+    expect = {seq for seq, _, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:5]}
+    assert len(out) == 50
+    assert {s for s, ok in out.items() if ok} == expect
