@@ -54,6 +54,15 @@ def daily_ops(admitted: DataFrame, ts_col: str = "ts", cap: int = S.OPS_PER_DAY)
             .withColumn("n_over_cap", F.col("n_ops") - F.col("n_within_cap")))
 
 
+def daily_cap(admitted: DataFrame, ts_col: str = "ts", id_col: str = "seq", cap: int = S.OPS_PER_DAY) -> DataFrame:
+    """Declared whole-agent daily cap per op: the first ``cap`` ops of each UTC day (arrival order) are within it.
+    A day is one group, so the rank filter runs as a group limit before the shuffle (at most ``cap`` rows per
+    day leave each map task)."""
+    df = admitted.withColumn("day", F.date_format(F.col(ts_col).cast("timestamp"), "yyyy-MM-dd"))
+    ok = first_k_ids(df, "day", [ts_col, id_col], cap, id_col).withColumn("__gl_ok", F.lit(True))
+    return df.join(ok, id_col, "left").withColumn("within_cap", F.col("__gl_ok").isNotNull()).drop("__gl_ok")
+
+
 def monthly_spend(searches: DataFrame, ts_col: str = "ts", usd_per_search: str = S.USD_PER_SEARCH,
                   budget_usd: str = S.BUDGET_USD_MONTH) -> DataFrame:
     """Declared monthly search budget: per UTC month, searches, spend (decimal), searches within budget."""

@@ -208,6 +208,21 @@ def monthly_spend(spark, sf_dir):
 
 
 _QCANON = f"regexp_replace(regexp_replace(query, {Q.q(WS + '+')}, ' ', 'g'), {Q.q('^' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '', 'g')"
+@register("daily_cap", FX.with_ctes(FX.REQ_SQL, _BUDGET_SQL) + f"""select seq, strftime(ts, '%Y-%m-%d') as day,
+ row_number() over (partition by strftime(ts, '%Y-%m-%d') order by ts, seq) <= {S.OPS_PER_DAY} as within_cap
+from bud where budget_ok""")
+def daily_cap(spark, sf_dir):
+    return B.daily_cap(budgeted_requests(spark, sf_dir).filter("budget_ok")).select("seq", "day", "within_cap")
+
+
+@register("monthly_spend_running", FX.with_ctes(FX.REQ_SQL, _BUDGET_SQL) + """select seq, strftime(ts, '%Y-%m') as month,
+ row_number() over (partition by strftime(ts, '%Y-%m') order by ts, seq) <= 1666 as within_budget
+from bud where budget_ok and contract_id = 'web.search.v1'""")
+def monthly_spend_running(spark, sf_dir):
+    b = budgeted_requests(spark, sf_dir).filter(F.col("budget_ok") & (F.col("contract_id") == S.CONTRACT_SEARCH))
+    return B.spend_running(b).select("seq", "month", "within_budget")
+
+
 _DEDUPE_SQL = f"""dk as (select seq, ts, sha256(case when contract_id = 'web.fetch.v1'
   then concat_ws(':', caller_agent_id, contract_id, {Q.canonical('url')}, freshness)
   else concat_ws(':', caller_agent_id, contract_id, lower({_QCANON}), cast(top_n as varchar), freshness, 'empty') end) as dedupe_key from req)"""
