@@ -69,12 +69,13 @@ def extract_native(html) -> Column:
 
 def quality_reason(title, plaintext) -> Column:
     """captcha_or_paywall by title or by the first 500 characters, then empty below 200 characters.
-    Lengths are code points (the service counts UTF-16 units; differs only for astral-heavy text)."""
+    The 200 threshold counts UTF-16 units like JavaScript's ``length`` (astral characters count twice); the
+    500-character prefix is taken in code points."""
     t, p = _c(title), _c(plaintext)
     return (F.when(t.isNotNull() & t.rlike(S.TITLE_CAPTCHA_PATTERN), F.lit("captcha_or_paywall"))
             .when(F.substring(p, 1, S.BODY_PREFIX_SCAN_CHARS).rlike(S.BODY_CAPTCHA_PATTERN),
                   F.lit("captcha_or_paywall"))
-            .when(F.length(p) < S.MIN_USEFUL_PLAINTEXT_CHARS, F.lit("empty")))
+            .when(X.length_utf16(p) < S.MIN_USEFUL_PLAINTEXT_CHARS, F.lit("empty")))
 
 
 def extract(df: DataFrame, html_col: str) -> DataFrame:
@@ -139,7 +140,8 @@ def native_extract_sql(h: str) -> tuple[str, str]:
 def quality_sql(title: str, plaintext: str) -> str:
     return (f"(case when {title} is not null and regexp_matches({title}, {_q(S.TITLE_CAPTCHA_PATTERN)}) then 'captcha_or_paywall'"
             f" when regexp_matches(substring({plaintext}, 1, {S.BODY_PREFIX_SCAN_CHARS}), {_q(S.BODY_CAPTCHA_PATTERN)}) then 'captcha_or_paywall'"
-            f" when length({plaintext}) < {S.MIN_USEFUL_PLAINTEXT_CHARS} then 'empty' end)")
+            f" when length({plaintext}) + length(regexp_replace({plaintext}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+            f" < {S.MIN_USEFUL_PLAINTEXT_CHARS} then 'empty' end)")
 
 
 # ------------------------------------------------------------------------------------------------

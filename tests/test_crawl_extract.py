@@ -81,3 +81,11 @@ def test_truncate(spark):
     df = spark.createDataFrame([(bytearray("aé".encode() * 3),)], "b binary")
     r = df.select(C.truncate_body("b", 4).alias("t")).collect()[0]["t"]
     assert r["truncated"] is True and r["kept_bytes"] == 4 and r["text"].startswith("aéa")
+
+
+def test_empty_threshold_counts_utf16_units(spark):
+    # 150 astral characters: 150 code points but 300 UTF-16 units -> not empty in JavaScript terms
+    astral = "\U0001F600" * 150
+    df = spark.createDataFrame([("<html><body><article><p>" + astral + "</p></article></body></html>",)], "html string")
+    r = XT.extract(df, "html").collect()[0]
+    assert r["reason"] is None
