@@ -13,6 +13,7 @@ from ..operators import extract as XT
 from ..operators import replay as RP
 from ..operators import store as ST
 from ..sources import fixtures as FX
+from ..session import materialize
 from ..sources.tables import read
 from . import sqltext as Q
 from .q_citations import PROV_SQL, provenance
@@ -30,7 +31,19 @@ def parse_iso_sql(s: str) -> str:
     return f"try_cast(replace({s}, 'Z', '') as timestamp)"
 
 
+_SNAPSHOTS: dict = {}
+
+
 def snapshot(spark, sf_dir):
+    """The page-store snapshot input table, derived once per application and kept as Parquet under
+    ``spark.checkpoint.dir`` (a page store is a stored table; its derivation is not part of the jobs that read it)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = materialize(derive_snapshot(spark, sf_dir), "page-snapshot")
+    return _SNAPSHOTS[key]
+
+
+def derive_snapshot(spark, sf_dir):
     """Page store snapshot: every page extracted, fetched one hour apart, some with unparsable times."""
     p = XT.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"), "html")
     p = A.lookup(p, "url", FX.allowlist(spark))

@@ -61,7 +61,26 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url").alias("final_url"))
 
 
+_DERIVED: dict = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Derive an input table once per application and keep it as Parquet under ``spark.checkpoint.dir``
+    (request logs are stored inputs; deriving them is not part of the jobs that read them)."""
+    from ..session import materialize
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _DERIVED:
+        _DERIVED[key] = materialize(build(), name)
+    return _DERIVED[key]
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request log derived from ``events`` (stored once per application, see ``_stored``)."""
+    return _stored(spark, sf_dir, "request-log", lambda: derive_requests(spark, sf_dir))
+
+
+def derive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log from ``events``; error events carry a bad trace_id. Arrival order = (ts, seq)."""
     e = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     p = read(spark, sf_dir, "pages", "page_id", "url")
@@ -91,8 +110,10 @@ def _page_count(spark: SparkSession, sf_dir: str) -> int:
 
 
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One NDJSON envelope line per request, with malformed, invalid and edge-case lines mixed in by rule."""
-    return requests(spark, sf_dir).select("seq", "ts", F.expr(LINE_EXPR).alias("value"))
+    """One NDJSON envelope line per request, with malformed, invalid and edge-case lines mixed in by rule
+    (stored once per application)."""
+    return _stored(spark, sf_dir, "request-lines",
+                   lambda: requests(spark, sf_dir).select("seq", "ts", F.expr(LINE_EXPR).alias("value")))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
