@@ -25,16 +25,19 @@ NUMBER_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)\z"
 def parse_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Drop blank lines; add ``parse_error`` (NULL | 'too_large' | 'invalid_json') and ``envelope`` (VARIANT).
 
-    Each parse is its own column and later columns reference it, so a line is parsed twice in total (the
-    envelope is element 0 of the array-wrapped parse); an inline expression reused in two columns would be
-    evaluated once per use."""
+    Each parse is its own column and later columns reference it (an inline expression reused in two columns
+    would be evaluated once per use); the envelope is element 0 of the array-wrapped parse."""
     v = F.col(value_col)
     cols = lines.columns
+    # The array-wrapped parse can only stop early (and ignore trailing text) at a ']' inside the line, so the
+    # object-wrapped parse that catches that case is needed only for lines containing ']'.
+    needs_obj = v.contains("]")
     staged = (lines.filter(F.length(X.js_trim(v)) > 0)
               .select("*", F.try_parse_json(F.concat(F.lit("["), v, F.lit("]"))).alias("__gl_arr"),
-                      F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).alias("__gl_obj")))
+                      F.when(needs_obj, F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}")))).alias("__gl_obj")))
+    obj_ok = F.size(F.map_keys(F.try_variant_get("__gl_obj", "$", "map<string,variant>"))) == 1
     single = ((F.size(F.try_variant_get("__gl_arr", "$", "array<variant>")) == 1)
-              & (F.size(F.map_keys(F.try_variant_get("__gl_obj", "$", "map<string,variant>"))) == 1))
+              & (~needs_obj | F.coalesce(obj_ok, F.lit(False))))
     flags = staged.select(*cols, "__gl_arr", (F.octet_length(v) > S.MAX_REQUEST_LINE_BYTES).alias("__gl_big"),
                           F.coalesce(single, F.lit(False)).alias("__gl_single"))
     err = F.when(F.col("__gl_big"), F.lit("too_large")).when(~F.col("__gl_single"), F.lit("invalid_json"))

@@ -85,3 +85,12 @@ def test_dedupe_key_stable(spark):
                                "c string, caller string, url string, query string, top_n int, freshness string")
     k = df.select(R.dedupe_key("c", "caller", "url", "query", "top_n", "freshness", None).alias("k")).collect()
     assert k[0]["k"] == k[1]["k"]
+
+
+def test_strict_single_value_json(spark):
+    cases = {'{}': True, '{} x': False, '{} {}': False, '{},{}': False, '{}] x': False, '{}} x': False,
+             '{}, "w":1': False, '{"s":"}] x"}': True, '[1, 2]': True, '[1] x': False, '"a"}] x': False,
+             '5': True, 'null': True, '{"a": [1, {"b": "]"}]}': True, '{"a": [1]} ]': False}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "seq long, value string")
+    out = {r["value"]: r["parse_error"] is None for r in R.parse_lines(df).collect()}
+    assert out == cases
