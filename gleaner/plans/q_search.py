@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import text as X
 from ..operators import search as SR
 from ..sources import fixtures as FX
 from . import search as SP
