@@ -3,6 +3,8 @@ op counts (O26), declared daily cap (D4), monthly spend (D5) and dedupe keys (D1
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -141,6 +143,33 @@ def req_validate(spark, sf_dir):
     return validated(spark, sf_dir).select("seq", "parse_error", "valid", "errors")
 
 
+def _text_lines(spark, sf_dir):
+    """The derived request lines stored as NDJSON text files once per application, read back through the
+    text source."""
+    from ..session import scratch_path
+    from ..sources import requests as RS
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TEXT_DIRS:
+        path = scratch_path(spark, f"request-lines-text-{uuid.uuid4().hex}")
+        RS.write_lines(FX.request_lines(spark, sf_dir), path)
+        _TEXT_DIRS[key] = path
+    return RS.read_lines(spark, _TEXT_DIRS[key])
+
+
+_TEXT_DIRS: dict = {}
+
+
+@register("req_text_parse_counts", _sql(f"""select parse_error, count(*) as n from (
+ select case when strlen(value) > {S.MAX_REQUEST_LINE_BYTES} then 'too_large' when not json_valid(value) then 'invalid_json' end as parse_error
+ from lines where regexp_replace(value, {Q.q('^' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '', 'g') <> '')
+ group by parse_error"""))
+def req_text_parse_counts(spark, sf_dir):
+    """O1 through the text source: NDJSON files -> blank lines skipped -> strict parse -> counts."""
+    p = R.parse_lines(_text_lines(spark, sf_dir))
+    return p.groupBy("parse_error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("req_violation_counts", _sql("""select rule, count(*) as n from (select unnest(string_split(errors, '; ')) as rule
  from vv where errors is not null) group by rule""", _VAL))
 def req_violation_counts(spark, sf_dir):

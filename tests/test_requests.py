@@ -94,3 +94,16 @@ def test_strict_single_value_json(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "seq long, value string")
     out = {r["value"]: r["parse_error"] is None for r in R.parse_lines(df).collect()}
     assert out == cases
+
+
+def test_text_source_arrival_order(spark, tmp_path):
+    from gleaner.sources import requests as RS
+
+    d = tmp_path / "lines"
+    d.mkdir()
+    (d / "a.ndjson").write_text('{"n": 1}\n\n{"n": 2}\n{} x\n')
+    df = RS.read_lines(spark, str(d))
+    rows = df.orderBy("ts", "file_path", "block_start", "pos_in_split").collect()
+    assert [r["value"] for r in rows] == ['{"n": 1}', "", '{"n": 2}', "{} x"]
+    parsed = R.parse_lines(df).orderBy("pos_in_split").collect()
+    assert [r["parse_error"] for r in parsed] == [None, None, "invalid_json"]
