@@ -79,16 +79,21 @@ def validate(parsed: DataFrame, value_col: str = "value", keep_fields: bool = Fa
     With ``keep_fields`` the string value of every contract field is kept as ``env_<field>`` (NULL when absent
     or not a string), so callers need not navigate the VARIANT again.
 
-    Field types and values are projected once (``__gl_t_*``, ``__gl_s_*``, ``__gl_n_*``) and the rules read those
-    columns, which keeps the expression tree linear in the number of rules."""
+    Field types and values are projected once (``__gl_t_*``, ``__gl_s_*``, ``__gl_n_*``) from a single
+    map conversion of the envelope, and the rules read those columns, which keeps the expression tree linear
+    in the number of rules."""
     v = F.col("envelope")
-    base = parsed.select(
+    # one conversion of the object to map<string,variant>; every field is then a map lookup (cheaper than a
+    # path navigation per field). Non-objects give a NULL map, so all fields read as absent.
+    staged0 = parsed.select("*", F.try_variant_get(v, "$", "map<string,variant>").alias("__gl_m"))
+    m = F.col("__gl_m")
+    base = staged0.select(
         "*", F.schema_of_variant(v).alias("__gl_top"),
-        F.json_object_keys(F.col(value_col)).alias("__gl_keys"),
-        F.try_variant_get(v, "$.site_filter", "array<variant>").alias("__gl_sf"),
-        *[F.schema_of_variant(_get(v, f)).alias(f"__gl_t_{f}") for f in _FIELDS],
-        *[_str(v, f).alias(f"__gl_s_{f}") for f in _FIELDS],
-        *[_num(v, f).alias(f"__gl_n_{f}") for f in ("top_n", "max_bytes")])
+        F.json_object_keys(F.col(value_col)).alias("__gl_keys"),  # document order, for additional:<k>
+        F.try_variant_get(m["site_filter"], "$", "array<variant>").alias("__gl_sf"),
+        *[F.schema_of_variant(m[f]).alias(f"__gl_t_{f}") for f in _FIELDS],
+        *[F.try_variant_get(m[f], "$", "string").alias(f"__gl_s_{f}") for f in _FIELDS],
+        *[F.try_variant_get(m[f], "$", "double").alias(f"__gl_n_{f}") for f in ("top_n", "max_bytes")])
 
     def t(f):
         return F.col(f"__gl_t_{f}")
