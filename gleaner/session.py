@@ -40,15 +40,22 @@ def get_session(app: str = "gleaner", master: str | None = None, shuffle_partiti
     return spark
 
 
+_LOCAL_DIRS: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Set our own (a fresh local folder) only when the session has none, which is the local/test case.
-    """
+    Only when the session has none (local runs, tests) a fresh local folder is used, remembered per
+    application; ``spark.checkpoint.dir`` itself cannot be changed on a running session, so it is left alone and
+    the SparkContext's checkpoint folder is set instead."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="gleaner-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        d = _LOCAL_DIRS.get(app)
+        if d is None:
+            d = tempfile.mkdtemp(prefix="gleaner-ckpt-")
+            _LOCAL_DIRS[app] = d
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
