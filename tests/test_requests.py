@@ -107,3 +107,20 @@ def test_text_source_arrival_order(spark, tmp_path):
     assert [r["value"] for r in rows] == ['{"n": 1}', "", '{"n": 2}', "{} x"]
     parsed = R.parse_lines(df).orderBy("pos_in_split").collect()
     assert [r["parse_error"] for r in parsed] == [None, None, "invalid_json"]
+
+
+def test_hot_key_budget_limits_rows_before_the_shuffle(spark):
+    """One source_ref holds a third of all rows: the group limit runs map-side (Partial) below the Exchange,
+    so at most ``cap`` rows per key and map task are shuffled; the result stays exact."""
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("seq"), F.col("id").alias("ts"),
+                               F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+                                   F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).alias("source_ref"))
+    ids = B.first_k_ids(df.repartition(8), "source_ref", ["ts", "seq"], 5, "seq")
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    exch = next(i for i, l in enumerate(lines) if "Exchange hashpartitioning(source_ref" in l)
+    assert any("WindowGroupLimit" in l and "Partial" in l for l in lines[exch:])
+    got = {r["seq"] for r in ids.collect()}
+    assert {s for s in got if s % 3 == 0} == {0, 3, 6, 9, 12}
+    assert len(got) == 5 + 500 * 4  # every cold key has 4 rows (all admitted), the hot key 5
