@@ -108,3 +108,13 @@ select a.doc_id, coalesce(p.n_sentences, 0) as n_sentences, coalesce(p.n_url_sen
  coalesce(b.n, 0) as n_dropped from ans a left join per p on p.doc_id = a.doc_id left join bad b on b.doc_id = a.doc_id""")
 def post_filter_drop_counts(spark, sf_dir):
     return CI.drop_counts(FX.answers(spark, sf_dir), url_sha(spark, sf_dir), provenance(spark, sf_dir))
+
+
+@register("post_filter_conversations", _filter_sql(
+    "docs as (select conv_id * 1000 + turn as doc_id, text from conversations)", "docs"))
+def post_filter_conversations(spark, sf_dir):
+    """Every conversation turn, whole text, through the citation filter (turn < 1000 keeps the key unique)."""
+    c = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    docs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    out = CI.post_filter(docs, url_sha(spark, sf_dir), provenance(spark, sf_dir))
+    return out.select("doc_id", "filtered")
