@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import chat, langid, sharding
+from . import chat, langid, packing, sharding
 from .common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,17 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+# -------------------------------------------------------------------------------------------------------- packing
+
+
+@register("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 # ---------------------------------------------------------------------------------------------------- chat format
 
 #: The conversation that the contract adds: a user and an assistant row with this text.
