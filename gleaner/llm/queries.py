@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import chat, langid, packing, sharding
+from . import chat, decontam, langid, packing, sharding
 from .common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,50 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "lang_pred", "score")
 
 
+# ------------------------------------------------------------------------------------------------ decontamination
+
+#: Words of `documents` and `benchmark`; both sides by list position, windows matched on the joined words.
+OP8_SQL = r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+), b as (
+  select cast(item_id as varchar) as item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+         lambda x: x <> '') as w from benchmark
+), sizes as (
+  select distinct least(13, len(w)) as size from b where len(w) > 0
+), windows as (
+  select distinct item_id, least(13, len(w)) as size,
+         array_to_string(list_slice(w, s, s + least(13, len(w)) - 1), ' ') as phrase
+  from b, unnest(range(1, len(w) - least(13, len(w)) + 2)) as t(s) where len(w) > 0
+), places as (
+  select doc_id, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') as phrase
+  from d, sizes, unnest(range(1, len(w) - size + 2)) as t(s)
+), found as (
+  select doc_id, s, places.size, item_id from places join windows using (phrase) where places.size = windows.size
+), hits as (
+  select doc_id, count(distinct p) as n_hit from found, unnest(range(s, s + size)) as t(p) group by doc_id
+), per as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+  from (select distinct doc_id, item_id from found) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hits using (doc_id) left join per using (doc_id)
+"""
+
+
+@register("op8_decontamination", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                        read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        decontam.contaminated().alias("contaminated"))
+
+
 # ------------------------------------------------------------------------------------------------------- sharding
 
 N_SHARDS = 40
