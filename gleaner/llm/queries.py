@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import chat, decontam, langid, packing, sharding
+from . import chat, decontam, langid, neardup, packing, sharding
 from .common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.fold_events(events)))
 
 
+# ----------------------------------------------------------------------------------------------------- near copies
+
+
+@register("op5_near_duplicates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 # ---------------------------------------------------------------------------------------------------- language ID
 
 
