@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import chat, decontam, langid, neardup, packing, sharding
+from . import chat, decontam, langid, neardup, packing, ppm, sharding
 from .common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,17 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+# ------------------------------------------------------------------------------------------------ language model
+
+
+@register("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    scored = ppm.score(docs, id_remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 # -------------------------------------------------------------------------------------------------------- packing
 
 
