@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import chat, decontam, langid, neardup, packing, ppm, sharding
+from . import chat, decontam, langid, neardup, packing, ppm, sharding, vptree, warc
 from .common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+# ----------------------------------------------------------------------------------------------------------- WARC
+
+#: Base32 of SHA-1: every five hex digits are four characters.
+OP3_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages
+), d as (
+  select page_id, strlen(body)::bigint as payload_bytes, max(page_id) over (partition by h) as top,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '')
+           as payload_digest
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+       case when page_id <> top then top end as refers_to
+from d
+"""
+
+
+@register("op3_warc", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    found = warc.pages_of(warc.reassemble(warc.read_records(spark, path)))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 # ---------------------------------------------------------------------------------------------------- chat format
 
 #: The conversation that the contract adds: a user and an assistant row with this text.
@@ -89,6 +116,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+# ---------------------------------------------------------------------------------------------- nearest neighbours
+
+OP6_SQL = """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d as (
+  select q.vec_id as query_id, v.vec_id, list_distance(q.e, v.e) as score
+  from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 100 = 0
+), r as (
+  select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from d
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@register("op6_nearest_neighbours", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return vptree.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 # ---------------------------------------------------------------------------------------------------- language ID
 
 
