@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import batch_of, text_groups
 
@@ -156,12 +156,12 @@ def _score(model: LanguageModel, texts: list) -> tuple[list, np.ndarray]:
     return langs, scores
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added (columns of those names are replaced)."""
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang_pred",
+            score_col: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its posterior added, under names that it does not have yet."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prob, model.log_prior, model.bits))
-    kept = docs.drop("lang_pred", "score")
-    at = kept.columns.index(text_col)
-    schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
 
     def apply(batches):
         own = LanguageModel(*shared.value)
@@ -173,6 +173,6 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
                 langs += x
                 scores.append(y)
             arrays = [*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, lang_col, score_col])
 
-    return kept.mapInArrow(apply, schema)
+    return docs.mapInArrow(apply, schema)

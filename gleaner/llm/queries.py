@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..sources.tables import read
-from . import chat, decontam, langid, neardup, packing, ppm, sharding, vptree, warc
+from . import chat, decontam, langid, neardup, packing, ppm, quality, sharding, vptree, warc
 from .common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +198,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontam.contaminated().alias("contaminated"))
 
 
+# ---------------------------------------------------------------------------------------------- quality classifier
+
+
+@register("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all documents, drawn by weight; ``accepted``: not rejected by the classifier."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    drawn = quality.resample(quality.weigh(docs, model).select("doc_id", "log_weight"), 0.5)
+    return drawn.withColumn("accepted", F.col("log_weight") >= F.lit(model.cut))
+
+
 # ------------------------------------------------------------------------------------------------------- sharding
 
 N_SHARDS = 40
@@ -207,3 +221,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(docs, N_SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ------------------------------------------------------------------------------------------------------- pipeline
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
