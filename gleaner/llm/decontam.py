@@ -230,3 +230,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
+
+
+def proximity(docs: DataFrame, phrases: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents that hold all words of a phrase close together: ``doc_id`` (text), ``item_id``, ``shift``. The two
+    rarest words may be ``slop`` words off their distance in the phrase, and the others that far off their places."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    own = materialize(item_words(phrases), "items")
+    counts = corpus_counts(docs, text_col, _bitmap(own.select(F.explode("words").alias("w")), "w"))
+    pairs = materialize(anchors(own, counts, 1 << 30), "anchors")
+    every = own.join(pairs.select("item").distinct(), "item", "left_semi").select("item", F.posexplode("words").alias("place", "word"))
+    index = materialize(build_index(docs, key, text_col, _bitmap(every, "word")), "postings")
+    near = alignments(index, pairs, slop)
+    asked = near.join(every, "item")
+    held = index.select(F.col("doc"), F.col("word"), "positions")
+    at = F.col("shift") + F.col("place")
+    fits = asked.join(held, ["doc", "word"]).where(F.exists("positions", lambda p: F.abs(p - at) <= slop))
+    found = fits.groupBy("doc", "item", "shift").agg(F.countDistinct("place").alias("n"))
+    whole = found.join(own, "item").where(F.col("n") == F.size("words"))
+    return whole.select(F.col("doc").alias("doc_id"), "item_id", "shift").distinct()
