@@ -1,9 +1,10 @@
 """URL scalars as Column expressions (JVM-side, codegen'd).
 
-One regex parses scheme, host and port so the same rule runs in Spark and in the SQL oracle. It follows the
-WHATWG hostname result for ordinary http(s) urls: host is lower-cased, userinfo is skipped, the port is split
-off. Out of scope (documented differences): IDN/punycode conversion, percent-decoding of hosts, backslash as
-path separator, scheme-relative forms such as ``https:example.com``.
+The host follows the WHATWG rules that decide where a request really goes. White space and controls around the
+url are trimmed, tabs and line breaks inside it removed. In the special schemes (http, https, ws, wss, ftp) a
+backslash is a slash and any number of slashes may follow the colon; userinfo ends at the last ``@`` before the
+path; a host with a forbidden character, or a port beyond 65535, does not parse. Two differences, both on the
+safe side: a host with a percent sign or a non-ASCII character is taken as it stands or rejected, never decoded.
 """
 
 from __future__ import annotations
@@ -11,8 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# scheme :// [userinfo@] host [:port] then path/query/fragment or end of string
-URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#\s]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\s\[\]]+)(?::([0-9]*))?(?:[/?#]|\z)"
+AROUND_PATTERN = r"^[\x00-\x20]+|[\x00-\x20]+\z"
+INSIDE_PATTERN = r"[\t\n\r]"
+_HOST = r"(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20\x7F/\\?#:@<>\[\]^|%]+)"
+_PORT = r"(?::(0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])|))?"  # to 65535
+# 1 special scheme, 2 host, 3 port, or 4 other scheme, 5 its host, 6 its port; then path, query, fragment or end
+URL_PATTERN = (r"^(?:((?i)https?|wss?|ftp):[/\\]*(?:[^/\\?#]*@)?" + _HOST + _PORT + r"(?:[/\\?#]|\z)"
+               r"|(?!(?i)(?:https?|wss?|ftp):)([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#]*@)?" + _HOST + _PORT
+               + r"(?:[/?#]|\z))[\s\S]*")
+AUTHORITY_PATTERN = r"^(?:((?i)https?|wss?|ftp):[/\\]*[^/\\?#]*|[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 
 
@@ -20,19 +28,30 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def cleaned(url) -> Column:
+    """The url as a parser reads it: trimmed, without tabs and line breaks."""
+    return F.regexp_replace(F.regexp_replace(_c(url), AROUND_PATTERN, ""), INSIDE_PATTERN, "")
+
+
+def _part(url, i: int) -> Column:
+    """Scheme, host or port (1 to 3), lower-cased: one match writes all three behind a mark that no cleaned url
+    starts with."""
+    parts = F.regexp_replace(cleaned(url), URL_PATTERN, "\x01$1$4 $2$5 $3$6")
+    return F.nullif(F.lower(F.regexp_extract(parts, r"^\x01(\S*) (\S*) (\S*)\z", i)), F.lit(""))
+
+
 def scheme(url) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(_c(url), URL_PATTERN, 1)), F.lit(""))
+    return _part(url, 1)
 
 
 def hostname(url) -> Column:
     """Lower-cased hostname, NULL when the url does not parse."""
-    return F.nullif(F.lower(F.regexp_extract(_c(url), URL_PATTERN, 2)), F.lit(""))
+    return _part(url, 2)
 
 
 def port(url) -> Column:
-    """Explicit port as int, NULL when absent, empty or not a number."""
-    raw = F.nullif(F.regexp_extract(_c(url), URL_PATTERN, 3), F.lit(""))
-    return F.when(F.length(raw) <= 5, raw.cast("int"))
+    """Explicit port as int, NULL when absent or empty."""
+    return _part(url, 3).cast("int")
 
 
 def origin(url, fallback=None) -> Column:
@@ -52,11 +71,10 @@ def origin(url, fallback=None) -> Column:
 def canonical_url(url) -> Column:
     """Declared cache key (D2): fragment stripped, scheme and host lower-cased, default port dropped.
     Unparsable urls keep their raw string minus the fragment."""
-    u = _c(url)
-    no_frag = F.regexp_replace(u, r"#[\s\S]*\z", "")
-    rest = F.regexp_replace(no_frag, URL_PATTERN.replace("(?:[/?#]|\\z)", ""), "")
+    no_frag = F.regexp_replace(cleaned(url), r"#[\s\S]*\z", "")
+    rest = F.regexp_replace(no_frag, AUTHORITY_PATTERN, "")
     rest = F.when(rest == "", F.lit("/")).otherwise(rest)
-    return F.when(hostname(u).isNull(), no_frag).otherwise(F.concat(origin(no_frag), rest))
+    return F.when(hostname(no_frag).isNull(), no_frag).otherwise(F.concat(origin(no_frag), rest))
 
 
 def host_labels(host) -> Column:

@@ -1,13 +1,11 @@
 """Allowlist operators: entry validation (O9), TTL class lookup (O15), membership (O16) and
 longest-suffix lookup (O17).
 
-Plan shape. The allowlist is a configuration table (the service ships ~15 domains). When its size is
-checked to be under ``max_broadcast_rows`` the suffix theta-join ``host = d or host endswith '.'||d`` is
-rewritten as one broadcast equi-join per distinct label count ``k`` of the allowlist domains: the k-label
-suffix of the host is compared to the k-label domains. The longest match is the left-most non-null in
-descending ``k``. Every join is a BroadcastHashJoin, so the big side is never shuffled and keeps its
-partitioning and row order. Beyond the size bound the same answer is computed per *distinct host* with a
-shuffle join + ``max_by`` and joined back on the host (AQE splits a hot host's partition).
+Plan shape. The suffix theta-join ``host = d or host endswith '.'||d`` becomes an equi-join: every *distinct*
+host is exploded to its parent domains (a handful of short strings), these are joined with the allowlist on
+equality, the longest match per host is kept (``max_by``), and the result goes back to the rows by host. What is
+shuffled before the last join are distinct hosts only. No size is guessed or remembered: Spark broadcasts the
+sides that its own statistics show to be small, and AQE splits a hot host's partition where it can't.
 """
 
 from __future__ import annotations
@@ -19,13 +17,6 @@ from .. import schemas as S
 from ..functions import urls as U
 
 ENTRY_FIELDS = ["entry_index", "domain", "purpose", "ttl_class", "added_at"]
-MAX_BROADCAST_ROWS = 100_000
-
-
-def row_count_at_most(df: DataFrame, n: int) -> bool:
-    """Cheap bounded size check: reads at most n+1 rows."""
-    return df.limit(n + 1).count() <= n
-
 
 def ttl_seconds(ttl_class) -> Column:
     """TTL class -> seconds (O15); NULL for an unknown class."""
@@ -71,10 +62,6 @@ def validate(al: DataFrame) -> DataFrame:
     )
 
 
-def valid_entries(al: DataFrame) -> DataFrame:
-    return entry_error(al).filter(F.col("error").isNull()).drop("error")
-
-
 def _first_per_domain(al: DataFrame) -> DataFrame:
     # equal domains: the first one in the file wins (strict '>' on length in the service)
     return (al.groupBy("domain")
@@ -82,23 +69,7 @@ def _first_per_domain(al: DataFrame) -> DataFrame:
             .select("e.*"))
 
 
-_SHAPE_CACHE: dict = {}
-
-
-def _shape(al: DataFrame, max_broadcast_rows: int):
-    """(fits_broadcast, label counts desc) of a deduplicated allowlist; two tiny jobs, memoized per plan."""
-    key = (al.semanticHash(), max_broadcast_rows)
-    if key not in _SHAPE_CACHE:
-        nlab = F.size(F.split(F.col("domain"), r"\."))
-        fits = row_count_at_most(al, max_broadcast_rows)
-        ks = sorted((r[0] for r in al.select(nlab.alias("k")).distinct().collect() if r[0] is not None),
-                    reverse=True) if fits else []
-        _SHAPE_CACHE[key] = (fits, ks)
-    return _SHAPE_CACHE[key]
-
-
-def lookup(df: DataFrame, url_col: str, allowlist: DataFrame, prefix: str = "al_",
-           max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def lookup(df: DataFrame, url_col: str, allowlist: DataFrame, prefix: str = "al_") -> DataFrame:
     """Add ``{prefix}entry_index, {prefix}domain, {prefix}purpose, {prefix}ttl_class, {prefix}added_at`` of the
     longest matching allowlist entry for ``url_col`` (all NULL when off-list) plus ``{prefix}ttl_seconds``.
 
@@ -108,30 +79,14 @@ def lookup(df: DataFrame, url_col: str, allowlist: DataFrame, prefix: str = "al_
     al = _first_per_domain(allowlist.select(*ENTRY_FIELDS))
     host = "__gl_host"
     out = df.withColumn(host, U.hostname(F.col(url_col)))
-    nlab = F.size(F.split(F.col("domain"), r"\."))
-    fits, ks = _shape(al, max_broadcast_rows)
-    if fits:
-        hits = []
-        for k in ks:
-            side = al.filter(nlab == k).select(
-                F.col("domain").alias(f"__gl_d{k}"), F.struct(*ENTRY_FIELDS).alias(f"__gl_e{k}"))
-            suffix = U.host_suffix(F.col(host), k)
-            if k < 2:  # a one-label domain only matches the identical host
-                suffix = F.when(F.size(U.host_labels(F.col(host))) == k, suffix)
-            out = out.join(F.broadcast(side), suffix == F.col(f"__gl_d{k}"), "left")
-            hits.append(F.col(f"__gl_e{k}"))
-        best = F.coalesce(*hits) if hits else F.lit(None).cast(
-            "struct<entry_index:int,domain:string,purpose:string,ttl_class:string,added_at:string>")
-        out = out.withColumn("__gl_best", best).drop(*[f"__gl_d{k}" for k in ks], *[f"__gl_e{k}" for k in ks])
-    else:
-        hosts = out.select(host).distinct().filter(F.col(host).isNotNull())
-        cand = hosts.select(host, F.explode(U.suffix_candidates(F.col(host))).alias("domain"))
-        m = (cand.join(al, "domain")
-             .filter((F.size(F.split("domain", r"\.")) >= 2) | (F.col("domain") == F.col(host)))
-             .groupBy(host)
-             .agg(F.max_by(F.struct(*ENTRY_FIELDS),
-                           F.struct(F.length("domain"), -F.col("entry_index"))).alias("__gl_best")))
-        out = out.join(m, host, "left")
+    hosts = out.select(host).distinct().filter(F.col(host).isNotNull())
+    cand = hosts.select(host, F.explode(U.suffix_candidates(F.col(host))).alias("domain"))
+    best = (cand.join(al, "domain")
+            .filter((F.size(F.split("domain", r"\.")) >= 2) | (F.col("domain") == F.col(host)))
+            .groupBy(host)
+            .agg(F.max_by(F.struct(*ENTRY_FIELDS),
+                          F.struct(F.length("domain"), -F.col("entry_index"))).alias("__gl_best")))
+    out = out.join(best, host, "left")
     cols = [F.col(f"__gl_best.{f}").alias(prefix + f) for f in ENTRY_FIELDS]
     return (out.select("*", *cols)
             .withColumn(prefix + "ttl_seconds", ttl_seconds(F.col(prefix + "ttl_class")))

@@ -23,6 +23,44 @@ def url_parts(spark, sf_dir):
                     U.origin("url").alias("origin"), U.canonical_url("url").alias("canonical_url"))
 
 
+# Hostile and odd spellings of every page url: a prefix and a suffix around the url's own scheme, host or path.
+_BACK, _TAB = chr(92), chr(9)
+_EDGE = [
+    "url", f"concat('  ', url, '{_TAB} ')", "concat(upper(substring(url, 1, 12)), substring(url, 13))",
+    "replace(url, '://', ':{0}{0}')", "replace(url, '://', ':')", "replace(url, '://', ':////')",
+    "concat('https://made-up.example{0}.', replace(url, 'https://', ''))", "concat('https://made-up.example{0}@', replace(url, 'https://', ''))",
+    "concat('https://me:pw@made-up.example@', replace(url, 'https://', ''))", "replace(url, '.example.', '.example.:99999/')",
+    "concat('https://example.com:65536/', cast(page_id as string))", "concat('https://example.com:65535/', cast(page_id as string))",
+    "concat('https://example.com:00443/', cast(page_id as string))", "concat('https://a<b.example.com/', cast(page_id as string))",
+    "concat('https://a^b.example.com/', cast(page_id as string))", "concat('https://ex%61mple.com/', cast(page_id as string))",
+    "concat('https://a|b.example.com:80/', cast(page_id as string))", "concat('https://exam', chr(10), 'ple.com/', cast(page_id as string))",
+    "concat('https://made-up.example?.example.com/', cast(page_id as string))", "concat('https://made-up.example#@example.com/', cast(page_id as string))",
+    "concat('other://me@example.com:7/', cast(page_id as string))", "concat('https://[::1]:8080/', cast(page_id as string))",
+    "concat('https:', cast(page_id as string), '.example.org')", "concat('//example.com/', cast(page_id as string))", "''",
+]
+_EDGE = [e.format(_BACK * 2) if "{0}" in e else e for e in _EDGE]
+
+
+def _edge_list(back: str) -> str:
+    return ", ".join(e.replace(_BACK * 2, back) for e in _EDGE)
+
+
+@register("url_edge_cases", FX.with_ctes(FX.AL_SQL) + f""", v as (select page_id, unnest([{_edge_list(_BACK)}]) as url,
+ unnest(range({len(_EDGE)})) as variant from pages),
+h as (select *, page_id * 100 + variant as id, {Q.host('url')} as host, {Q.origin('url')} as origin,
+ {Q.canonical('url')} as canonical_url from v)
+select h.page_id, cast(h.variant as bigint) as variant, h.url, h.host, h.origin, h.canonical_url, b.domain from h
+left join {Q.allow_best('s.url', 's.id', 'h')} b on b.id = h.id""")
+def url_edge_cases(spark, sf_dir):
+    """Where odd spellings of every page's url lead, and whether the gate opens for them."""
+    p = read(spark, sf_dir, "pages", "page_id", "url")
+    v = p.select("page_id", F.posexplode(F.expr(f"array({_edge_list(_BACK * 2)})")).alias("variant", "url"))
+    out = A.lookup(v, "url", FX.allowlist(spark))
+    return out.select("page_id", F.col("variant").cast("long").alias("variant"), "url", U.hostname("url").alias("host"),
+                      U.origin("url").alias("origin"), U.canonical_url("url").alias("canonical_url"),
+                      F.col("al_domain").alias("domain"))
+
+
 _SEMI_SQL = FX.with_ctes(FX.AL_SQL) + f"""select page_id, url from pages p where exists (select 1 from al where
  {Q.host('p.url')} = al.domain or ends_with({Q.host('p.url')}, '.' || al.domain))"""
 _ANTI_SQL = FX.with_ctes(FX.AL_SQL) + f"""select page_id, url from pages p where not exists (select 1 from al where

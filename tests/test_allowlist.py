@@ -47,21 +47,30 @@ def test_duplicate_domain_first_entry_wins(spark):
     assert A.lookup(df, "url", al).collect()[0]["al_purpose"] == "first"
 
 
-def test_lookup_is_broadcast_and_shuffle_free(spark):
-    al = _al(spark, ("example.com", "x", "generic"), ("hmrc.gov.uk", "x", "generic"))
-    df = spark.createDataFrame([("https://a.example.com/",)], "url string")
-    plan = A.lookup(df, "url", al)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-
-
-def test_large_allowlist_path_matches_broadcast_path(spark):
+def test_lookup_of_unparsable_and_off_list_urls(spark):
     al = _al(spark, ("gov.uk", "broad", "generic"), ("hmrc.gov.uk", "narrow", "airline"), ("example.com", "x", "generic"))
     df = spark.createDataFrame([(u,) for u in ["https://hmrc.gov.uk/x", "https://a.b.gov.uk/", "https://nope.org/",
                                                 "not a url", "https://EXAMPLE.com"]], "url string")
-    a = sorted((r["url"], r["al_domain"]) for r in A.lookup(df, "url", al).collect())
-    b = sorted((r["url"], r["al_domain"]) for r in A.lookup(df, "url", al, max_broadcast_rows=0).collect())
-    assert a == b
+    got = {r["url"]: r["al_domain"] for r in A.lookup(df, "url", al).collect()}
+    assert got["not a url"] is None and got["https://nope.org/"] is None
+
+
+def test_lookup_sees_rows_added_to_the_allowlist(spark, tmp_path):
+    path = str(tmp_path / "al")
+    AS.from_rows(spark, [("example.com", "x", "generic", "2026-01-01")]).write.parquet(path)
+    df = spark.createDataFrame([("https://a.b.c.example.net/",), ("https://example.com/",)], "url string")
+    assert {r["al_domain"] for r in A.lookup(df, "url", spark.read.parquet(path)).collect()} == {None, "example.com"}
+    AS.from_rows(spark, [("b.c.example.net", "y", "generic", "2026-01-01")]).write.mode("append").parquet(path)
+    assert {r["al_domain"] for r in A.lookup(df, "url", spark.read.parquet(path)).collect()} == {"b.c.example.net", "example.com"}
+
+
+def test_gate_stays_shut_for_misleading_urls(spark):
+    al = AS.from_rows(spark, [("example.com", "x", "generic", "2026-01-01")])
+    shut = ["https://evil.com\\.example.com/", "https://example.com:99999/", "https://a<b.example.com/", "https://evil.com?@example.com/"]
+    ok = [" https://example.com/ ", "https:\\\\example.com\\x", "https://me@evil.com@example.com/", "https://exam\nple.com/"]
+    df = spark.createDataFrame([(u,) for u in shut + ok], "url string")
+    got = {r["url"]: r["al_domain"] for r in A.lookup(df, "url", al).collect()}
+    assert [u for u in shut if got[u]] == [] and [u for u in ok if not got[u]] == []
 
 
 def test_validation_messages(spark):
@@ -83,10 +92,10 @@ def test_validation_messages(spark):
 def test_yaml_loader(spark):
     import pytest
 
-    df = AS.from_yaml_text(spark, "entries:\n  - domain: example.com\n    purpose: test\n    ttl_class: generic\n"
-                                  "    added_at: 2026-05-13\n")
+    df = AS.from_yaml_text(spark, "entries:\n- {domain: bees.example, ttl_class: airline, added_at: 2025-11-02,\n"
+                                  "   purpose: hive logs}\n")
     r = df.collect()[0]
-    assert r["added_at"] == "2026-05-13" and r["entry_index"] == 0
+    assert r["added_at"] == "2025-11-02" and r["entry_index"] == 0 and r["purpose"] == "hive logs"
     for text, msg in [("foo: 1", "entries"), ("entries: 3", "not an array"), ("entries: []", "empty")]:
         with pytest.raises(AS.AllowlistSourceError, match=msg):
             AS.from_yaml_text(spark, text)
