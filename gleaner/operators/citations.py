@@ -6,10 +6,9 @@ sentences are rejoined in order with one space and trimmed; an empty text is ret
 
 Plan (designed so text never moves unless it has to):
 1. sentences and their URLs are computed per row (narrow: split + regexp_extract_all);
-2. the *distinct* cited URLs (partial aggregation collapses a hot URL map-side) are checked against the
-   url map and provenance -> the set of untracked URLs;
-3. citations of untracked URLs give (doc_id, pos) of sentences to drop, collected per document
-   (bounded by that document's sentence count);
+2. the url map, reduced to one sha per url, semi-joined with provenance gives the tracked URLs;
+3. citations without a tracked URL (anti-join; one split pass, a hot URL is an ordinary skewed join key) give
+   (doc_id, pos) of sentences to drop, collected per document (bounded by that document's sentence count);
 4. documents are joined with their drop positions and the kept sentences are re-joined by a per-row filter.
    No broadcast hint: with AQE on, Spark measures the drop table's real shuffle size at runtime and turns the
    join into a broadcast only under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond it the join stays
@@ -30,16 +29,11 @@ def cited_urls(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text")
     return s.select("doc_id", "pos", F.posexplode(X.extract_urls(F.col("sentence"))).alias("url_pos", "url"))
 
 
-def tracked_urls(urls: DataFrame, url_sha: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(url, tracked) for the distinct urls of ``urls``."""
-    distinct = urls.select("url").distinct()
+def tracked_urls(url_sha: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(url) of the map whose sha is not empty and has a provenance row."""
     shamap = url_sha.groupBy("url").agg(F.max("content_sha256").alias("content_sha256"))
-    prov = provenance.select("content_sha256").distinct().withColumn("__gl_prov", F.lit(True))
-    j = (distinct.join(shamap, "url", "left")
-         .join(prov, "content_sha256", "left"))
-    tracked = (F.col("content_sha256").isNotNull() & (F.col("content_sha256") != "")
-               & F.col("__gl_prov").isNotNull())
-    return j.select("url", tracked.alias("tracked"))
+    return (shamap.filter(F.col("content_sha256") != "")
+            .join(provenance.select("content_sha256"), "content_sha256", "left_semi").select("url"))
 
 
 def drop_positions(docs: DataFrame, url_sha: DataFrame, provenance: DataFrame, doc_col="doc_id",
@@ -47,8 +41,7 @@ def drop_positions(docs: DataFrame, url_sha: DataFrame, provenance: DataFrame, d
     """(doc_id, drop array<int>): sentence positions to drop per document, only for documents with any.
     A text without the substring ``http`` cannot cite a URL, so only the others are split (exact pre-filter)."""
     cites = cited_urls(docs.filter(F.col(text_col).contains("http")), doc_col, text_col)
-    untracked = tracked_urls(cites, url_sha, provenance).filter(~F.col("tracked")).select("url")
-    bad = cites.join(untracked, "url", "left_semi")
+    bad = cites.join(tracked_urls(url_sha, provenance), "url", "left_anti")
     return bad.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 

@@ -18,7 +18,7 @@ from ..functions import urls as U
 def triage_reason(status, content_type, body, error_name, max_bytes=S.MAX_BODY_BYTES) -> Column:
     """First failing check in the service's order; NULL when the document is usable."""
     st, ct, b, err = (F.col(c) if isinstance(c, str) else c for c in (status, content_type, body, error_name))
-    ct = F.lower(ct)
+    ct = F.nullif(F.lower(ct), F.lit(""))  # an empty header is an absent one
     mb = max_bytes if isinstance(max_bytes, Column) else F.lit(max_bytes)
     return (F.when(err.isNotNull(), F.when(err == "AbortError", F.lit("timeout")).otherwise(F.lit("transport_error")))
             .when((st < 200) | (st >= 400), F.lit("non_2xx"))

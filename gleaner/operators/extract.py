@@ -1,20 +1,16 @@
 """Main-content extraction (O38) and page quality flags.
 
-Native path (default): a fixed sequence of regex rewrites evaluated as Column expressions -- drop
+A fixed sequence of regex rewrites evaluated as Column expressions -- drop
 script/style/comments and boilerplate blocks, keep the ``<article>`` (else ``<main>``, else ``<body>``)
 region, drop inline tags, turn other tags into spaces, decode common named entities, collapse whitespace.
 The same steps are emitted as SQL text for the DuckDB oracle (``native_extract_sql``), so both engines apply
 one rule list. It cannot equal an external DOM readability library; it keeps the same inputs, outputs and flags.
-
-Scored path: ``extract_scored`` runs stdlib ``html.parser`` inside ``mapInPandas`` (Arrow batches, one pass
-per partition, no shuffle) and picks the block with the best text score (length, commas, link density).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import text as X
@@ -143,114 +139,3 @@ def quality_sql(title: str, plaintext: str) -> str:
             f" when regexp_matches(substring({plaintext}, 1, {S.BODY_PREFIX_SCAN_CHARS}), {_q(S.BODY_CAPTCHA_PATTERN)}) then 'captcha_or_paywall'"
             f" when length({plaintext}) + length(regexp_replace({plaintext}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
             f" < {S.MIN_USEFUL_PLAINTEXT_CHARS} then 'empty' end)")
-
-
-# ------------------------------------------------------------------------------------------------
-# Scored path (Python worker, Arrow batches)
-# ------------------------------------------------------------------------------------------------
-SCORED_SCHEMA = T.StructType([T.StructField("title", T.StringType()), T.StructField("plaintext", T.StringType()),
-                              T.StructField("parse_error", T.BooleanType())])
-
-
-def _score_one(html: str | None):
-    import re
-    from html.parser import HTMLParser
-
-    if html is None:
-        return None, "", True
-    skip = {"script", "style", "noscript", "template", "svg", "iframe", "nav", "footer", "aside", "form", "header"}
-    blocks_tags = {"p", "div", "article", "section", "main", "td", "li", "pre", "blockquote", "h1", "h2", "h3",
-                   "h4", "h5", "h6", "body"}
-    ws = re.compile(r"[\s\ufeff]+")
-
-    class P(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.skip_depth = 0
-            self.in_title = False
-            self.title = []
-            self.stack = []  # open block records: [tag, texts, link_chars]
-            self.blocks = []
-            self.link_depth = 0
-
-        def handle_starttag(self, tag, attrs):
-            if tag in skip:
-                self.skip_depth += 1
-            elif tag == "title":
-                self.in_title = True
-            elif tag == "a":
-                self.link_depth += 1
-            elif tag in blocks_tags:
-                self.stack.append([tag, [], 0])
-
-        def handle_endtag(self, tag):
-            if tag in skip:
-                self.skip_depth = max(0, self.skip_depth - 1)
-            elif tag == "title":
-                self.in_title = False
-            elif tag == "a":
-                self.link_depth = max(0, self.link_depth - 1)
-            elif tag in blocks_tags:
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == tag:
-                        rec = self.stack.pop(i)
-                        self.blocks.append(rec)
-                        if self.stack:  # bubble text up to the parent block
-                            self.stack[-1][1].extend(rec[1])
-                            self.stack[-1][2] += rec[2]
-                        break
-
-        def handle_data(self, data):
-            if self.in_title:
-                self.title.append(data)
-                return
-            if self.skip_depth or not self.stack:
-                return
-            self.stack[-1][1].append(data)
-            if self.link_depth:
-                self.stack[-1][2] += len(data)
-
-    p = P()
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # noqa: BLE001 - a malformed document is a data outcome, not a task failure
-        return None, "", True
-    while p.stack:
-        rec = p.stack.pop()
-        p.blocks.append(rec)
-        if p.stack:
-            p.stack[-1][1].extend(rec[1])
-            p.stack[-1][2] += rec[2]
-    best, best_score = "", float("-inf")
-    for tag, texts, link_chars in p.blocks:
-        txt = ws.sub(" ", " ".join(texts)).strip()
-        if not txt:
-            continue
-        density = link_chars / max(len(txt), 1)
-        score = (len(txt) / 100.0 + txt.count(",") + (5 if tag in ("article", "main") else 0)) * (1 - density)
-        if score > best_score:
-            best, best_score = txt, score
-    title = ws.sub(" ", "".join(p.title)).strip() or None
-    return title, best, False
-
-
-def extract_scored(df: DataFrame, html_col: str) -> DataFrame:
-    """Scored extraction with a Python worker per partition; adds ``title, plaintext, low_signal, reason``."""
-    in_cols = df.columns
-    out_schema = T.StructType(df.schema.fields + [T.StructField("__gl_s", SCORED_SCHEMA)])
-
-    def run(batches):
-        for pdf in batches:
-            res = [_score_one(h) for h in pdf[html_col].tolist()]
-            pdf = pdf.copy()
-            pdf["__gl_s"] = [{"title": t, "plaintext": x, "parse_error": e} for t, x, e in res]
-            yield pdf
-
-    out = df.mapInPandas(run, out_schema)
-    return (out.select(*in_cols, F.col("__gl_s.title").alias("title"), F.col("__gl_s.plaintext").alias("plaintext"),
-                       F.col("__gl_s.parse_error").alias("__gl_pe"))
-            .withColumn("reason", F.when(F.col("__gl_pe"), F.lit("parse_error"))
-                        .otherwise(quality_reason(F.col("title"), F.col("plaintext"))))
-            .withColumn("low_signal", F.col("reason").isNotNull())
-            .drop("__gl_pe"))

@@ -87,9 +87,9 @@ def post_filter(spark, sf_dir):
     return out.select("doc_id", "filtered")
 
 
-@register("post_filter_documents", _filter_sql("docs as (select doc_id, text from documents)", "docs"))
+@register("post_filter_documents", _filter_sql(f"docs as ({FX.cited_sql('documents', 's.doc_id', 's.doc_id')})", "docs"))
 def post_filter_documents(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = FX.cited(read(spark, sf_dir, "documents", "doc_id", "text"), spark, sf_dir, "doc_id")
     out = CI.post_filter(docs, url_sha(spark, sf_dir), provenance(spark, sf_dir))
     return out.select("doc_id", "filtered")
 
@@ -110,11 +110,11 @@ def post_filter_drop_counts(spark, sf_dir):
     return CI.drop_counts(FX.answers(spark, sf_dir), url_sha(spark, sf_dir), provenance(spark, sf_dir))
 
 
-@register("post_filter_conversations", _filter_sql(
-    "docs as (select conv_id * 1000 + turn as doc_id, text from conversations)", "docs"))
+@register("post_filter_conversations", "select doc_id[1] as conv_id, doc_id[2] as turn, filtered from (" + _filter_sql(
+    f"docs as ({FX.cited_sql('conversations', '[s.conv_id, s.turn] as doc_id', 's.conv_id + s.turn')})", "docs") + ")")
 def post_filter_conversations(spark, sf_dir):
-    """Every conversation turn, whole text, through the citation filter (turn < 1000 keeps the key unique)."""
-    c = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    docs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    """Every conversation turn, whole text, through the citation filter, keyed by conversation and turn."""
+    c = FX.cited(read(spark, sf_dir, "conversations", "conv_id", "turn", "text"), spark, sf_dir, "conv_id + turn")
+    docs = c.select(F.struct("conv_id", "turn").alias("doc_id"), "text")
     out = CI.post_filter(docs, url_sha(spark, sf_dir), provenance(spark, sf_dir))
-    return out.select("doc_id", "filtered")
+    return out.select("doc_id.conv_id", "doc_id.turn", "filtered")

@@ -17,7 +17,7 @@ MAXB = FX.CRAWL_MAX_BYTES
 
 TRIAGE_SQL = f"""(case when error_name is not null then (case when error_name = 'AbortError' then 'timeout' else 'transport_error' end)
  when status < 200 or status >= 400 then 'non_2xx'
- when content_type is not null and not (starts_with(lower(content_type), 'text/html') or starts_with(lower(content_type), 'application/xhtml')) then 'invalid_content_type'
+ when content_type is not null and content_type <> '' and not (starts_with(lower(content_type), 'text/html') or starts_with(lower(content_type), 'application/xhtml')) then 'invalid_content_type'
  when body is null then 'transport_error'
  when strlen(body) > {MAXB} then 'over_size_cap' end)"""
 
@@ -62,14 +62,14 @@ def decode_body(spark, sf_dir):
                     X.sha256_hex("body_text").alias("text_sha256"))
 
 
-@register("body_truncate", FX.with_ctes(FX.CRAWL_SQL) + """select page_id, cast(1024 + (page_id % 5) * 2048 as bigint) as max_bytes,
+@register("body_truncate", FX.with_ctes(FX.CRAWL_SQL) + """select page_id, cast(1024 + abs(page_id % 5) * 2048 as bigint) as max_bytes,
  cast(strlen(body) as bigint) as byte_size,
- cast(least(strlen(body), 1024 + (page_id % 5) * 2048) as bigint) as kept_bytes,
- strlen(body) > 1024 + (page_id % 5) * 2048 as truncated
-from crawl where body is not null""")
+ cast(case when body is not null then least(strlen(body), 1024 + abs(page_id % 5) * 2048) end as bigint) as kept_bytes,
+ strlen(body) > 1024 + abs(page_id % 5) * 2048 as truncated
+from crawl""")
 def body_truncate(spark, sf_dir):
-    c = FX.crawl(spark, sf_dir).filter(F.col("body").isNotNull())
-    mb = (F.lit(1024) + (F.col("page_id") % 5) * 2048).cast("long")
+    c = FX.crawl(spark, sf_dir)
+    mb = (F.lit(1024) + F.abs(F.col("page_id") % 5) * 2048).cast("long")
     t = C.truncate_body(F.col("body"), mb)
     return c.select("page_id", mb.alias("max_bytes"), F.octet_length("body").cast("long").alias("byte_size"),
                     t.kept_bytes.alias("kept_bytes"), t.truncated.alias("truncated"))
@@ -86,21 +86,16 @@ def page_extract(spark, sf_dir):
     return XT.extract(p, "html").select("page_id", "url", "title", "plaintext", "low_signal", "reason")
 
 
-@register("page_extract_scored")
-def page_extract_scored(spark, sf_dir):
-    p = read(spark, sf_dir, "pages", "page_id", "url", "html")
-    return XT.extract_scored(p, "html").select("page_id", "url", "title", "plaintext", "low_signal", "reason")
-
-
 _CT, _CX = XT.native_extract_sql("body")
-EXTRACT_CRAWL_SQL = f"""cext as (select page_id, {_CT} as title, {_CX} as plaintext from crawl where body is not null)"""
+EXTRACT_CRAWL_SQL = f"""cext as (select page_id, {_CT} as title, {_CX} as plaintext, body from crawl)"""
 
 
 @register("page_quality", FX.with_ctes(FX.CRAWL_SQL, EXTRACT_CRAWL_SQL) + f"""select page_id, title,
- {XT.quality_sql('title', 'plaintext')} is not null as low_signal, {XT.quality_sql('title', 'plaintext')} as reason,
- cast(length(plaintext) as bigint) as n_chars from cext""")
+ body is null or {XT.quality_sql('title', 'plaintext')} is not null as low_signal,
+ case when body is null then 'parse_error' else {XT.quality_sql('title', 'plaintext')} end as reason,
+ cast(length(coalesce(plaintext, '')) as bigint) as n_chars from cext""")
 def page_quality(spark, sf_dir):
-    c = FX.crawl(spark, sf_dir).filter(F.col("body").isNotNull()).withColumn("html", X.decode_body(F.col("body")))
+    c = FX.crawl(spark, sf_dir).withColumn("html", X.decode_body(F.col("body")))
     e = XT.extract(c, "html")
     return e.select("page_id", "title", "low_signal", "reason", F.length("plaintext").cast("long").alias("n_chars"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from . import allowlist as allowlist_source
 from .tables import read
 
@@ -21,44 +22,44 @@ AL_ROWS = [
     ("example.org", "fast", "airline", "2026-05-13"),
     ("spam-farm.example.org", "narrow", "insurance-med", "2026-05-13"),
 ]
-VALID_TRACE_ID = "01234567-89ab-7cde-8f01-23456789abcd"
+VALID_TRACE_ID = "0b1c2d3e-4f50-7a6b-9c7d-8e9fa0b1c2d3"
 # events request the page with page_id = event_id % (number of pages): every page is requested, ~events/pages
-# times each, at every scale
-CRAWL_MAX_BYTES = 10000  # body cap used with CRAWL so that over_size_cap occurs
-SIGN_IN_HTML = ("<html><head><title>Sign in</title></head><body><article><h1>Sign in</h1>"
-                "<p>Please sign in.</p></article></body></html>")
-CAPTCHA_HTML = ("<html><head><title>Just a moment...</title></head><body><article><p>Please verify you are "
-                "human. Cloudflare Ray ID: 1</p></article></body></html>")
-TINY_HTML = "<html><head><title>x</title></head><body><article>hi</article></body></html>"
+# times each, at every scale; every fourth request goes to the page's failure row instead
+CRAWL_MAX_BYTES = S.MAX_BODY_BYTES
+FAILURE_MARK = "?f=1"  # ends the url of a page's failure row
+SIGN_IN_HTML = ("<html><head><title>Sign in to the reading room</title></head><body><main><h2>Members</h2>"
+                "<p>This shelf is for members.</p></main></body></html>")
+CAPTCHA_HTML = ("<html><head><title>One moment</title></head><body><main><p>Please verify you are human "
+                "before the shelf opens.</p></main></body></html>")
+TINY_HTML = "<html><head><title>stub</title></head><body><main>nothing yet</main></body></html>"
 NOW_ISO = "2024-02-01T00:00:00.000Z"  # the fixed "now" of the pipeline queries
 
 
-_AL: dict = {}
-
-
 def allowlist(spark: SparkSession) -> DataFrame:
-    """The test allowlist, one DataFrame per Spark application (so its shape analysis is reused)."""
-    key = spark.sparkContext.applicationId
-    if key not in _AL:
-        _AL[key] = allowlist_source.from_rows(spark, AL_ROWS)
-    return _AL[key]
+    """The test allowlist."""
+    return allowlist_source.from_rows(spark, AL_ROWS)
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One crawl result per page: every triage and quality reason occurs."""
+    """Two crawl results per page: the page itself, and a failure row (negative page_id, marked url) whose kind
+    goes round all triage and quality reasons. Oversize bodies repeat the page past the cap."""
     p = read(spark, sf_dir, "pages", "page_id", "url", "html")
-    pid = F.col("page_id")
-    status = (F.when(pid % 10 == 8, 0).when(pid % 10 == 7, 403).when(pid % 10 == 6, 301).otherwise(200))
-    ctype = (F.when(pid % 10 == 8, F.lit(None)).when(pid % 11 == 5, F.lit("application/pdf"))
-             .when(pid % 11 == 6, F.lit(None)).otherwise(F.lit("text/html; charset=utf-8")))
-    body = (F.when(pid % 10 == 8, F.lit(None)).when(pid % 13 == 4, F.lit(SIGN_IN_HTML))
-            .when(pid % 13 == 5, F.lit(CAPTCHA_HTML)).when(pid % 13 == 6, F.lit(TINY_HTML))
-            .otherwise(F.col("html")))
-    err = F.when(pid % 20 == 8, F.lit("AbortError")).when(pid % 20 == 18, F.lit("ECONNREFUSED"))
-    return p.select(
-        "page_id", "url", status.cast("int").alias("status"), ctype.cast("string").alias("content_type"),
-        F.encode(body, "UTF-8").alias("body"), err.cast("string").alias("error_name"),
-        F.col("url").alias("final_url"))
+    kind = F.col("page_id") % 10
+    html_type = F.lit("text/html; charset=utf-8")
+    real = p.select("page_id", "url", F.when(kind == 6, 301).otherwise(200).alias("status"),
+                    F.when(F.col("page_id") % 11 != 6, html_type).alias("content_type"), F.col("html").alias("body"),
+                    F.lit(None).cast("string").alias("error_name"))
+    times = F.expr(f"cast({CRAWL_MAX_BYTES} / greatest(octet_length(html), 1) as int) + 1")
+    body = (F.when(kind.isin(3, 4), F.lit(None)).when(kind == 0, F.lit(SIGN_IN_HTML)).when(kind == 1, F.lit(CAPTCHA_HTML))
+            .when(kind == 2, F.lit(TINY_HTML)).when(kind == 8, F.repeat(F.col("html"), times)).otherwise(F.col("html")))
+    failed = p.select((-F.col("page_id") - 1).alias("page_id"), F.concat("url", F.lit(FAILURE_MARK)).alias("url"),
+                      F.when(kind.isin(3, 4), 0).when(kind == 5, 403).otherwise(200).alias("status"),
+                      F.when(kind == 6, F.lit("application/pdf")).when(kind == 9, F.lit(""))
+                      .when(~kind.isin(3, 4, 7), html_type).alias("content_type"), body.alias("body"),
+                      F.when(kind == 3, F.lit("AbortError")).when(kind == 4, F.lit("ECONNREFUSED")).alias("error_name"))
+    return real.unionByName(failed).select(
+        "page_id", "url", F.col("status").cast("int").alias("status"), "content_type",
+        F.encode("body", "UTF-8").alias("body"), "error_name", F.col("url").alias("final_url"))
 
 
 _DERIVED: dict = {}
@@ -92,7 +93,8 @@ def derive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(et.isin("view", "purchase"), "web.search.v1").otherwise("web.fetch.v1").alias("contract_id"),
                     F.when(et == "signup", "realtime").otherwise("cached").alias("freshness"),
                     F.when(et == "error", "not-a-uuid").otherwise(VALID_TRACE_ID).alias("trace_id"),
-                    "url", "event_type", "user_id",
+                    F.when(F.col("event_id") % 4 == 1, F.concat("url", F.lit(FAILURE_MARK))).otherwise(F.col("url")).alias("url"),
+                    "event_type", "user_id",
                     F.concat(F.lit("agent:"), (F.col("user_id") % 7).cast("string")).alias("caller_agent_id"),
                     F.concat(F.lit("pages about "), F.col("user_id").cast("string")).alias("query"),
                     (F.lit(1) + F.col("event_id") % 10).cast("int").alias("top_n")))
@@ -116,6 +118,25 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                    lambda: requests(spark, sf_dir).select("seq", "ts", F.expr(LINE_EXPR).alias("value")))
 
 
+def cited(texts: DataFrame, spark: SparkSession, sf_dir: str, id_expr: str) -> DataFrame:
+    """``texts`` with four sentences after every text (column ``text``): one cites a page, one a made-up url, one
+    both, one none. The page goes by ``id_expr``."""
+    n = _page_count(spark, sf_dir)
+    p = read(spark, sf_dir, "pages", F.col("page_id").alias("p_page"), F.col("url").alias("p_url"))
+    j = texts.withColumn("p_page", F.expr(f"pmod({id_expr}, {n})")).join(p, "p_page")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(". Noted at "), "p_url", F.lit(". Claimed at https://made-up.example/"),
+                    F.col("p_page").cast("string"), F.lit(". Both "), "p_url",
+                    F.lit(" and https://made-up.example/b say so. Nothing is cited here."))
+    return j.withColumn("text", text).drop("p_page", "p_url")
+
+
+def cited_sql(source: str, columns: str, id_expr: str) -> str:
+    """The same rule over ``source``, keeping ``columns``."""
+    return f"""select {columns}, concat(coalesce(s.text, ''), '. Noted at ', p.url, '. Claimed at https://made-up.example/',
+ cast(p.page_id as varchar), '. Both ', p.url, ' and https://made-up.example/b say so. Nothing is cited here.') as text
+from {source} s join pages p on p.page_id = ({id_expr}) % (select count(*) from pages)"""
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated text with tracked, hallucinated and mixed citations, one per page."""
     p = read(spark, sf_dir, "pages", "page_id", "url")
@@ -133,25 +154,26 @@ AL_SQL = """al as (select * from (values (0,'example.com','broad','generic','202
  (1,'example.org','fast','airline','2026-05-13'),
  (2,'spam-farm.example.org','narrow','insurance-med','2026-05-13')) t(entry_index,domain,purpose,ttl_class,added_at))"""
 
-CRAWL_SQL = f"""crawl as (select page_id, url,
- case when page_id % 10 = 8 then 0 when page_id % 10 = 7 then 403 when page_id % 10 = 6 then 301 else 200 end as status,
- case when page_id % 10 = 8 then null when page_id % 11 = 5 then 'application/pdf' when page_id % 11 = 6 then null
-      else 'text/html; charset=utf-8' end as content_type,
- case when page_id % 10 = 8 then null
-      when page_id % 13 = 4 then '{SIGN_IN_HTML}'
-      when page_id % 13 = 5 then '{CAPTCHA_HTML}'
-      when page_id % 13 = 6 then '{TINY_HTML}'
-      else html end as body,
- case when page_id % 20 = 8 then 'AbortError' when page_id % 20 = 18 then 'ECONNREFUSED' end as error_name,
- url as final_url
-from pages)"""
+CRAWL_SQL = f"""crawl as (select *, url as final_url from (
+ select page_id, url, case when page_id % 10 = 6 then 301 else 200 end as status,
+  case when page_id % 11 <> 6 then 'text/html; charset=utf-8' end as content_type, html as body,
+  cast(null as varchar) as error_name from pages
+ union all
+ select -page_id - 1, url || '{FAILURE_MARK}', case when page_id % 10 in (3, 4) then 0 when page_id % 10 = 5 then 403 else 200 end,
+  case when page_id % 10 in (3, 4, 7) then null when page_id % 10 = 6 then 'application/pdf' when page_id % 10 = 9 then ''
+       else 'text/html; charset=utf-8' end,
+  case page_id % 10 when 3 then null when 4 then null when 0 then '{SIGN_IN_HTML}' when 1 then '{CAPTCHA_HTML}'
+       when 2 then '{TINY_HTML}' when 8 then repeat(html, cast(floor({CRAWL_MAX_BYTES} / greatest(strlen(html), 1)) as int) + 1)
+       else html end,
+  case page_id % 10 when 3 then 'AbortError' when 4 then 'ECONNREFUSED' end
+ from pages))"""
 
 REQ_SQL = f"""req as (select e.event_id as seq, cast(e.ts as timestamp) as ts,
  concat('task:', cast(e.user_id as varchar)) as source_ref,
  case when e.event_type in ('view','purchase') then 'web.search.v1' else 'web.fetch.v1' end as contract_id,
  case when e.event_type = 'signup' then 'realtime' else 'cached' end as freshness,
  case when e.event_type = 'error' then 'not-a-uuid' else '{VALID_TRACE_ID}' end as trace_id,
- p.url, e.event_type, e.user_id, concat('agent:', cast(e.user_id % 7 as varchar)) as caller_agent_id,
+ case when e.event_id % 4 = 1 then p.url || '{FAILURE_MARK}' else p.url end as url, e.event_type, e.user_id, concat('agent:', cast(e.user_id % 7 as varchar)) as caller_agent_id,
  concat('pages about ', cast(e.user_id as varchar)) as query, cast(1 + e.event_id % 10 as integer) as top_n
 from events e join pages p on p.page_id = e.event_id % (select count(*) from pages))"""
 
