@@ -7,7 +7,7 @@ payload_json)``. ``payload.web.results ?? []`` is read through VARIANT and explo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -16,10 +16,18 @@ from ..functions import urls as U
 from . import allowlist as A
 
 
+def _one_value(text) -> Column:
+    """The text as VARIANT if it is exactly one JSON value, else NULL (the parser alone stops after the first).
+    Wrapped in an array and in an object, trailing text breaks at least one of the two."""
+    as_list = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    as_field = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$", "map<string,variant>")
+    return F.when((F.size(as_list) == 1) & (F.size(F.map_keys(as_field)) == 1), as_list[0])
+
+
 def scan_results(payloads: DataFrame, key: str = "seq", payload_col: str = "payload_json") -> DataFrame:
     """One row per entry of ``web.results`` with its 0-based ``rank`` and the three fields when they are JSON
     strings (``is_wellformed`` = all three are strings). Rows whose payload does not parse produce nothing."""
-    v = F.try_parse_json(F.col(payload_col))
+    v = _one_value(F.col(payload_col))
     res = F.try_variant_get(v, "$.web.results", "array<variant>")
     e = payloads.select(key, F.posexplode(F.coalesce(res, F.array().cast("array<variant>"))).alias("rank", "r"))
 
@@ -37,7 +45,7 @@ def upstream_error(status_col: str = "http_status", payload_col: str = "payload_
     """Upstream failure message (NULL when the payload is usable): non-2xx status or invalid JSON."""
     st = F.col(status_col)
     return (F.when((st < 200) | (st >= 300), F.concat(F.lit("upstream_http_"), st.cast("string")))
-            .when(F.try_parse_json(F.col(payload_col)).isNull(), F.lit("upstream_invalid_json")))
+            .when(_one_value(F.col(payload_col)).isNull(), F.lit("upstream_invalid_json")))
 
 
 def normalise(results: DataFrame, allowlist: DataFrame) -> DataFrame:

@@ -128,12 +128,12 @@ def fetch_pipeline(requests: DataFrame, allowlist: DataFrame, snapshot: DataFram
 
 def responses(outcomes: DataFrame) -> DataFrame:
     """One JSON response line per request (O7): success fields for ok/cache_hit, code/reason otherwise.
-    NULL fields are omitted from the JSON text."""
+    Success lines keep NULL fields (a page without title sends ``"title":null``); failures omit them."""
     good = F.col("ok")
     success = F.struct(F.lit(True).alias("ok"), F.lit(S.CONTRACT_FETCH).alias("contract_id"), "trace_id", "status",
                        "url", "origin", "title", "plaintext", "content_sha256", "byte_size", "fetched_at")
     failure = F.struct(F.lit(False).alias("ok"), "code", "reason", "url", "origin", "trace_id")
-    return outcomes.select("seq", F.when(good, F.to_json(success)).otherwise(F.to_json(failure)).alias("response"))
+    return outcomes.select("seq", F.when(good, F.to_json(success, {"ignoreNullFields": "false"})).otherwise(F.to_json(failure)).alias("response"))
 
 
 def write_responses(outcomes: DataFrame, path: str) -> None:

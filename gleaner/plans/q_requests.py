@@ -107,23 +107,23 @@ def _validated_sql():
     rules = ",\n  ".join(_rules_sql())
     extra = (f"list_transform(list_filter(json_keys(jv), lambda k: not list_contains("
              f"case when is_search then {sfields} else {ffields} end, k)), lambda k: 'additional:' || k)")
-    return f"""l as (select * from lines where regexp_replace(value, {Q.q('^' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '', 'g') <> ''),
-p as (select seq, ts, value, case when strlen(value) > {S.MAX_REQUEST_LINE_BYTES} then 'too_large'
+    return f"""l as materialized (select * from lines where regexp_replace(value, {Q.q('^' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '', 'g') <> ''),
+p as materialized (select seq, ts, value, case when strlen(value) > {S.MAX_REQUEST_LINE_BYTES} then 'too_large'
    when not json_valid(value) then 'invalid_json' end as parse_error,
    case when strlen(value) <= {S.MAX_REQUEST_LINE_BYTES} and json_valid(value) then value end as jv from l),
-p2 as (select *, json_type(jv) as top,
+p2 as materialized (select *, json_type(jv) as top,
    case when json_type(jv) = 'OBJECT' then {_jt('contract_id')} end as cid_t,
    case when json_type(jv) = 'OBJECT' then {_js('contract_id')} end as cid from p),
-p3 as (select *, cid = 'web.search.v1' as is_search, cid = 'web.fetch.v1' as is_fetch,
+p3 as materialized (select *, cid = 'web.search.v1' as is_search, cid = 'web.fetch.v1' as is_fetch,
    case when parse_error is not null then null when top not in ('OBJECT', 'ARRAY') then 'envelope is not an object'
      when top = 'ARRAY' or coalesce(cid_t, '') <> 'VARCHAR' then 'contract_id missing or not a string'
      when cid not in ('web.search.v1', 'web.fetch.v1') then concat('unknown contract_id ''', cid, '''') end as pre from p2),
-v as (select seq, ts, value, jv, parse_error, is_search, is_fetch,
+v as materialized (select seq, ts, value, jv, parse_error, is_search, is_fetch,
    case when parse_error is not null then null when pre is not null then pre
      else nullif(array_to_string(list_concat(list_filter([
   {rules}
   ], lambda x: x is not null), {extra}), '; '), '') end as errors from p3),
-vv as (select *, parse_error is null and errors is null as valid, {_js('source_ref')} as source_ref_v from v)"""
+vv as materialized (select *, parse_error is null and errors is null as valid, {_js('source_ref')} as source_ref_v from v)"""
 
 
 def _sql(body: str, *ctes: str) -> str:
@@ -181,7 +181,7 @@ def req_violation_counts(spark, sf_dir):
 
 
 _ADMIT_SQL = _VAL + """,
-ranked as (select seq, row_number() over (partition by source_ref_v order by ts, seq) as rk from vv where valid),
+ranked as materialized (select seq, row_number() over (partition by source_ref_v order by ts, seq) as rk from vv where valid),
 adm as (select vv.seq, case when vv.parse_error is not null then 'bad_query' when not vv.valid then 'validation_failed'
    when r.rk > 5 then 'budget_exhausted' else 'admitted' end as code from vv left join ranked r on r.seq = vv.seq)"""
 

@@ -118,7 +118,11 @@ REQF_SQL = f"""reqf as (select r.*, b.ttl_class as al_ttl_class,
  left join {Q.allow_best('s.url', 's.seq', 'req')} b on b.seq = r.seq where r.contract_id = 'web.fetch.v1')"""
 
 
-@register("cache_lookup", FX.with_ctes(FX.AL_SQL, SNAP_SQL, FX.REQ_SQL, REQF_SQL) + f"""select r.seq, r.url,
+SNAP_TIMES_SQL = f"""snap as (select url, case when page_id % 17 = 9 then 'not a date'
+ else {iso_sql("(timestamp '2024-01-01 00:00:00' + to_hours(page_id))")} end as fetched_at from pages)"""
+
+
+@register("cache_lookup", FX.with_ctes(FX.AL_SQL, SNAP_TIMES_SQL, FX.REQ_SQL, REQF_SQL) + f"""select r.seq, r.url,
  (s.url is not null) as hit from reqf r left join snap s on s.url = r.url and r.freshness <> 'realtime'
  and {parse_iso_sql('s.fetched_at')} is not null
  and epoch_us(r.ts) - epoch_us({parse_iso_sql('s.fetched_at')}) <= cast(r.al_ttl as bigint) * 1000000""")

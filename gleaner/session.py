@@ -7,7 +7,6 @@ session; only when it is unset (local runs, tests) does it fall back to a fresh
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,13 +43,17 @@ _LOCAL_DIRS: dict = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    Only when the session has none (local runs, tests) a fresh local folder is used, remembered per
-    application; ``spark.checkpoint.dir`` itself cannot be changed on a running session, so it is left alone and
-    the SparkContext's checkpoint folder is set instead."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``), or the one that the SparkContext
+    was given.
+
+    Only a local session that has neither (local runs, tests) gets a fresh folder of its own, remembered per
+    application; on a cluster a missing setting is an error, as executors don't share a machine's folders.
+    ``spark.checkpoint.dir`` itself cannot be changed on a running session, so it is left alone and the
+    SparkContext's checkpoint folder is set instead."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         d = _LOCAL_DIRS.get(app)
         if d is None:
@@ -67,17 +70,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def ensure_utc(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 

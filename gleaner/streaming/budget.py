@@ -61,7 +61,9 @@ def _budget_fn(cap: int):
 
 def budget_stream(valid_requests: DataFrame, cap: int = S.OPS_PER_TASK) -> DataFrame:
     """Streaming DataFrame ``seq, source_ref, budget_ok`` from a streaming DataFrame of valid requests
-    (``seq, ts, source_ref``; NULL source_ref is unlimited and bypasses the state)."""
+    (``seq, ts, source_ref``; NULL source_ref is unlimited: admitted, and bypasses the state)."""
     keyed = valid_requests.filter("source_ref is not null").select("seq", "ts", "source_ref")
-    return keyed.groupBy("source_ref").applyInPandasWithState(
+    counted = keyed.groupBy("source_ref").applyInPandasWithState(
         _budget_fn(cap), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    unlimited = valid_requests.filter("source_ref is null").selectExpr("seq", "source_ref", "true as budget_ok")
+    return counted.unionByName(unlimited)
