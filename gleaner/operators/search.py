@@ -44,8 +44,8 @@ def scan_results(payloads: DataFrame, key: str = "seq", payload_col: str = "payl
 def upstream_error(status_col: str = "http_status", payload_col: str = "payload_json"):
     """Upstream failure message (NULL when the payload is usable): non-2xx status or invalid JSON."""
     st = F.col(status_col)
-    return (F.when((st < 200) | (st >= 300), F.concat(F.lit("upstream_http_"), st.cast("string")))
-            .when(_one_value(F.col(payload_col)).isNull(), F.lit("upstream_invalid_json")))
+    return (F.when((st < 200) | (st >= 300), F.concat(F.lit("brave_search: brave_search_http_"), st.cast("string")))
+            .when(_one_value(F.col(payload_col)).isNull(), F.lit("brave_search: brave_search_invalid_json")))
 
 
 def normalise(results: DataFrame, allowlist: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ o as (select r.*, off.offender, p.http_status, p.payload_json,
   case when r.query = '' then 'query is empty'
        when off.offender is not null then 'site_filter hostname not on allowlist: ' || off.offender
        when p.http_status is null then 'upstream_no_response'
-       when p.http_status < 200 or p.http_status >= 300 then 'upstream_http_' || cast(p.http_status as varchar)
-       when not json_valid(p.payload_json) then 'upstream_invalid_json' end as message
+       when p.http_status < 200 or p.http_status >= 300 then 'brave_search: brave_search_http_' || cast(p.http_status as varchar)
+       when not json_valid(p.payload_json) then 'brave_search: brave_search_invalid_json' end as message
   from r left join off on off.seq = r.seq left join pay p on p.seq = r.seq),
 scan as (select seq, pos as rank, e from (select seq, unnest(items) as e, unnest(range(len(items))) as pos from
   (select seq, json_extract(case when json_valid(payload_json) then payload_json end, '$.web.results[*]') as items from pay))),
@@ -178,4 +178,22 @@ ORACLES["search_provenance"] = SEARCH_SQL + f"""select 'brave-search://' || {_EN
 
 @register("search_responses")
 def search_responses(spark, sf_dir):
-    return SP.responses(run(spark, sf_dir))
+    """The response lines, read back: every field, which keys the line has, and the results as one text."""
+    lines = SP.responses(run(spark, sf_dir))
+    fields = F.from_json("response", "ok boolean, contract_id string, trace_id string, query string, top_n int, "
+                         "freshness string, code string, message string, "
+                         "results array<struct<title:string,url:string,snippet:string,origin:string>>")
+    r = lines.withColumn("r", fields).withColumn("keys", F.array_join(F.json_object_keys("response"), ",")).select("seq", "keys", "r.*")
+    told = F.array_join(F.transform("results", lambda x: F.concat_ws("|", x.title, x.url, x.snippet, x.origin)), chr(10))
+    return r.withColumn("n_results", F.size("results").cast("long")).withColumn("results", told)
+
+
+ORACLES["search_responses"] = SEARCH_SQL + f""", res as (select seq, count(*) as n,
+ string_agg(concat_ws('|', title, url, snippet, {Q.origin('url')}), chr(10) order by result_rank) as told from top group by seq)
+select o.seq, case when o.code = 'ok' then 'ok,contract_id,trace_id,query,top_n,freshness,results'
+  else 'ok,code,message,trace_id' end as keys, o.code = 'ok' as ok,
+ case when o.code = 'ok' then 'web.search.v1' end as contract_id, o.trace_id, case when o.code = 'ok' then o.query end as query,
+ case when o.code = 'ok' then o.top_n end as top_n, case when o.code = 'ok' then o.freshness end as freshness,
+ case when o.code <> 'ok' then o.code end as code, case when o.code <> 'ok' then o.message end as message,
+ case when o.code = 'ok' then coalesce(res.told, '') end as results,
+ case when o.code = 'ok' then coalesce(res.n, 0) end as n_results from o left join res on res.seq = o.seq"""
