@@ -79,11 +79,23 @@ def monthly_spend(searches: DataFrame, ts_col: str = "ts", usd_per_search: str =
 
 def spend_running(searches: DataFrame, ts_col: str = "ts", id_col: str = "seq",
                   usd_per_search: str = S.USD_PER_SEARCH, budget_usd: str = S.BUDGET_USD_MONTH) -> DataFrame:
-    """Per search: its rank within the month and whether it still fits the budget (rank * cost <= budget).
-    The tombstone rows are the complement of a rank filter, so the same WindowGroupLimit bound applies."""
+    """Per search: whether it still fits the month's budget (rank in the month * cost <= budget).
+
+    No month is ranked in one task: searches are counted per month and hour (partial aggregation, a few hundred
+    hours a month), a running count over the hours tells which hour the budget ends in, and only that hour's
+    searches are ranked."""
     per = Decimal(usd_per_search)
     within = int(Decimal(budget_usd) / per)
-    month = F.date_format(F.col(ts_col).cast("timestamp"), "yyyy-MM")
-    df = searches.withColumn("month", month)
-    ok = first_k_ids(df, "month", [ts_col, id_col], within, id_col).withColumn("__gl_ok", F.lit(True))
-    return df.join(ok, id_col, "left").withColumn("within_budget", F.col("__gl_ok").isNotNull()).drop("__gl_ok")
+    ts = F.col(ts_col).cast("timestamp")
+    df = searches.withColumn("month", F.date_format(ts, "yyyy-MM")).withColumn("__gl_hour", F.date_trunc("hour", ts))
+    earlier = Window.partitionBy("month").orderBy("__gl_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = df.groupBy("month", "__gl_hour").agg(F.count(F.lit(1)).alias("__gl_n"))
+    hours = hours.withColumn("__gl_base", F.coalesce(F.sum("__gl_n").over(earlier), F.lit(0)))
+    df = df.join(hours, ["month", "__gl_hour"])
+    split = df.filter((F.col("__gl_base") < within) & (F.col("__gl_base") + F.col("__gl_n") > within))
+    ranked = split.withColumn("__gl_rank", F.col("__gl_base") + F.row_number().over(
+        Window.partitionBy("month", "__gl_hour").orderBy(ts_col, id_col)))
+    last = ranked.filter(F.col("__gl_rank") <= within).select(id_col, F.lit(True).alias("__gl_ok"))
+    ok = (F.col("__gl_base") + F.col("__gl_n") <= within) | F.col("__gl_ok").isNotNull()
+    return (df.join(last, id_col, "left").withColumn("within_budget", F.coalesce(ok, F.lit(False)))
+            .drop("__gl_ok", "__gl_hour", "__gl_n", "__gl_base"))

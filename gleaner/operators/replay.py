@@ -4,30 +4,58 @@ Per url: a request is a hit iff it is not ``realtime`` and the last *refresh* of
 seconds old; a miss or a ``realtime`` request refreshes. The answer depends on the last refresh, not on the
 last request, so it is a sequential fold, not a lag.
 
-Plan: ``repartition(url)`` + ``sortWithinPartitions(url, ts, seq)`` and one streaming pass per partition
-(``mapInPandas``) that carries ``(url, last_refresh)`` across Arrow batches. No group is ever collected: a url
-with a third of all requests is sorted by Spark's external sorter (spills) and folded batch by batch in O(1)
-state. The fold is inherently sequential per url, so that url's rows are processed by one task.
+Plan. A request refreshes whatever came before it if it is ``realtime`` or later than its url's previous event by
+more than its ttl: the last refresh is never later than the previous event. At these points the url's history is cut
+into segments, each of which can be folded on its own. The segment number is a running count of such points, found
+without gathering a url in one task: events are range-partitioned by (url, time), each partition counts its own
+points, and the counts of the partitions (one row each and url that crosses a border) are summed up. Segments are
+then dealt out by (url, segment) and folded in order, row by row in O(1) state, so a url with a third of all
+requests is spread over as many tasks as it has segments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
+
+def _segments(events: DataFrame) -> DataFrame:
+    """``events`` (url, t_us, seq, realtime, ttl, seed_us: the store's own refresh of the url or null) with ``segment``:
+    how many certain refreshes of the url lie at or before the row; 0: before the first, where the seed counts."""
+    keys = ["url", "t_us", "seq"]
+    dealt = (events.withColumn("__gl_tie", F.monotonically_increasing_id())
+             .repartitionByRange(*[F.col(k) for k in keys], F.col("__gl_tie"))
+             .withColumn("__gl_part", F.spark_partition_id()))
+    rows = materialize(dealt, "replay-events")
+    inside = Window.partitionBy("__gl_part", "url").orderBy("t_us", "seq", "__gl_tie")
+    # what the url's latest event in earlier partitions was: one row per partition and url, few of them shared
+    ends = rows.groupBy("url", "__gl_part").agg(F.max("t_us").alias("__gl_end"))
+    earlier = Window.partitionBy("url").orderBy("__gl_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__gl_before", F.max("__gl_end").over(earlier)).drop("__gl_end")
+    previous = F.greatest(F.lag("t_us").over(inside), F.col("__gl_before"), F.col("seed_us"))
+    marked = (rows.join(ends, ["url", "__gl_part"]).withColumn("__gl_prev", previous)
+              .withColumn("__gl_cut", (F.col("realtime") | F.col("__gl_prev").isNull()
+                                       | (F.col("t_us") - F.col("__gl_prev") > F.col("ttl") * 1_000_000)).cast("long")))
+    counts = marked.groupBy("url", "__gl_part").agg(F.sum("__gl_cut").alias("__gl_n"))
+    counts = counts.select("url", "__gl_part", F.coalesce(F.sum("__gl_n").over(earlier), F.lit(0)).alias("__gl_base"))
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (marked.withColumn("__gl_own", F.sum("__gl_cut").over(running)).join(counts, ["url", "__gl_part"])
+            .withColumn("segment", F.col("__gl_base") + F.col("__gl_own"))
+            .select("url", "t_us", "seq", "realtime", "ttl", "seed_us", "segment"))
+
 
 def ttl_replay(log: DataFrame, url_col: str = "url", ts_col: str = "ts", seq_col: str = "seq",
-               realtime_col: str = "realtime", ttl_col: str = "ttl_seconds", partitions: int | None = None) -> DataFrame:
+               realtime_col: str = "realtime", ttl_col: str = "ttl_seconds") -> DataFrame:
     """Input: one row per request with url, ts (timestamp), seq, realtime (bool), ttl_seconds.
     Output: ``seq, url, hit`` for every input row."""
-    spark = log.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = log.select(F.col(url_col).alias("url"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t_us"),
                      F.col(seq_col).cast("long").alias("seq"),
                      F.coalesce(F.col(realtime_col), F.lit(False)).alias("realtime"),
-                     F.col(ttl_col).cast("long").alias("ttl"))
-    ordered = src.repartition(n, "url").sortWithinPartitions("url", "t_us", "seq")
+                     F.col(ttl_col).cast("long").alias("ttl"), F.lit(None).cast("long").alias("seed_us"))
+    ordered = _segments(src).repartition("url", "segment").sortWithinPartitions("url", "segment", "t_us", "seq")
     out_schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("url", T.StringType()),
                                T.StructField("hit", T.BooleanType())])
 
@@ -37,7 +65,7 @@ def ttl_replay(log: DataFrame, url_col: str = "url", ts_col: str = "ts", seq_col
 
         cur_url, last = None, None
         for pdf in batches:
-            urls = pdf["url"].to_numpy(dtype=object)
+            urls = list(zip(pdf["url"], pdf["segment"]))
             t = pdf["t_us"].to_numpy(dtype=np.int64)
             rt = pdf["realtime"].to_numpy(dtype=bool)
             ttl = pdf["ttl"].to_numpy(dtype=np.int64)
@@ -54,7 +82,7 @@ def ttl_replay(log: DataFrame, url_col: str = "url", ts_col: str = "ts", seq_col
     return ordered.mapInPandas(fold, out_schema)
 
 
-def store_replay(requests: DataFrame, seeds: DataFrame, partitions: int | None = None) -> DataFrame:
+def store_replay(requests: DataFrame, seeds: DataFrame) -> DataFrame:
     """Sequential store lookups of a request batch against a page store that the batch itself refreshes.
 
     requests: ``url, t_us, seq, realtime, ttl`` (on-allowlist requests only); seeds: ``url, t_us`` -- the stored
@@ -62,15 +90,10 @@ def store_replay(requests: DataFrame, seeds: DataFrame, partitions: int | None =
     order: a request hits iff it is not realtime and the current store row is at most ttl old; a miss refetches
     and becomes the current row. Output per request: ``seq, hit, from_seed`` (the hit is served by the original
     snapshot row) and ``ref_us`` (the ``fetched_at`` of the row a hit is served from).
-    Same streaming plan as ``ttl_replay``: seeds sort first within their url."""
-    spark = requests.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    req = requests.select("url", "t_us", "seq", "realtime", "ttl", F.lit(False).alias("is_seed"))
-    sd = (seeds.join(requests.select("url").distinct(), "url", "left_semi")
-          .select("url", "t_us", F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("realtime"),
-                  F.lit(0).cast("long").alias("ttl"), F.lit(True).alias("is_seed")))
-    ordered = (req.unionByName(sd).repartition(n, "url")
-               .sortWithinPartitions("url", F.col("is_seed").desc(), "t_us", "seq"))
+    Same plan as ``ttl_replay``; only a url's segment 0 starts from the seed."""
+    known = seeds.groupBy("url").agg(F.max("t_us").alias("seed_us"))
+    events = requests.select("url", "t_us", "seq", "realtime", "ttl").join(known, "url", "left")
+    ordered = _segments(events).repartition("url", "segment").sortWithinPartitions("url", "segment", "t_us", "seq")
     out_schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("hit", T.BooleanType()),
                                T.StructField("from_seed", T.BooleanType()), T.StructField("ref_us", T.LongType())])
 
@@ -80,27 +103,23 @@ def store_replay(requests: DataFrame, seeds: DataFrame, partitions: int | None =
 
         cur, ref, seed_row = None, None, False
         for pdf in batches:
-            urls = pdf["url"].to_numpy(dtype=object)
+            keys = list(zip(pdf["url"], pdf["segment"]))
             t = pdf["t_us"].to_numpy(dtype=np.int64)
             rt = pdf["realtime"].to_numpy(dtype=bool)
             ttl = pdf["ttl"].to_numpy(dtype=np.int64)
-            is_seed = pdf["is_seed"].to_numpy(dtype=bool)
-            seqs = pdf["seq"].to_numpy(dtype=np.int64)
-            o_seq, o_hit, o_seed, o_ref = [], [], [], []
-            for i in range(len(pdf)):
-                if urls[i] != cur:
-                    cur, ref, seed_row = urls[i], None, False
-                if is_seed[i]:
-                    ref, seed_row = int(t[i]), True
-                    continue
-                hit = (not rt[i]) and ref is not None and t[i] - ref <= ttl[i] * 1_000_000
-                o_seq.append(int(seqs[i]))
-                o_hit.append(bool(hit))
-                o_seed.append(bool(hit and seed_row))
-                o_ref.append(ref if hit else int(t[i]))
-                if not hit:
+            seed = [None if pd.isna(x) else int(x) for x in pdf["seed_us"].astype("Int64")]
+            hit, from_seed, refs = [], [], []
+            for i, key in enumerate(keys):
+                if key != cur:
+                    cur, ref = key, seed[i] if key[1] == 0 else None
+                    seed_row = ref is not None
+                ok = (not rt[i]) and ref is not None and t[i] - ref <= ttl[i] * 1_000_000
+                hit.append(bool(ok))
+                from_seed.append(bool(ok and seed_row))
+                refs.append(ref if ok else int(t[i]))
+                if not ok:
                     ref, seed_row = int(t[i]), False
-            yield pd.DataFrame({"seq": pd.Series(o_seq, dtype="int64"), "hit": pd.Series(o_hit, dtype=bool),
-                                "from_seed": pd.Series(o_seed, dtype=bool), "ref_us": pd.Series(o_ref, dtype="int64")})
+            yield pd.DataFrame({"seq": pdf["seq"], "hit": hit, "from_seed": from_seed,
+                                "ref_us": pd.Series(refs, dtype="int64")})
 
     return ordered.mapInPandas(fold, out_schema)

@@ -29,8 +29,8 @@ CRAWL_MAX_BYTES = S.MAX_BODY_BYTES
 FAILURE_MARK = "?f=1"  # ends the url of a page's failure row
 SIGN_IN_HTML = ("<html><head><title>Sign in to the reading room</title></head><body><main><h2>Members</h2>"
                 "<p>This shelf is for members.</p></main></body></html>")
-CAPTCHA_HTML = ("<html><head><title>One moment</title></head><body><main><p>Please verify you are human "
-                "before the shelf opens.</p></main></body></html>")
+CAPTCHA_HTML = ("<html><head><title>One moment</title></head><body><main><p>The shelf opens when Cloudflare "
+                "Ray ID: 77aa has been checked.</p></main></body></html>")
 TINY_HTML = "<html><head><title>stub</title></head><body><main>nothing yet</main></body></html>"
 NOW_ISO = "2024-02-01T00:00:00.000Z"  # the fixed "now" of the pipeline queries
 

@@ -8,7 +8,7 @@ ARTICLE = ("<html><head><title>Keeping bees in a small garden</title></head><bod
            + "Water stays within ten paces of the entrance. " * 15 + "</li></ul></article></body></html>")
 SIGN_IN = ("<html><head><title>Sign in to the seed library</title></head><body><main><h2>Members only</h2>"
            "<p>Seeds are lent to members.</p></main></body></html>")
-CLOUDFLARE = ("<html><head><title>One moment</title></head><body><main><p>" + "Please verify you are human to read on. " * 8
+CLOUDFLARE = ("<html><head><title>One moment</title></head><body><main><p>" + "Checking that a person is here. Cloudflare Ray ID: 77aa " * 8
               + "</p></main></body></html>")
 TINY = "<html><head><title>stub</title></head><body><p>soon</p></body></html>"
 
