@@ -48,6 +48,17 @@ def upstream_error(status_col: str = "http_status", payload_col: str = "payload_
             .when(_one_value(F.col(payload_col)).isNull(), F.lit("brave_search: brave_search_invalid_json")))
 
 
+def handler_error(payload_col: str = "payload_json") -> Column:
+    """Whether a valid JSON payload makes the service's handler throw: the payload or one of its results is ``null``, or
+    ``web.results`` is something that cannot be iterated (a missing or null list is an empty one, text is skipped)."""
+    v = _one_value(F.col(payload_col))
+    results = F.try_variant_get(v, "$.web.results", "variant")
+    kind = F.schema_of_variant(results)
+    holes = F.exists(F.try_variant_get(results, "$", "array<variant>"), lambda r: r.isNull() | F.is_variant_null(r))
+    odd = results.isNotNull() & ~F.is_variant_null(results) & ~kind.startswith("ARRAY") & (kind != "STRING")
+    return F.coalesce(F.is_variant_null(v), F.lit(False)) | F.coalesce(odd, F.lit(False)) | F.coalesce(holes, F.lit(False))
+
+
 def normalise(results: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Keep well-formed, on-allowlist results; ``description`` becomes ``snippet``."""
     ok = results.filter("is_wellformed")

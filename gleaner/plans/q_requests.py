@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import budgets as B
 from ..operators import requests as R
 from ..sources import fixtures as FX
-from ..session import materialize
+from . import service
 from . import sqltext as Q
 from .registry import register
 
@@ -28,25 +28,8 @@ def validated(spark, sf_dir):
 
 
 def admitted_lines(spark, sf_dir):
-    """parse -> validate -> per-task budget over the valid envelopes, in that order.
-
-    The validated table is materialized under ``spark.checkpoint.dir`` (``session.materialize``): it is read twice
-    (rank side and main side), and cutting the lineage stops the optimizer from inlining the rule expressions
-    into pushed-down join filters."""
-    v = (R.validate(parsed_lines(spark, sf_dir), keep_fields=True)
-         .select("seq", "ts", "parse_error", "valid", "errors", "contract_id_raw",
-                 F.col("env_source_ref").alias("source_ref"), F.col("env_trace_id").alias("trace_id")))
-    v = materialize(v, "validated-requests")
-    admitted = (B.first_k_ids(v.filter("valid"), "source_ref", ["ts", "seq"], S.OPS_PER_TASK, "seq")
-                .withColumn("__gl_adm", F.lit(True)))
-    out = (v.join(admitted, "seq", "left")
-           .withColumn("budget_ok", F.col("valid") & (F.col("source_ref").isNull() | F.col("__gl_adm").isNotNull()))
-           .drop("__gl_adm"))
-    code = (F.when(F.col("parse_error").isNotNull(), F.lit("bad_query"))
-            .when(~F.col("valid"), F.lit("validation_failed"))
-            .when(~F.col("budget_ok"), F.lit("budget_exhausted"))
-            .otherwise(F.lit("admitted")))
-    return out.withColumn("code", code)
+    """Admission of the request lines."""
+    return service.admit(FX.request_lines(spark, sf_dir), [])
 
 
 # ---------------------------------------------------------------------------------------------------

@@ -19,7 +19,9 @@ from .registry import ORACLES, register
 QUERY_EXPR = "case when seq % 13 = 2 then '  ' when seq % 17 = 4 then 'café (menu)*!~' else query end"
 FRESH_EXPR = "case when seq % 5 = 0 then null else 'week' end"
 STATUS_EXPR = "case when seq % 29 = 1 then 503 else 200 end"
-PAYLOAD_EXPR = """case when seq % 31 = 2 then 'not json' when seq % 23 = 4 then '{}' else concat('{"web": {"results": [',
+PAYLOAD_EXPR = """case when seq % 31 = 2 then 'not json' when seq % 23 = 4 then '{}' when seq % 37 = 5 then 'null'
+ when seq % 41 = 6 then '{"web": {"results": 5}}' when seq % 43 = 8 then '{"web": {"results": [null]}}'
+ when seq % 47 = 9 then '{} {}' when seq % 53 = 10 then '{"web": null}' when seq % 59 = 11 then '{"web": {"results": "text"}}' else concat('{"web": {"results": [',
  '{"title": "T0", "url": "', url, '", "description": "first"}, ',
  '{"title": "T1", "url": "https://www.example.com/a/', cast(seq as string), '", "description": "second"}, ',
  '{"title": 5, "url": "https://example.org/x", "description": "bad title"}, ',
@@ -68,6 +70,10 @@ def _has_sql(u: str) -> str:
 _FIELD = "case when json_type(e, '$.{f}') = 'VARCHAR' then json_extract_string(e, '$.{f}') end"
 _ENC = "replace(replace(replace(replace(replace(url_encode(query), '%28', '('), '%29', ')'), '%2A', '*'), '%21', '!'), '%27', '''')"
 
+HANDLER_SQL = """(json_type(p.payload_json) = 'NULL' or coalesce(json_type(p.payload_json, '$.web.results'), 'NULL')
+  not in ('NULL', 'ARRAY', 'VARCHAR') or list_contains(json_extract_string(p.payload_json, '$.web.results[*]'), 'null')
+  or len(list_filter(json_extract(p.payload_json, '$.web.results[*]'), lambda x: x is null or json_type(x) = 'NULL')) > 0)"""
+
 SEARCH_SQL = FX.with_ctes(FX.AL_SQL, FX.REQ_SQL, _BUDGET_SQL) + f""",
 sreq as (select seq, ts as now, {QUERY_EXPR} as query_raw, top_n, {FRESH_EXPR} as freshness_raw,
   {SITE_FILTER_SQL} as site_filter, caller_agent_id, source_ref, trace_id, url from bud
@@ -80,12 +86,13 @@ off as (select seq, arg_min(host, pos) as offender from sfh where not {_has_sql(
 o as (select r.*, off.offender, p.http_status, p.payload_json,
   case when r.query = '' or off.offender is not null then 'bad_query'
        when p.http_status is null or p.http_status < 200 or p.http_status >= 300 or not json_valid(p.payload_json)
-       then 'upstream_error' else 'ok' end as code,
+       then 'upstream_error' when {HANDLER_SQL} then 'handler_error' else 'ok' end as code,
   case when r.query = '' then 'query is empty'
        when off.offender is not null then 'site_filter hostname not on allowlist: ' || off.offender
        when p.http_status is null then 'upstream_no_response'
        when p.http_status < 200 or p.http_status >= 300 then 'brave_search: brave_search_http_' || cast(p.http_status as varchar)
-       when not json_valid(p.payload_json) then 'brave_search: brave_search_invalid_json' end as message
+       when not json_valid(p.payload_json) then 'brave_search: brave_search_invalid_json'
+       when {HANDLER_SQL} then 'handler exception (logged)' end as message
   from r left join off on off.seq = r.seq left join pay p on p.seq = r.seq),
 scan as (select seq, pos as rank, e from (select seq, unnest(items) as e, unnest(range(len(items))) as pos from
   (select seq, json_extract(case when json_valid(payload_json) then payload_json end, '$.web.results[*]') as items from pay))),

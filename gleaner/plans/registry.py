@@ -23,4 +23,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (q_allowlist, q_crawl, q_citations, q_requests, q_store, q_fetch, q_search,  # noqa: F401
-                   q_health, q_streaming)
+                   q_health, q_service, q_streaming)

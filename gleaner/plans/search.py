@@ -2,7 +2,7 @@
 narrow -> top-N -> origin; one provenance row per successful search, even with zero results.
 
 Codes: ``bad_query`` (empty query after trim, or a site_filter host off the allowlist), ``upstream_error``
-(non-2xx status or invalid JSON payload), else ok. Every step is a narrow column expression, a broadcast
+(non-2xx status or invalid JSON payload), ``handler_error`` (a payload the handler cannot walk), else ok. Every step is a narrow column expression, a broadcast
 allowlist join, or a join on the request key; the top-N is a rank filter per request.
 """
 
@@ -36,19 +36,22 @@ def search_pipeline(requests: DataFrame, payloads: DataFrame, allowlist: DataFra
          .withColumn("top_n", F.coalesce(F.col("top_n").cast("int"), F.lit(S.DEFAULT_TOP_N)))
          .withColumn("freshness", F.coalesce("freshness", F.lit(S.DEFAULT_SEARCH_FRESHNESS))))
     off = SR.site_filter_offender(r, allowlist, key)
-    p = payloads.select(key, "http_status", "payload_json", SR.upstream_error().alias("upstream_error"))
+    p = payloads.select(key, "http_status", "payload_json", SR.upstream_error().alias("upstream_error"),
+                        SR.handler_error().alias("handler_error"))
     r = r.join(off, key, "left").join(p, key, "left")
     message = (F.when(F.col("query") == "", F.lit("query is empty"))
                .when(F.col("offender").isNotNull(),
                      F.concat(F.lit("site_filter hostname not on allowlist: "), F.col("offender")))
                .when(F.col("http_status").isNull(), F.lit("upstream_no_response"))
-               .when(F.col("upstream_error").isNotNull(), F.col("upstream_error")))
+               .when(F.col("upstream_error").isNotNull(), F.col("upstream_error"))
+               .when(F.col("handler_error"), F.lit(S.HANDLER_ERROR_MESSAGE)))
     code = (F.when((F.col("query") == "") | F.col("offender").isNotNull(), F.lit("bad_query"))
             .when(F.col("http_status").isNull() | F.col("upstream_error").isNotNull(), F.lit("upstream_error"))
+            .when(F.col("handler_error"), F.lit("handler_error"))
             .otherwise(F.lit("ok")))
     # the decided request table feeds four branches (scan, narrow, top-N, provenance): write it once under
     # spark.checkpoint.dir instead of recomputing its lineage per branch
-    r = materialize(r.withColumn("code", code).withColumn("message", message).drop("offender", "http_status"),
+    r = materialize(r.withColumn("code", code).withColumn("message", message).drop("offender", "http_status", "handler_error"),
                     "search-requests")
     good = r.filter(F.col("code") == "ok")
     raw = SR.scan_results(good.select(key, "payload_json"), key)

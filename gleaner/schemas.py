@@ -130,3 +130,4 @@ PROBE = T.StructType([
 ])
 
 REQUEST_LINE = T.StructType([T.StructField("value", T.StringType())])
+HANDLER_ERROR_MESSAGE = "handler exception (logged)"

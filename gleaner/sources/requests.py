@@ -27,6 +27,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return _with_order(spark.read.format("text").load(path))
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``seq, ts, value`` from ``read_lines``: one unique id per line that grows with the arrival order of a split."""
+    place = F.format_string("%s:%020d:%020d", "file_path", "block_start", "pos_in_split")
+    return lines.select(place.alias("seq"), "ts", "value")
+
+
 def read_lines_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of NDJSON files dropped into ``path`` (one micro-batch per new set of files)."""
     r = spark.readStream.format("text")
