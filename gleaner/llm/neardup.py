@@ -8,9 +8,12 @@ five words: the whole sequence is the one shingle). Sets are kept as 64-bit hash
 2. documents with equal sets collapse into one class, so exact copies never form pairs;
 3. classes that share a band are a bucket. In each bucket the class that sits in the most and largest buckets is
    the hub, and the others are paired with it: a bucket yields as many pairs as members, never all pairs;
-4. pairs whose XOR population count is out of reach of the threshold go; the rest are confirmed on full sets;
+4. pairs whose XOR population count is out of reach of the threshold go. So do those whose sets, folded whole into a
+   larger parity bitmap, differ in more bits than a link allows (sets never differ in fewer elements than bits, so
+   no link goes here); the rest are confirmed on full sets;
 5. links form components; where a bucket still holds several components, the members outside its largest one are
-   compared with those of other components, sketches first, so no link that a bucket shows is lost.
+   compared with those of other components by both bitmaps inside the join, which so yields hardly more than links;
+   no link that a bucket shows is lost.
 
 Null or empty text, or no words: an empty set, linked with nothing. Ties: the smallest id names a component. Repeated
 rows are equal documents. Null ids: such rows are linked, but name a component only if it has no other id. Very long
@@ -36,6 +39,8 @@ ROWS, BANDS = 4, 40
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
 WORDS = SKETCH_BITS // 64
+PARITY_BITS = 2048
+PARITY_WORDS = PARITY_BITS // 64
 _RNG = np.random.default_rng(20240229)
 _MULT = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -87,6 +92,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
+def set_parity(shingles: np.ndarray) -> np.ndarray:
+    """The whole set folded into a parity bitmap; two sets differ in at least as many elements as bits."""
+    at = (shingles >> np.uint64(5)) % np.uint64(PARITY_BITS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def estimate(differing_bits: int) -> float:
     """Similarity from the population count of two sketches' XOR."""
     left = 1 - 2 * differing_bits / SKETCH_BITS
@@ -102,11 +113,11 @@ def reachable_bits(threshold: float, sigmas: float = 7.0) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: the id, ``n_shingles``, ``node`` (digest of the set; null: empty), ``bands``, ``sketch``."""
+    """Per row: the id, ``n_shingles``, ``node`` (digest of the set; null: empty), ``bands``, ``sketch``, ``parity``."""
     def sign(batches):
         memo = _WordHashes()
         for b in batches:
-            n, node, bands, sketch = [], [], [], []
+            n, node, bands, sketch, parity = [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), memo)
                 n.append(len(s))
@@ -115,18 +126,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     node.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bands.append(band_keys(m))
                     sketch.append(odd_sketch(m))
+                    parity.append(set_parity(s))
                 else:
-                    node.append(None)
-                    bands.append(None)
-                    sketch.append(None)
+                    for column in (node, bands, sketch, parity):
+                        column.append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, longs),
-                 pa.array(sketch, longs)], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+                 pa.array(sketch, longs), pa.array(parity, longs)],
+                names=["doc_id", "n_shingles", "node", "bands", "sketch", "parity"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_col)
     schema = StructType([source.schema["doc_id"]] + StructType.fromDDL(
-        "n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>").fields)
+        "n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>").fields)
     return source.mapInArrow(sign, schema)
 
 
@@ -146,13 +158,20 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _sketch_words(prefix: str) -> list:
-    return [F.col("sketch")[i].alias(f"{prefix}{i}") for i in range(WORDS)]
+def _bitmaps(side: str) -> list:
+    """A class's set size and the words of both bitmaps as columns of one side of a join."""
+    return [F.col("n").alias(f"{side}n"), *[F.col("sketch")[i].alias(f"{side}s{i}") for i in range(WORDS)],
+            *[F.col("parity")[i].alias(f"{side}p{i}") for i in range(PARITY_WORDS)]]
+
 
+def _close(bits: int, percent: int) -> Column:
+    """Whether the bitmaps of sides x and y leave room for a link."""
+    def differing(kind: str, words: int) -> Column:
+        return sum((F.bit_count(F.col(f"x{kind}{i}").bitwiseXOR(F.col(f"y{kind}{i}"))) for i in range(words)), F.lit(0))
 
-def _close(bits: int) -> Column:
-    differing = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(WORDS)), F.lit(0))
-    return differing <= bits
+    # similar enough: the sets' symmetric difference is at most (100 - percent) / (100 + percent) of their sizes' sum
+    room = (F.col("xn") + F.col("yn")) * (100 - percent)
+    return (differing("s", WORDS) <= bits) & (differing("p", PARITY_WORDS) * (100 + percent) <= room)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -160,11 +179,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = reachable_bits(percent / 100)
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
     classes = materialize(signed.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
+        *[F.first(c).alias(c) for c in ("bands", "sketch", "parity")]), "classes")
     slots = classes.select("node", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(slots.join(shared, "band"), "members")
-    sketches = classes.select("node", "sketch")
+    sketches = classes.select("node", "n", "sketch", "parity")
 
     reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
     ranked = members.join(reach, "node")
@@ -172,8 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starred = (members.select("band", "node").join(hubs, "band").where("node <> hub")
                .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     tested = materialize(
-        starred.join(sketches.select(F.col("node").alias("a"), *_sketch_words("x")), "a")
-        .join(sketches.select(F.col("node").alias("b"), *_sketch_words("y")), "b").where(_close(bits)).select("a", "b"),
+        starred.join(sketches.select(F.col("node").alias("a"), *_bitmaps("x")), "a")
+        .join(sketches.select(F.col("node").alias("b"), *_bitmaps("y")), "b")
+        .where(_close(bits, percent)).select("a", "b"),
         "pairs")
     links = _confirm(tested, docs, id_col, text_col, classes, percent)
     labels = components(links, "first")
@@ -184,9 +205,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     divided = (per_label.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("main"))
                .where("labels > 1").select("band", "main"))
     rest = materialize(labelled.join(divided, "band").join(sketches, "node"), "divided")
-    minor = rest.where("label <> main").select("band", F.col("node").alias("a"), F.col("label").alias("la"), *_sketch_words("x"))
-    other = rest.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), *_sketch_words("y"))
-    crossing = (minor.join(other, (minor["band"] == other["band"]) & (F.col("la") != F.col("lb")) & _close(bits))
+    minor = rest.where("label <> main").select("band", F.col("node").alias("a"), F.col("label").alias("la"), *_bitmaps("x"))
+    other = rest.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), *_bitmaps("y"))
+    crossing = (minor.join(other, (minor["band"] == other["band"]) & (F.col("la") != F.col("lb")) & _close(bits, percent))
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                 .join(tested, ["a", "b"], "left_anti"))
     more = _confirm(materialize(crossing, "pairs"), docs, id_col, text_col, classes, percent)
