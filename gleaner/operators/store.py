@@ -1,9 +1,10 @@
 """Page store and provenance log.
 
 The page store is a Parquet snapshot with one row per url; a write is an upsert where the *last write* wins
-(write order, not ``fetched_at``). ``upsert`` computes the new snapshot as ``max_by(row, write_seq)`` per url:
-partial aggregation keeps at most one row per url per map task, so a url written a million times costs one
-row in the shuffle. Snapshots are written to a new path (a path is never read and overwritten by one job).
+(write order, not ``fetched_at``). Only the delta is reduced (a rank filter that Spark applies before the shuffle, so
+a url written a million times costs one row per map task); store rows whose url the delta does not touch pass an
+anti-join on the delta's urls and are neither sorted nor aggregated. Snapshots are written to a new path (a path is
+never read and overwritten by one job).
 
 The provenance log is append-only Parquet. ``row_id`` autoincrement is replaced by the carried
 ``(fetched_at, request_seq)`` order; a global counter is not a scalable notion.
@@ -11,7 +12,7 @@ The provenance log is append-only Parquet. ``row_id`` autoincrement is replaced
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -22,13 +23,13 @@ PROV_COLS = [f.name for f in S.PROVENANCE.fields]
 
 
 def upsert(snapshot: DataFrame, delta: DataFrame, key: str = "url", order_col: str = "write_seq") -> DataFrame:
-    """Last write per ``key`` over ``snapshot ∪ delta`` (both carry ``order_col``; the snapshot's values must be
-    lower than the delta's for the delta to win)."""
-    cols = [c for c in snapshot.columns if c != key]
-    both = snapshot.unionByName(delta.select(*snapshot.columns))
-    return (both.groupBy(key)
-            .agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("__gl_last"))
-            .select(key, "__gl_last.*"))
+    """Last write per ``key`` over ``snapshot ∪ delta`` (both carry ``order_col``; a delta row replaces the
+    snapshot's row of its key; equal write numbers: the row that hashes lower)."""
+    delta = delta.select(*snapshot.columns)
+    order = Window.partitionBy(key).orderBy(F.col(order_col).desc(), F.xxhash64(*delta.columns))
+    last = delta.withColumn("__gl_rank", F.row_number().over(order)).filter("__gl_rank = 1").drop("__gl_rank")
+    kept = snapshot.join(delta.select(key).hint("shuffle_hash"), key, "left_anti").select(*snapshot.columns)
+    return kept.unionByName(last)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

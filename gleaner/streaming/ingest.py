@@ -1,20 +1,27 @@
 """Streaming ingest of page writes into the page snapshot and the provenance log.
 
-``readStream`` (file source) -> ``foreachBatch``: each micro-batch upserts the snapshot (last write per url,
-``store.upsert``) into a new versioned folder ``snapshot/batch=<id>`` built from the newest earlier version, and
-writes its provenance rows to ``provenance/batch=<id>``. Both writes use overwrite mode on a folder named by
-the batch id, so a replayed batch (after a failure, the checkpoint replays the last uncommitted batch)
-rewrites the same folders: the sink is idempotent.
+``readStream`` (file source) -> ``foreachBatch``. The snapshot is kept in buckets by url hash: a micro-batch reads and
+rewrites only the buckets that its urls fall into (``data/batch=<id>/bucket=<b>``), and a manifest of at most
+``BUCKETS`` rows (``manifest/batch=<id>``) tells which batch holds each bucket's newest version. Provenance rows go
+to ``provenance/batch=<id>``. All writes use overwrite mode on folders named by the batch id, so a replayed batch
+(after a failure, the checkpoint replays the last uncommitted batch) rewrites the same folders: the sink is
+idempotent.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from .. import schemas as S
 from ..operators import store as ST
 
+BUCKETS = 64
+SNAPSHOT = StructType([*S.FETCHED_PAGES.fields, StructField("write_seq", LongType())])
+
 
 def _hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -34,23 +41,56 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
-def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    vs = [v for v in _versions(spark, root) if before is None or v < before]
+def _manifest(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
+    """bucket -> batch that wrote its newest version."""
+    vs = [v for v in _versions(spark, f"{root}/manifest") if before is None or v < before]
     if not vs:
-        return None
-    return spark.read.parquet(f"{root.rstrip('/')}/batch={vs[-1]}")
+        return {}
+    rows = spark.read.schema("bucket int, batch long").parquet(f"{root}/manifest/batch={vs[-1]}").collect()
+    return {r["bucket"]: r["batch"] for r in rows}
+
+
+def _read(spark: SparkSession, root: str, where: dict[int, int]) -> DataFrame:
+    paths = [f"{root}/data/batch={v}/bucket={b}" for b, v in sorted(where.items())]
+    return spark.read.schema(SNAPSHOT).parquet(*paths) if paths else spark.createDataFrame([], SNAPSHOT)
+
+
+def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The snapshot as of the last batch (before ``before``); None when nothing was written yet."""
+    where = _manifest(spark, root.rstrip("/"), before)
+    return _read(spark, root.rstrip("/"), where) if where else None
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int")
+
+
+def _write(rows: DataFrame, root: str, batch_id: int, where: dict[int, int]) -> None:
+    spark = rows.sparkSession
+    data = f"{root}/data/batch={batch_id}"
+    rows.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+    entries = [(int(b), int(v)) for b, v in where.items()]
+    spark.createDataFrame(entries, "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(
+        f"{root}/manifest/batch={batch_id}")
 
 
 def make_batch_writer(snapshot_root: str, provenance_root: str, initial_snapshot: str | None = None):
+    root = snapshot_root.rstrip("/")
+
+    def touched(rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = latest_snapshot(spark, snapshot_root, before=batch_id)
-        if prev is None and initial_snapshot:
-            prev = spark.read.parquet(initial_snapshot)
-        writes = batch.select(*ST.PAGE_COLS, "write_seq")
-        base = writes.limit(0) if prev is None else prev.select(*ST.PAGE_COLS, "write_seq")
-        new = ST.upsert(base, writes)  # one row per url, last write wins, also within the batch
-        new.write.mode("overwrite").parquet(os.path.join(snapshot_root, f"batch={batch_id}"))
+        where = _manifest(spark, root, before=batch_id)
+        if not where and initial_snapshot:
+            first = spark.read.parquet(initial_snapshot).select(*SNAPSHOT.fieldNames())
+            where = dict.fromkeys(touched(first), -1)
+            _write(first, root, -1, where)
+        writes = batch.select(*SNAPSHOT.fieldNames())
+        mine = touched(writes)
+        base = _read(spark, root, {b: v for b, v in where.items() if b in mine})
+        _write(ST.upsert(base, writes), root, batch_id, where | dict.fromkeys(mine, batch_id))
         if "kind" in batch.columns:
             prov = ST.provenance_rows(batch.select(*ST.PROV_COLS)).filter("accepted").drop("accepted")
             prov.write.mode("overwrite").parquet(os.path.join(provenance_root, f"batch={batch_id}"))

@@ -76,5 +76,6 @@ def test_budget_uses_group_limit(plans):
     assert "WindowGroupLimit" in plans["task_budget"]
 
 
-def test_upsert_uses_partial_aggregation(plans):
-    assert "partial_max_by" in plans["page_upsert"]
+def test_upsert_neither_sorts_nor_aggregates_the_store(plans):
+    assert "WindowGroupLimit" in plans["page_upsert"]
+    assert "SortAggregate" not in plans["page_upsert"] and "LeftAnti" in plans["page_upsert"]

@@ -54,7 +54,6 @@ def test_budget_topk_across_small_chunks_is_exact(spark):
 def test_ingest_batch_writer_is_idempotent(spark):
     from pyspark.sql import functions as F
 
-    from gleaner import schemas as S
     from gleaner.streaming import ingest as SI
 
     root = tempfile.mkdtemp(prefix="gleaner-ingest-")
@@ -64,7 +63,7 @@ def test_ingest_batch_writer_is_idempotent(spark):
     def page(url, text, seq):
         return (url, "o", "s" + text, text, None, "2024-01-01T00:00:00.000Z", 3600, False, 1, seq)
 
-    schema = S.FETCHED_PAGES.add("write_seq", "long")
+    schema = SI.SNAPSHOT
     b0 = spark.createDataFrame([page("u1", "a", 1), page("u2", "b", 2), page("u1", "c", 3)], schema)
     b1 = spark.createDataFrame([page("u2", "d", 4)], schema)
     write(b0, 0)
@@ -74,3 +73,32 @@ def test_ingest_batch_writer_is_idempotent(spark):
     again = sorted((r["url"], r["plaintext"]) for r in SI.latest_snapshot(spark, snap_root).collect())
     assert first == again == [("u1", "c"), ("u2", "d")]
     assert SI.latest_snapshot(spark, snap_root, before=1).filter(F.col("url") == "u2").collect()[0]["plaintext"] == "b"
+
+
+def test_ingest_rewrites_touched_buckets_only(spark):
+    from gleaner.streaming import ingest as SI
+
+    root = tempfile.mkdtemp(prefix="gleaner-ingest-")
+    write = SI.make_batch_writer(os.path.join(root, "s"), os.path.join(root, "p"))
+
+    def page(url, text, seq):
+        return (url, "o", "s" + text, text, None, "2024-01-01T00:00:00.000Z", 3600, False, 1, seq)
+
+    write(spark.createDataFrame([page(f"u{i}", "a", i) for i in range(300)], SI.SNAPSHOT), 0)
+    write(spark.createDataFrame([page("u7", "b", 900)], SI.SNAPSHOT), 1)
+    assert len([d for d in os.listdir(os.path.join(root, "s", "data", "batch=1")) if d.startswith("bucket=")]) == 1
+    got = {r["url"]: r["plaintext"] for r in SI.latest_snapshot(spark, os.path.join(root, "s")).collect()}
+    assert len(got) == 300 and got["u7"] == "b" and got["u8"] == "a"
+
+
+def test_null_source_ref_is_admitted(spark):
+    root = tempfile.mkdtemp(prefix="gleaner-stream-")
+    schema = "seq long, ts timestamp, source_ref string"
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, t0, None) for i in range(8)] + [(9, t0, "task:a")], schema).write.parquet(os.path.join(root, "in"))
+    q = (SB.budget_stream(spark.readStream.schema(schema).parquet(os.path.join(root, "in"))).writeStream.format("parquet")
+         .option("path", os.path.join(root, "out")).option("checkpointLocation", os.path.join(root, "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(root, "out")).collect()
+    assert len(out) == 9 and all(r["budget_ok"] for r in out)
