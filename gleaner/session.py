@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",  # of equal keys the last one counts, as in JavaScript
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -124,3 +124,11 @@ def test_hot_key_budget_limits_rows_before_the_shuffle(spark):
     got = {r["seq"] for r in ids.collect()}
     assert {s for s in got if s % 3 == 0} == {0, 3, 6, 9, 12}
     assert len(got) == 5 + 500 * 4  # every cold key has 4 rows (all admitted), the hot key 5
+
+
+def test_of_equal_keys_the_last_one_counts(spark):
+    line = '{"contract_id": "web.fetch.v1", "contract_id": "web.crawl.v1"}'
+    df = spark.createDataFrame([(1, line), (2, line + ' {}')], "seq int, value string")
+    out = {r["seq"]: r for r in R.validate(R.parse_lines(df)).collect()}
+    assert out[1]["parse_error"] is None and out[1]["errors"] == "unknown contract_id 'web.crawl.v1'"
+    assert out[2]["parse_error"] == "invalid_json"
