@@ -237,13 +237,14 @@ def monthly_spend_running(spark, sf_dir):
 
 _DEDUPE_SQL = f"""dk as (select seq, ts, sha256(case when contract_id = 'web.fetch.v1'
   then concat_ws(':', caller_agent_id, contract_id, {Q.canonical('url')}, freshness)
-  else concat_ws(':', caller_agent_id, contract_id, lower({_QCANON}), cast(top_n as varchar), freshness, 'empty') end) as dedupe_key from req)"""
+  else concat_ws(':', caller_agent_id, contract_id, lower({_QCANON}), cast(top_n as varchar), freshness,
+   coalesce(array_to_string({FX.SITE_FILTER_SQL}, ','), 'empty')) end) as dedupe_key from req)"""
 
 
 @register("request_dedupe", FX.with_ctes(FX.REQ_SQL, _DEDUPE_SQL) + """select dedupe_key, arg_min(seq, (ts, seq)) as first_seq,
  count(*) as n_requests from dk group by dedupe_key""")
 def request_dedupe(spark, sf_dir):
     req = FX.requests(spark, sf_dir)
-    k = R.dedupe_key("contract_id", "caller_agent_id", "url", "query", "top_n", "freshness", None)
-    return (req.withColumn("dedupe_key", k).groupBy("dedupe_key")
+    k = R.dedupe_key("contract_id", "caller_agent_id", "url", "query", "top_n", "freshness", "site_filter")
+    return (req.withColumn("site_filter", FX.site_filter()).withColumn("dedupe_key", k).groupBy("dedupe_key")
             .agg(F.min_by("seq", F.struct("ts", "seq")).alias("first_seq"), F.count(F.lit(1)).alias("n_requests")))

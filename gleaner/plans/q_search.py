@@ -32,22 +32,10 @@ PAYLOAD_EXPR = """case when seq % 31 = 2 then 'not json' when seq % 23 = 4 then
  ']}}') end"""
 
 
-def _site_filter_spark():
-    s = F.col("seq")
-    return (F.when(s % 7 == 3, F.array(F.lit("example.com"), F.lit("www.example.com")))
-            .when(s % 7 == 5, F.array(F.lit("example.net"), F.lit("example.com")))
-            .when(s % 11 == 6, F.array(F.lit("EXAMPLE.org")))
-            .otherwise(F.lit(None).cast("array<string>")))
-
-
-SITE_FILTER_SQL = ("case when seq % 7 = 3 then ['example.com', 'www.example.com'] when seq % 7 = 5 then "
-                   "['example.net', 'example.com'] when seq % 11 = 6 then ['EXAMPLE.org'] end")
-
-
 def search_requests(spark, sf_dir):
     b = budgeted_requests(spark, sf_dir).filter(F.col("budget_ok") & (F.col("contract_id") == S.CONTRACT_SEARCH))
     return b.select("seq", F.col("ts").alias("now"), F.expr(QUERY_EXPR).alias("query"), "top_n",
-                    F.expr(FRESH_EXPR).alias("freshness"), _site_filter_spark().alias("site_filter"),
+                    F.expr(FRESH_EXPR).alias("freshness"), FX.site_filter().alias("site_filter"),
                     "caller_agent_id", "source_ref", "trace_id", "url")
 
 
@@ -76,7 +64,7 @@ HANDLER_SQL = """(json_type(p.payload_json) = 'NULL' or coalesce(json_type(p.pay
 
 SEARCH_SQL = FX.with_ctes(FX.AL_SQL, FX.REQ_SQL, _BUDGET_SQL) + f""",
 sreq as (select seq, ts as now, {QUERY_EXPR} as query_raw, top_n, {FRESH_EXPR} as freshness_raw,
-  {SITE_FILTER_SQL} as site_filter, caller_agent_id, source_ref, trace_id, url from bud
+  {FX.SITE_FILTER_SQL} as site_filter, caller_agent_id, source_ref, trace_id, url from bud
   where budget_ok and contract_id = 'web.search.v1'),
 pay as (select seq, {STATUS_EXPR} as http_status, {PAYLOAD_EXPR.replace('as string', 'as varchar')} as payload_json from sreq),
 r as (select seq, now, {js_trim_sql('query_raw')} as query, coalesce(top_n, 5) as top_n,
