@@ -44,7 +44,7 @@ LOW = 2  # orders up to this one are broadcast
 END = b"\xff"  # no UTF-8 text holds this byte
 START = b"\0" * ORDER
 SYMBOLS = 256
-SLICE = 1 << 22
+SLICE = 1 << 20
 GRAMS, WORDS, TOTALS = 0, 1, 2
 
 
@@ -142,13 +142,16 @@ def log_probability(gram: np.ndarray, trie: list) -> np.ndarray:
 
 def _chunk_requests(chunk: int, texts: list, training: np.ndarray, buckets: int):
     """What a chunk asks of the buckets: its different grams and words in order, with their training counts."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0)
+    found, learned = [], []
     for s, e, parts in slices(texts):
         key, sizes = grams(parts)
         codes, different = pd.factorize(key)
-        learned = np.bincount(codes, np.repeat(training[s:e], sizes), len(different))
-        keys, at = np.unique(np.concatenate([keys, different]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, learned]), len(keys))
+        found.append(different)
+        learned.append(np.bincount(codes, np.repeat(training[s:e], sizes), len(different)))
+    codes, keys = pd.factorize(np.concatenate(found))
+    counts = np.bincount(codes, np.concatenate(learned), len(keys))
+    ascending = np.argsort(keys)
+    keys, counts = keys[ascending], counts[ascending]
     bucket = gram_bucket(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -162,7 +165,7 @@ def _chunk_requests(chunk: int, texts: list, training: np.ndarray, buckets: int)
             words.update(words_of(t))
     for t, learn in zip(texts, training):
         if not learn:
-            words.update(dict.fromkeys(set(words_of(t)) - words.keys(), 0))
+            words.update(dict.fromkeys([w for w in words_of(t) if w not in words], 0))
     for b, own in word_lists(words, buckets):
         counted = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
         rows.append((b, chunk, WORDS, b" ".join(own), counted.tobytes()))
@@ -242,12 +245,12 @@ def _score_chunk(buckets: int, n: int, v: int, n_docs: int):
         sent = sorted((r["kind"], r["bucket"], r["answer"]) for r in answers.to_pylist())
         of_gram = np.frombuffer(b"".join(a for k, _, a in sent if k == GRAMS))
         of_word = np.frombuffer(b"".join(a for k, _, a in sent if k == WORDS), np.int64)
-        parts, keys = [], np.zeros(0, np.int64)
+        parts = []
         for _, _, p in slices(texts):
             key, sizes = grams(p)
             codes, different = pd.factorize(key)
             parts.append((codes.astype(np.int32), different, sizes))
-            keys = np.unique(np.concatenate([keys, different]))
+        keys = np.sort(pd.unique(np.concatenate([different for _, different, _ in parts])))
         words = set()
         for t in texts:
             words.update(words_of(t))
@@ -293,7 +296,7 @@ def low_orders(training_texts: DataFrame) -> tuple[list, int]:
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
-          chunk_bytes: int = 1 << 25) -> DataFrame:
+          chunk_bytes: int = 1 << 24) -> DataFrame:
     """Per document: the id, ``training``, ``n_tokens`` (words and one end), ``n_known``, ``train_tokens``,
     ``base_score`` (unigram words, add one) and ``score`` (PPM), both log10."""
     spark = docs.sparkSession
