@@ -4,8 +4,8 @@ Writing. Each page becomes an HTTP response whose payload travels in chunked tra
 payloads of at least ``revisit_bytes`` bytes are stored once, by the page with the largest id; the others become
 ``revisit`` records that refer to it. A block longer than ``segment_bytes`` is split: the first part is a ``response``
 record with segment number 1, the others are ``continuation`` records that name it as their origin; the last one
-gives the total length. Spark's text writer writes the records, one after the other, into many files in the shared
-folder (a record ends in two line ends, which is the writer's row separator).
+gives the total length. Spark's text writer writes the records, one after the other, into many gzipped files in the
+shared folder (a record ends in two line ends, which is the writer's row separator).
 
 Reading. Files are read as bytes and parsed by their Content-Length fields, task by task. Whole records go straight
 on; parts of segmented records are grouped by origin identifier, ordered by segment number, checked for gaps and
@@ -15,12 +15,13 @@ with ``valid`` false, never dropped.
 Null payload: empty. Null url: empty. Null ids: such pages are stored as responses of their own payload group unless
 another page of the group has an id. Repeated rows: each gets its record; equal rows that hold the largest id are
 all responses. Empty table: an archive without records. Extra columns are ignored. Pages without text still have a
-record. A file is bounded by ``file_bytes`` or by its largest page.
+record. A file holds at most as many records as make ``file_bytes`` of pages on average.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import uuid
@@ -144,16 +145,19 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    size = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    files = max(1, math.ceil(size * 1.3 / file_bytes))
+    size, n = pages.agg(F.sum(F.octet_length(payload_col)), F.count("*")).first()
+    per_file = max(1, math.floor(file_bytes * n / max(size or 0, 1))) if n else 1
     path = scratch_path(pages.sparkSession, f"warc-{uuid.uuid4().hex}")
-    spread = told.repartition(files)  # so that hot payloads and large partitions make files of like size
-    spread.mapInArrow(lines, "value string").write.option("lineSep", ROW_END).text(path)
+    (told.mapInArrow(lines, "value string").write.option("lineSep", ROW_END).option("maxRecordsPerFile", per_file)
+     .text(path, compression="gzip"))
     return path
 
 
 def parse(data: bytes):
-    """(place, headers with lower-case names, block) of the records of an archive; ValueError if it is broken."""
+    """(place, headers with lower-case names, block) of the records of an archive, gzipped in one or many members or
+    not; ValueError if it is broken."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
