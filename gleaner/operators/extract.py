@@ -39,8 +39,25 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def numeric_references(col) -> Column:
+    """``&#8217;`` and ``&#x2019;`` become their characters; numbers beyond Unicode, zero and surrogates stay as written.
+    The text is cut at ``&#`` and each part starts with the number, if it is one."""
+    text = _c(col)
+
+    def decoded(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        code = F.when(F.lower(ref).startswith("x"), F.conv(F.substring(ref, 2, 8), 16, 10)).otherwise(ref).try_cast("int")
+        fits = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(fits, F.concat(char, F.substr(part, F.length(ref) + 2))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    rest = F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), "")
+    return F.when(text.contains("&#"), F.concat(parts[0], rest)).otherwise(text)
+
+
 def unescape(col) -> Column:
-    out = _c(col)
+    out = numeric_references(col)
     for a, b in ENTITIES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -108,7 +125,17 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _sql_numeric(e: str) -> str:
+    ref = "regexp_extract(x, '^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});', 1)"
+    code = f"(case when {ref} = '' then 0 when lower({ref}[1]) = 'x' then cast('0' || lower({ref}) as int) else cast({ref} as int) end)"
+    fits = f"({code} between 1 and 55295 or {code} between 57344 and 1114111)"
+    part = f"case when {fits} then chr({code}) || x[length({ref}) + 2:] else '&#' || x end"
+    return (f"(case when contains({e}, '&#') then string_split({e}, '&#')[1] || "
+            f"array_to_string(list_transform(string_split({e}, '&#')[2:], lambda x: {part}), '') else {e} end)")
+
+
 def _sql_unescape(e: str) -> str:
+    e = _sql_numeric(e)
     for a, b in ENTITIES:
         e = f"replace({e}, {_q(a)}, {_q(b)})"
     return e

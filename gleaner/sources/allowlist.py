@@ -42,8 +42,10 @@ def from_yaml_text(spark: SparkSession, text: str) -> DataFrame:
         raise AllowlistSourceError('"entries" is not an array')
     if not entries:
         raise AllowlistSourceError('"entries" is empty')
-    rows = [e if isinstance(e, dict) else {} for e in entries]
-    return from_rows(spark, rows)
+    for i, e in enumerate(entries):
+        if not isinstance(e, dict):
+            raise AllowlistSourceError(f"entry {i} is not an object")
+    return from_rows(spark, entries)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

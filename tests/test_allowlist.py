@@ -96,6 +96,7 @@ def test_yaml_loader(spark):
                                   "   purpose: hive logs}\n")
     r = df.collect()[0]
     assert r["added_at"] == "2025-11-02" and r["entry_index"] == 0 and r["purpose"] == "hive logs"
-    for text, msg in [("foo: 1", "entries"), ("entries: 3", "not an array"), ("entries: []", "empty")]:
+    for text, msg in [("foo: 1", "entries"), ("entries: 3", "not an array"), ("entries: []", "empty"),
+                      ("entries: [{domain: a.example}, 7]", "entry 1 is not an object")]:
         with pytest.raises(AS.AllowlistSourceError, match=msg):
             AS.from_yaml_text(spark, text)

@@ -54,6 +54,14 @@ def test_extraction_and_quality(spark):
     assert out["n"]["reason"] == "parse_error"
 
 
+def test_numeric_references(spark):
+    cases = [("it&#8217;s", "it\u2019s"), ("&#x27;a&#X1F600;b", "'a\U0001F600b"), ("&#0; &#xD800; &#1114112; &#; &#x; &#12", None),
+             ("a &amp;#39; b", "a &#39; b"), ("plain", "plain")]
+    df = spark.createDataFrame([(a, b if b is not None else a) for a, b in cases], "a string, b string")
+    for r in df.withColumn("got", XT.unescape("a")).collect():
+        assert r["got"] == r["b"], r
+
+
 def test_script_with_closing_tag_text_is_dropped(spark):
     html = '<html><head><script>var t="</p>";</script></head><body><article><p>Hello <b>wor</b>ld<p>next</article></body></html>'
     r = XT.extract(spark.createDataFrame([(html,)], "html string"), "html").collect()[0]
