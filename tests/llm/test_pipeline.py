@@ -1,8 +1,11 @@
+import public_tokenizers
 import pytest
 
 import corpus_pipeline as cp
-from gleaner.llm import queries
+from gleaner.llm import langid, quality, queries
+from gleaner.llm.common import id_remainder
 from gleaner.llm.decontam import words_of
+from gleaner.llm.tokenize import FileTokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,27 +15,80 @@ def test_stages():
     assert len([n for n in queries.QUERIES if n.startswith("op")]) == 10 and "pipeline" in queries.QUERIES
 
 
-def test_every_stage_on_real_documents(spark):
+def _worst(text, ratio):
+    """The smallest sum over PASSAGE consecutive n-grams, one passage after the other."""
+    v = [float(ratio[g]) for g in quality.buckets(text.encode())] if text else [0.0]
+    w = min(quality.PASSAGE, len(v))
+    return min(sum(v[i:i + w]) for i in range(len(v) - w + 1))
+
+
+def _kept_of_groups(rows):
+    """Ids that are the smallest of their group of documents linked by similarity 0.75 or more."""
+    sets, parent = {}, {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        n = min(5, len(w))
+        sets[i] = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} if w else set()
+        parent[i] = i
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            if y < x and sets[x] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                a, b = sorted((find(x), find(y)))
+                parent[b] = a
+    return {i for i in ids if find(i) == i}
+
+
+def _clean(rows, items):
+    windows = {tuple(w[s:s + min(13, len(w))]) for w in items for s in range(len(w) - min(13, len(w)) + 1) if w}
+    out = set()
+    for i, t in rows:
+        w, hit = words_of(t), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s:s + n]) in windows:
+                    hit |= set(range(s, s + n))
+        if not hit or 20 * len(hit) < len(w):
+            out.add(i)
+    return out
+
+
+def test_every_stage_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, left = docs.columns, docs.count()
+    columns, seen = docs.columns, {}
     for name, stage in cp.STAGES[:-1]:
-        docs = cp.materialize(stage(spark, docs, SF), "stage")
-        assert docs.columns == columns, name
-        now = docs.count()
-        assert 0.3 * left < now <= left, name
-        left = now
-    assert docs.select("doc_id").distinct().count() == left
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        after = cp.materialize(stage(spark, docs, SF), "stage")
+        kept = [r.doc_id for r in after.collect()]
+        assert after.columns == columns and len(set(kept)) == len(kept), name
+        seen[name] = (docs, before, set(kept))
+        docs = after
+
+    first, before, kept = seen["quality classifier"]
+    model = quality.fit(first, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert kept == {i for i, t in before if _worst(t, model.log_ratio) >= model.cut}
+    first, before, kept = seen["language ID"]
+    model = langid.train(first.where(id_remainder("doc_id", 4) != 2))
+    langs, scores = langid._score(model, [t for _, t in before])
+    assert kept == {i for (i, _), x, p in zip(before, langs, scores) if x != "und" and p >= cp.CLEAR_LANGUAGE}
+    _, before, kept = seen["near-duplicates"]
+    assert kept == _kept_of_groups(before)
+    _, before, kept = seen["benchmark decontamination"]
     items = [words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    windows = {tuple(w[s:s + 13]) for w in items for s in range(len(w) - 12)}
-    for r in docs.collect():
-        w = words_of(r.text)
-        hit = set()
-        for s in range(len(w) - 12):
-            if tuple(w[s:s + 13]) in windows:
-                hit |= set(range(s, s + 13))
-        assert not hit or 20 * len(hit) < len(w)
-    pieces = cp.pack(spark, docs, SF)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+    assert kept == _clean(before, items)
+
+    tokenizer = FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces: dict = {}
+    for r in cp.pack(spark, docs, SF).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    want = {r.doc_id: tokenizer.encode(r.text).tobytes() + (1).to_bytes(4, "little") for r in docs.collect()}
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in pieces.items()} == want
 
 
 CLASH = ["weight", "told", "k", "copy", "n_hit", "items", "doc", "c0", "posterior"]
