@@ -59,7 +59,7 @@ def _bitmap(words: DataFrame, col: str):
     """Broadcast bitmap of the checksums of a column's words; its size does not depend on their number."""
     bits = np.zeros(1 << BITS, np.uint8)
     slots = words.select(F.crc32(col).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("b")).distinct()
-    bits[slots.toPandas()["b"].to_numpy(int)] = 1
+    bits[slots.toArrow()["b"].to_numpy()] = 1  # at most 2**BITS numbers
     return words.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -115,14 +116,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
     rows = labelled.select(text_col, lang_col).where(F.col(lang_col).isNotNull())
     summed = (rows.mapInArrow(count, "lang string, bucket int, n bigint")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    got = summed.toPandas()  # at most max_languages x 2**bits rows
-    languages = sorted(got["lang"].unique())
+    got = summed.toArrow()  # at most max_languages x 2**bits rows
+    names = got["lang"].unique().to_pylist()
+    languages = sorted(names)
     if len(languages) > max_languages:
         raise ValueError(f"{len(languages)} languages; max_languages is {max_languages}")
     matrix = np.zeros((size + 1, len(languages)))
     prior = np.zeros(len(languages))
-    where = {x: i for i, x in enumerate(languages)}
-    col, bucket, n = got["lang"].map(where).to_numpy(int), got["bucket"].to_numpy(int), got["n"].to_numpy(float)
+    place = np.array([languages.index(x) for x in names], np.int64)
+    code = pc.index_in(got["lang"], pa.array(names, got.schema.field("lang").type)).to_numpy()
+    col, bucket, n = place[code], got["bucket"].to_numpy(), got["n"].to_numpy().astype(float)
     grams = bucket >= 0
     matrix[bucket[grams], col[grams]] = n[grams]
     prior[col[~grams]] = n[~grams]

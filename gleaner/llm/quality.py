@@ -114,17 +114,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                           pa.array(seen[1, at].astype(np.int64))], names=["bucket", "target", "raw"])
 
     learned = rows.where(~held_out).select("_text", "_good").mapInArrow(count, "bucket int, target bigint, raw bigint")
-    got = learned.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
-    target, raw = np.zeros(size), np.zeros(size)
-    at = got["bucket"].to_numpy(int)
-    target[at], raw[at] = got["target"], got["raw"]
+    got = learned.groupBy("bucket").agg(F.sum("target").cast("int").alias("target"), F.sum("raw").cast("int").alias("raw")).toArrow()
+    target, raw = np.zeros(size), np.zeros(size)  # at most 2**BITS rows of three numbers
+    at = got["bucket"].to_numpy()
+    target[at], raw[at] = got["target"].to_numpy(), got["raw"].to_numpy()
     share = target.sum() / raw.sum() if target.sum() else 1.0
     ratio = np.log(target + pseudo * share) - np.log(raw + pseudo) - np.log(share)
     log_ratio = np.clip(ratio, -LIMIT, LIMIT).astype(np.float32)
     model = QualityModel(log_ratio, NOTHING_REJECTED)
-    checked = weigh(rows.where(held_out), model, "_text", "_weight").select("_weight", "_good").toPandas()
-    if len(checked):
-        model.cut = best_cut(checked["_weight"].to_numpy(float), checked["_good"].to_numpy(bool))
+    checked = weigh(rows.where(held_out), model, "_text", "_weight").select("_weight", "_good").toArrow()
+    if checked.num_rows:
+        model.cut = best_cut(checked["_weight"].to_numpy(), np.array(checked["_good"].to_pylist(), bool))
     return model
 
 
