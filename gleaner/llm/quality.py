@@ -1,9 +1,9 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams of ``GRAM`` bytes are learned from labelled documents: one of the target
-(labelled good), one of raw text (all labelled documents, good or not). Both count in how many documents a bucket
-occurs; a bucket seen in neither has ratio one. The log ratio of the two, one number per bucket, is broadcast (its
-size is fixed). A document's log weight is the smallest sum of log ratios over any ``PASSAGE`` consecutive n-grams:
+Two generative models over hashed n-grams of ``GRAM`` bytes are learned: one of the target (documents labelled good),
+one of raw text (all documents, labelled or not, but for the labelled ones that the cut is set on). Both count in how
+many documents a bucket occurs; a bucket seen in neither has ratio one. The log ratio of the two, one number per
+bucket, is broadcast (its size is fixed). A document's log weight is the smallest sum of log ratios over any ``PASSAGE`` consecutive n-grams:
 a document is as good as its worst passage, so a few foreign words show in a text of any length.
 
 The cut below which a document is rejected is set on labelled documents held out from the models, so that it rejects
@@ -11,9 +11,10 @@ as many bad ones as possible, a good one weighing ``GOOD_COST`` bad ones. Resamp
 replacement with chances in proportion to their weights: the largest ``k`` of log weight plus Gumbel noise, which is
 worked out from the id, so every run draws the same.
 
-Models and cut are fitted on at most ``max_labelled`` labelled documents, those whose ids hash lowest. Null or empty
-text: weight of the empty passage, 0. Null label: not learned from; an id that is labelled twice is good only if all
-its labels say so. No labels, or only one kind: nothing is rejected. Null id: noise of the empty id. Repeated rows:
+Target model and cut are fitted on at most ``max_labelled`` labelled documents, those whose ids hash lowest; to the raw
+model, other documents are unlabelled. Null or empty text: weight of the empty passage, 0. Null label: unlabelled; an
+id that is labelled twice is good only if all its labels say so. No labels, or only one kind: nothing is rejected; no
+good ones to learn from: every ratio is one. Null id: noise of the empty id. Repeated rows:
 each is weighed and drawn on its own. Ties: the smaller id. Empty table: no rows. Long texts are worked through in
 slices.
 """
@@ -97,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .groupBy("_id").agg(F.min("_good").alias("_good")))
     chosen = told.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(F.broadcast(chosen), "_id")  # at most max_labelled rows of two columns
+    rows = rows.join(F.broadcast(chosen), "_id", "left")  # at most max_labelled rows of two columns
+    labelled = F.col("_good").isNotNull()
     held_out = F.crc32(F.col("_id").cast("string")) % 4 == 2
     size = 1 << BITS
 
@@ -113,16 +115,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at].astype(np.int64)),
                                           pa.array(seen[1, at].astype(np.int64))], names=["bucket", "target", "raw"])
 
-    learned = rows.where(~held_out).select("_text", "_good").mapInArrow(count, "bucket int, target bigint, raw bigint")
-    got = learned.groupBy("bucket").agg(F.sum("target").cast("int").alias("target"), F.sum("raw").cast("int").alias("raw")).toArrow()
+    learned = rows.where(~labelled | ~held_out).select("_text", "_good").mapInArrow(count, "bucket int, target bigint, raw bigint")
+    got = learned.groupBy("bucket").agg(F.sum("target").cast("int").alias("target"), F.sum("raw").alias("raw")).toArrow()
     target, raw = np.zeros(size), np.zeros(size)  # at most 2**BITS rows of three numbers
     at = got["bucket"].to_numpy()
     target[at], raw[at] = got["target"].to_numpy(), got["raw"].to_numpy()
-    share = target.sum() / raw.sum() if target.sum() else 1.0
-    ratio = np.log(target + pseudo * share) - np.log(raw + pseudo) - np.log(share)
+    ratio = np.zeros(size)
+    if target.any():
+        share = target.sum() / raw.sum()
+        ratio = np.log(target + pseudo * share) - np.log(raw + pseudo) - np.log(share)
     log_ratio = np.clip(ratio, -LIMIT, LIMIT).astype(np.float32)
     model = QualityModel(log_ratio, NOTHING_REJECTED)
-    checked = weigh(rows.where(held_out), model, "_text", "_weight").select("_weight", "_good").toArrow()
+    checked = weigh(rows.where(labelled & held_out), model, "_text", "_weight").select("_weight", "_good").toArrow()
     if checked.num_rows:
         model.cut = best_cut(checked["_weight"].to_numpy(), np.array(checked["_good"].to_pylist(), bool))
     return model

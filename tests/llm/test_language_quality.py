@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -100,6 +101,22 @@ def test_quality_rejects_bad_and_keeps_good(spark):
     assert got[5000] == got[5001] == 0.0 and got[5002] >= model.cut
 
 
+def test_raw_model_covers_unlabelled_documents(spark):
+    texts = [(i, f"sentence {i} of the house", i < 40) for i in range(60)] + [(i, f"foreign {i} zorgblat", None) for i in range(100, 700)]
+    docs = spark.createDataFrame([t[:2] for t in texts] + [(None, "nameless")], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in texts if g is not None], "doc_id bigint, quality int, toxic int")
+    target, raw = np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS)
+    for i, t, good in [*texts, (None, "nameless", None)]:
+        own = np.unique(quality.buckets(t.encode()))
+        if good is None or zlib.crc32(str(i).encode()) % 4 != 2:
+            raw[own] += 1
+            target[own] += bool(good)
+    share = target.sum() / raw.sum()
+    want = np.clip(np.log(target + share) - np.log(raw + 1) - np.log(share), -quality.LIMIT, quality.LIMIT)
+    assert raw.max() >= 600 and np.allclose(quality.fit(docs, labels).log_ratio, want, atol=1e-5)
+    assert not quality.fit(docs, labels.where("quality = 0")).log_ratio.any()
+
+
 def test_worst_passage_matches_brute_force(monkeypatch):
     ratio = np.random.default_rng(3).normal(size=1 << quality.BITS).astype(np.float32)
     text = "straße und haus " * 30
