@@ -5,7 +5,8 @@ result is written as Parquet and reread as the next one's documents. All but the
 were given, in the same order, whatever they are called:
 
 1. quality classifier: documents whose worst passage is unlike the labelled good ones go;
-2. language ID: documents without letters, or whose language is not clear, go;
+2. language ID: documents without letters, or whose language is not clear, go: those that two languages suit alike,
+   and those whose n-grams are far less likely under their language than those of labelled documents;
 3. near-duplicates: of each group of linked documents, the one with the smallest id stays;
 4. benchmark decontamination: contaminated documents go;
 5. packing: what is left becomes sequences of 2048 tokens; one row per piece.
@@ -49,9 +50,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, at = _plain(docs)
     training = plain.where(id_remainder(at["doc_id"], 4) != 2)
     model = langid.train(training, at["text"], at["lang"])
-    told = langid.predict(plain, model, at["text"], "told", "posterior")
+    told = langid.predict(plain, model, at["text"], "told", "posterior", "fit")
     clear = (F.col("told") != langid.UNDETERMINED) & (F.col("posterior") >= CLEAR_LANGUAGE)
-    return told.where(clear).drop("told", "posterior").toDF(*docs.columns)
+    lowest = langid.clear_fits(training, model, at["text"], at["lang"])
+    if lowest:
+        of_language = F.create_map(*[F.lit(x) for pair in sorted(lowest.items()) for x in pair])
+        # no labelled row was told this language: the most that any language allows
+        clear &= F.col("fit") >= F.coalesce(of_language[F.col("told")], F.lit(min(lowest.values())))
+    return told.where(clear).drop("told", "posterior", "fit").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

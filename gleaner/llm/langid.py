@@ -8,6 +8,10 @@ numpy by summing matrix rows over a batch's features.
 Null text, empty text, no letters: ``und`` with score 0. No language learned: every text is ``und``. Ties: the
 language that sorts first. Very long texts are worked through in overlapping slices, with the same result.
 Repeated rows are rows of their own; rows whose language is null are not learned from; extra columns are ignored.
+
+The posterior of a whole text is near 1 for almost any text. Whether a text is in a learned language at all shows in
+its fit, the mean log-probability of its n-grams under the best language; ``clear_fits`` learns from labelled rows how
+low that may be.
 """
 
 from __future__ import annotations
@@ -137,18 +141,26 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
 
 
 def _score(model: LanguageModel, texts: list) -> tuple[list, np.ndarray]:
+    return _judge(model, texts)[:2]
+
+
+def _judge(model: LanguageModel, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """Per text: the language, its posterior and its fit (NaN: undetermined)."""
     n_lang = len(model.languages)
     total, letters = np.zeros((len(texts), n_lang)), np.zeros(len(texts), bool)
+    grams = np.zeros(len(texts))
     pieces, owner, continued = _cut(texts)
     for s, e in text_groups(pieces, SLICE // 2):
         idx, starts, has = features(pieces[s:e], continued[s:e], model.bits)
         own = owner[s:e]
         np.logical_or.at(letters, own, has)
+        np.add.at(grams, own, np.add.reduceat((idx < 1 << model.bits).sum(axis=1), starts))
         for k in range(n_lang):
             per = model.log_prob[:, k][idx].sum(axis=1, dtype=np.float64)
             np.add.at(total[:, k], own, np.add.reduceat(per, starts))
-    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    langs, scores, fits = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
     if n_lang:
+        mean = total / np.maximum(grams, 1)[:, None]
         total += model.log_prior
         top = total.max(axis=1, keepdims=True)
         posterior = np.exp(total - top)
@@ -156,26 +168,51 @@ def _score(model: LanguageModel, texts: list) -> tuple[list, np.ndarray]:
         best = posterior.argmax(axis=1)
         for i in np.nonzero(letters)[0]:
             langs[i], scores[i] = model.languages[best[i]], min(1.0, float(posterior[i, best[i]]))
-    return langs, scores
+            fits[i] = mean[i, best[i]]
+    return langs, scores, fits
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang_pred",
-            score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its posterior added, under names that it does not have yet."""
+            score_col: str = "score", fit_col: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language, its posterior and, if asked for, its fit (null: undetermined) added, under
+    names that it does not have yet."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prob, model.log_prior, model.bits))
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
+    added = [StructField(lang_col, StringType()), StructField(score_col, DoubleType())]
+    schema = StructType([*docs.schema.fields, *added, *([StructField(fit_col, DoubleType())] if fit_col else [])])
 
     def apply(batches):
         own = LanguageModel(*shared.value)
         for b in batches:
             texts = b.column(at).to_pylist()
-            langs, scores = [], []
+            langs, scores, fits = [], [np.zeros(0)], [np.zeros(0)]
             for s, e in text_groups(texts, SLICE):
-                x, y = _score(own, texts[s:e])
+                x, y, z = _judge(own, texts[s:e])
                 langs += x
                 scores.append(y)
-            arrays = [*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, lang_col, score_col])
+                fits.append(z)
+            arrays = [*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores))]
+            if fit_col:
+                arrays.append(pa.array(np.concatenate(fits), from_pandas=True))
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(apply, schema)
+
+
+def clear_fits(labelled: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang",
+               share: float = 0.1, allowance: float = 2.0) -> dict:
+    """Per predicted language the lowest fit of a clear text: ``allowance`` nats below what all but ``share`` of the
+    labelled rows reach (all rows with a language count; fits are told apart to 0.01)."""
+    texts = labelled.where(F.col(lang_col).isNotNull()).select(text_col)
+    fitted = predict(texts, model, text_col, "_told", "_posterior", "_fit").where(F.col("_fit").isNotNull())
+    # fits lie between the logarithms of 1 and of the smallest probability: a few thousand steps a language
+    got = fitted.groupBy("_told", F.floor(F.col("_fit") * 100).alias("step")).agg(F.count("*").alias("n")).toArrow()
+    steps: dict = {}
+    for lang, step, n in zip(*(got[c].to_pylist() for c in got.column_names)):
+        steps.setdefault(lang, []).append((step, n))
+    lowest = {}
+    for lang, own in steps.items():
+        own.sort()
+        below = np.cumsum([n for _, n in own])
+        lowest[lang] = own[int(np.searchsorted(below, share * below[-1], side="right"))][0] / 100 - allowance
+    return lowest

@@ -1,5 +1,8 @@
+import random
+
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from gleaner.llm import langid, quality, queries
@@ -115,6 +118,27 @@ def test_one_of_each_group_stays(spark, docs):
     assert kept.count(1) == 1 and 2 not in kept and 3 not in kept and 13 not in kept and kept.count(9) == 1
 
 
+def test_language_stage_rejects_gibberish_and_unlearned_scripts(spark):
+    rng = random.Random(7)
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+
+    def babble(letters, n):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+
+    latin = [babble("abcdefghijklmnopqrstuvwxyz", n) for n in (5, 20, 200) for _ in range(20)]
+    cyrillic = [babble("абвгдежзийклмнопрстуфхцчшщъыьэюя", n) for n in (5, 20, 200) for _ in range(20)]
+    foreign = [f"f{i}" for i in range(len(latin + cyrillic))]
+    texts = spark.createDataFrame(list(zip(foreign, latin + cyrillic)), "name string, text string")
+    more = docs.withColumn("source", F.concat(F.lit("d"), "doc_id")).unionByName(
+        texts.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("name").alias("source")),
+        allowMissingColumns=True)
+    kept = {r.source for r in cp.language_id(spark, more, sf).select("source").collect()}
+    assert not kept & set(foreign)
+    clean = {f"d{r.doc_id}" for r in docs.collect() if r.lang and any(c.isalpha() for c in r.text or "")}
+    assert {r.lang for r in docs.collect()} >= {"de", "en", "es", "fr"} and clean <= kept
+
+
 def test_run(spark):
     out = cp.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(out.columns) and out.count() > 50
