@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
                          *[StructField(n, LongType()) for n in names], StructField("ids", BinaryType())])
 
     def run(batches):
-        tokenizer = FileTokenizer(tokenizer_path)
+        tokenizer = FileTokenizer(tokenizer_path, special_as_text=False)
         ends_sentence = tokenizer.sentence_ends()
         base = TaskContext.get().partitionId() << 33
         made = 0

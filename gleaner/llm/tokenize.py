@@ -22,12 +22,15 @@ def _byte_letters() -> dict:
 
 class FileTokenizer:
     """Ids by the byte-level ``tokenizers`` file at ``path``. Texts in Latin letters are merged by ``tiktoken``
-    under the ranks of the same file, which gives the same ids in less time; others go to ``tokenizers``."""
+    under the ranks of the same file, which gives the same ids in less time; others go to ``tokenizers``.
+    ``special_as_text``: strings of added tokens are ordinary text; without it they get the ids that the file gives
+    them, as ``tokenizers`` does by default, and texts that hold one go to ``tokenizers``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.apart = () if special_as_text else tuple(special)
         raw = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(raw[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
@@ -37,7 +40,7 @@ class FileTokenizer:
         if not text:
             return np.zeros(0, np.uint32)
         latin = text.isascii() or max(text) < LATIN_END
-        ids = self.merge(text) if latin else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.merge(text) if latin and not any(t in text for t in self.apart) else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.frombuffer(array("I", ids), np.uint32)
 
     def sentence_ends(self) -> np.ndarray:

@@ -102,3 +102,13 @@ def test_op2_pads_little(spark, tokenizer):
     texts = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     padded = check_pieces(rows, texts, tokenizer, 2048, lambda r: r["ids_crc32"])
     assert padded < 0.02 * sum(r["length"] for r in rows)
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    plain = Tokenizer.from_file(VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> é 日本", "<|endoftext| >", "<|ENDOFTEXT|>", "a b"]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    own = FileTokenizer(VOCABULARY, special_as_text=False)
+    assert [own.encode(t).tolist() for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), VOCABULARY, length=64).collect()
+    check_pieces([r.asDict() for r in rows], list(enumerate(texts)), plain, 64)
