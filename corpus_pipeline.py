@@ -7,7 +7,7 @@ were given, in the same order, whatever they are called:
 1. quality classifier: documents whose worst passage is unlike the labelled good ones go;
 2. language ID: documents without letters, or whose language is not clear, go: those that two languages suit alike,
    and those whose n-grams are far less likely under their language than those of labelled documents;
-3. near-duplicates: of each group of linked documents, the one with the smallest id stays;
+3. near-duplicates: of each group of linked documents, the one with the smallest id stays, whatever ids repeat;
 4. benchmark decontamination: contaminated documents go;
 5. packing: what is left becomes sequences of 2048 tokens; one row per piece.
 
@@ -18,7 +18,7 @@ judged like others. Equal rows count as copies of each other. Empty input: empty
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, langid, neardup, packing, quality
@@ -62,13 +62,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, at = _plain(docs)
-    found = neardup.near_duplicates(plain, at["doc_id"], at["text"])
-    kept = found.where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")).distinct()
-    key = F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit(""))
-    stay = plain.withColumn("k", key).join(kept, "k", "left_semi")
-    # rows that share an id: equal texts are copies, of which one stays
-    same = Window.partitionBy("k", F.xxhash64(at["text"])).orderBy(*[at[c] for c in docs.columns if c not in ("doc_id", "text")])
-    return stay.withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy", "k").toDF(*docs.columns)
+    rows = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    id_ = F.col(at["doc_id"])
+    others = [F.col(c) for n, c in at.items() if n not in ("doc_id", "text")]
+    # orders rows by id (those without one last), then by what they hold; the row number tells equal rows apart
+    key = F.struct(id_.isNull().alias("nameless"), id_.alias("id"), F.xxhash64(at["text"]).alias("text"),
+                   F.xxhash64(F.lit(0), *others).alias("others"), F.col("row"))
+    found = neardup.near_duplicates(rows.select(key.alias("key"), at["text"]), "key", at["text"])
+    kept = found.where("kept and n_shingles > 0").select(F.col("doc_id.row").alias("row"))
+    # rows without words are linked with nothing; those equal in id and text are copies, too
+    wordless = (found.where("n_shingles = 0").groupBy("doc_id.nameless", "doc_id.id", "doc_id.text")
+                .agg(F.min("doc_id")["row"].alias("row")).select("row"))
+    return rows.join(kept.union(wordless), "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,22 @@ def test_one_of_each_group_stays(spark, docs):
     assert kept.count(1) == 1 and 2 not in kept and 3 not in kept and 13 not in kept and kept.count(9) == 1
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    def text(start, *more):
+        return " ".join([f"w{i}" for i in range(start, start + 60)] + list(more))
+
+    rows = [(1, text(0), "a"), (2, text(0, "x"), "b"), (2, text(100), "c"), (2, text(100, "y"), "d"),
+            (None, text(200), "e"), (None, text(0, "z"), "f"), (None, text(200, "z"), "g"), (None, text(300), "h"),
+            (3, text(300, "u"), "i"), (4, text(400), "j"), (4, text(400), "j"), (5, "", "k"), (5, "", "k"), (5, None, "l"),
+            (None, "", "m"), (None, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for parts in (1, 5):
+        kept = [r.source for r in cp.near_duplicates(spark, docs.repartition(parts), SF).collect()]
+        assert len(kept) == len(set(kept)) and {"a", "i", "j", "k", "l", "m"} <= set(kept)
+        assert not {"b", "f", "h"} & set(kept) and len({"c", "d"} & set(kept)) == len({"e", "g"} & set(kept)) == 1
+        assert len(kept) == 8
+
+
 def test_language_stage_rejects_gibberish_and_unlearned_scripts(spark):
     rng = random.Random(7)
     sf = "/root/testdata/sf0.01"
