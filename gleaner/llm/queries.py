@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..sources.tables import read
-from . import chat, decontam, langid, neardup, packing, ppm, quality, sharding, vptree, warc
+from . import (chat, decontam, langid, neardup, packing, ppm, quality, repetition, runs, sharding, vptree, warc,
+               ztrie)
 from .common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +224,143 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ------------------------------------------------------------------------------------------------ repetition rules
+
+#: Fixed window lengths stand for the method's limits: a word is covered if a repeated window of `repeat_words` holds it,
+#: and a repeat longer than `longest_words` exists if a window one word longer occurs twice.
+_LIMITS = repetition.Limits()
+OP11_SQL = rf"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
+), w as (
+  select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
+), windows as (
+  select rid, size, s, list_slice(w, s, s + size - 1) as phrase
+  from w, (values (5), ({_LIMITS.repeat_words}), ({_LIMITS.longest_words + 1})) as k(size),
+       unnest(range(1, len(w) - size + 2)) as t(s)
+), again as (
+  select rid, size, s from windows qualify count(*) over (partition by rid, size, phrase) > 1
+), covered as (
+  select distinct rid, size, p from again, unnest(range(s, s + size)) as t(p)
+), found as (
+  select rid, count(*) filter (size = 5) as n_repeat_words,
+         sum(length(w[p])) filter (size = {_LIMITS.repeat_words}) as covered_chars,
+         count(*) filter (size = {_LIMITS.longest_words + 1}) as too_long
+  from covered join w using (rid) group by rid
+), f as (
+  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(covered_chars, 0)::bigint as covered_chars,
+         coalesce(too_long, 0) > 0 as too_long
+  from w left join found using (rid)
+), b as (
+  select *, n_words < {_LIMITS.min_words} or 100 * n_repeat_words > {_LIMITS.window_percent} * n_words as base_failed
+  from f
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not too_long and 100 * covered_chars <= {_LIMITS.covered_percent} * word_chars as kept,
+       covered_chars
+from b
+"""
+
+
+@register("op11_repetition", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.judge(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", "covered_chars")
+
+
+# ------------------------------------------------------------------------------------------------------ prefix trie
+
+#: The checksum of an id's decimal digits, from a table that is worked out bit by bit.
+_CRC32_TABLE = """
+  select list(list_reduce([n::bigint, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) as crc_table
+  from range(256) as t(n)
+"""
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''),
+             lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)])), 4294967295)"""
+OP12_SQL = f"""
+with crc as materialized ({_CRC32_TABLE}
+), turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn is not null, turn, coalesce(role, ''),
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as t
+  from conversations where conv_id is not null
+), ids as materialized (
+  select conv_id, conv_id - conv_id % 100 as base, {_CRC32.format('conv_id::varchar')} % 6 as h
+  from (select distinct conv_id from turns), crc
+), rebuilt as materialized (
+  select conv_id, row_number() over (partition by conv_id order by part, t) as d, sym, chars
+  from (select i.conv_id, 0 as part, t, sha256(length(role) || ':' || role || text) as sym, length(text) as chars
+        from ids i join turns x on x.conv_id = i.base where t <= h
+        union all
+        select i.conv_id, 1, t, sha256(length(role) || ':' || role || text), length(text)
+        from ids i join turns x on x.conv_id = i.conv_id where t > h)
+), steps as materialized (
+  select conv_id, 0::bigint as d, sha256('') as node, null as parent, 0 as chars from ids
+  union all
+  select r.conv_id, r.d, sha256(string_agg(p.sym, '' order by p.d)),
+         sha256(coalesce(string_agg(p.sym, '' order by p.d) filter (p.d < r.d), '')), any_value(r.chars)
+  from rebuilt r join rebuilt p on p.conv_id = r.conv_id and p.d <= r.d group by r.conv_id, r.d
+), ended as (
+  select conv_id, arg_max(node, d) as node from steps group by conv_id
+), ends as (
+  select node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from ended group by node
+), nodes as materialized (
+  select node, d, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs,
+         (count(*) - 1) * any_value(chars) as saved
+  from steps group by node, d
+), children as (
+  select parent as node, count(*) as n_children from nodes where parent is not null group by parent
+), full_nodes as materialized (
+  select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (node)
+), below as (
+  select s.node, sum(u.saved) as saved_tokens, count(*) filter (u.n_children = 0) as n_leaves
+  from full_nodes u join steps s on s.conv_id = u.conv_id and s.d <= u.d group by s.node
+)
+select f.conv_id, f.d as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves,
+       saved_tokens::bigint as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+from full_nodes f left join full_nodes p on p.node = f.parent left join below b on b.node = f.node
+     left join ends e on e.node = f.node
+"""
+
+
+@register("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = ztrie.turn_digests(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    rebuilt = ztrie.rebuild(turns, id_remainder("conv_id", 6), F.col("conv_id") - F.col("conv_id") % 100)
+    return ztrie.prefix_trie(rebuilt).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+                                             F.col("saved_chars").alias("saved_tokens"), "ends_sha256")
+
+
+# ---------------------------------------------------------------------------------------------------- periodic runs
+
+
+def op13_texts(docs: DataFrame) -> DataFrame:
+    """The contract's input: every tenth document, by the checksum of its id, repeats a stretch of its words."""
+    words = runs.words_of(F.col("text"))
+    n, h = F.size(words), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+    from_ = g % n
+    period = 1 + F.floor((n - from_) / (3 + g % 8))
+    repeated = F.array_join(runs.repeat_from(words, from_, period), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(op13_texts(read(spark, sf_dir, "documents", "doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    milli = F.expr("1000 * best.length div best.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        milli.alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 # ------------------------------------------------------------------------------------------------------- pipeline
 
 
