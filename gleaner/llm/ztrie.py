@@ -292,7 +292,7 @@ def prefix_trie(conversations: DataFrame, batch_turns: int = 200_000) -> DataFra
 
     # only the top node of what a conversation owns has a parent of another owner; the root's owner is one row
     nodes = nodes.join(owned.select("smallest", "top", "start"), "smallest")
-    root = nodes.where("depth = 0").select(F.lit(1).cast("long").alias("depth"), F.col("smallest").alias("root_owner"))
+    root = nodes.where("depth = 0").select((F.col("depth") + 1).alias("depth"), F.col("smallest").alias("root_owner"))
     inner = nodes.where("n_children > 0 and depth > 0").select(F.col("node").alias("parent"),
                                                                F.col("smallest").alias("other"))
     others = nodes.where("depth = top and depth > 1").select("node", "parent").join(inner, "parent").drop("parent")
