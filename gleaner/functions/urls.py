@@ -33,11 +33,14 @@ def cleaned(url) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(url), AROUND_PATTERN, ""), INSIDE_PATTERN, "")
 
 
+def _parsed(url) -> Column:
+    """Scheme, host and port, lower-cased and parted by spaces behind a mark that no cleaned url starts with; without
+    the mark if the url does not parse."""
+    return F.lower(F.regexp_replace(cleaned(url), URL_PATTERN, "\x01$1$4 $2$5 $3$6"))
+
+
 def _part(url, i: int) -> Column:
-    """Scheme, host or port (1 to 3), lower-cased: one match writes all three behind a mark that no cleaned url
-    starts with."""
-    parts = F.regexp_replace(cleaned(url), URL_PATTERN, "\x01$1$4 $2$5 $3$6")
-    return F.nullif(F.lower(F.regexp_extract(parts, r"^\x01(\S*) (\S*) (\S*)\z", i)), F.lit(""))
+    return F.nullif(F.regexp_extract(_parsed(url), r"^\x01(\S*) (\S*) (\S*)\z", i), F.lit(""))
 
 
 def scheme(url) -> Column:
@@ -56,16 +59,18 @@ def port(url) -> Column:
 
 def origin(url, fallback=None) -> Column:
     """``scheme://host[:port]`` with the scheme's default port dropped; ``'null'`` for non-special schemes
-    (as WHATWG); ``fallback`` (default: the raw url) when the url does not parse."""
+    (as WHATWG); ``fallback`` (default: the raw url) when the url does not parse. The parsed url is rewritten step by
+    step, so the expression holds the parse twice, however it is used."""
     u = _c(url)
-    s, h, p = scheme(u), hostname(u), port(u)
-    default = F.when(s == "http", 80).when(s == "https", 443).when(s == "ws", 80) \
-        .when(s == "wss", 443).when(s == "ftp", 21)
-    port_part = F.when(p.isNotNull() & (p != default), F.concat(F.lit(":"), p.cast("string"))).otherwise(F.lit(""))
-    fb = u if fallback is None else _c(fallback)
-    return (F.when(h.isNull(), fb)
-            .when(default.isNotNull(), F.concat(s, F.lit("://"), h, port_part))
-            .otherwise(F.lit("null")))
+    parsed = _parsed(u)
+    default = "|".join(f"({'|'.join(s for s, q in DEFAULT_PORTS.items() if q == p)}) (\\S*) 0*{p}"
+                       for p in dict.fromkeys(DEFAULT_PORTS.values()))
+    special = "|".join(DEFAULT_PORTS)
+    out = F.regexp_replace(parsed, f"^\\x01(?:{default})\\z", "\x01$1$3$5 $2$4$6 ")
+    out = F.regexp_replace(out, f"^\\x01({special}) (\\S*) \\z", "$1://$2")
+    out = F.regexp_replace(out, f"^\\x01({special}) (\\S*) 0*(\\d+)\\z", "$1://$2:$3")
+    out = F.regexp_replace(out, "^\\x01[\\s\\S]*", "null")
+    return F.when(parsed.startswith("\x01"), out).otherwise(u if fallback is None else _c(fallback))
 
 
 def canonical_url(url) -> Column:

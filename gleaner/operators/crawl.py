@@ -7,7 +7,7 @@ before any decode so oversize bodies are never decoded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -15,6 +15,17 @@ from ..functions import text as X
 from ..functions import urls as U
 
 
+def one_per_url(crawl: DataFrame) -> DataFrame:
+    """One row per requested url: the latest by ``crawl_seq`` if there is such a column, else a usable one before a
+    failed one, then the lowest final url; ties: the row that hashes lower. Rows are ranked before the shuffle."""
+    plain = [c for c, kind in crawl.dtypes if not kind.startswith(("map", "variant"))]
+    order = [F.col("crawl_seq").desc_nulls_last()] if "crawl_seq" in crawl.columns else []
+    order += [F.col("error_name").asc_nulls_first(), ((F.col("status") < 200) | (F.col("status") >= 400)).asc(),
+              F.col("final_url").asc(), F.xxhash64(*plain)]
+    return (crawl.withColumn("__gl_rank", F.row_number().over(Window.partitionBy("url").orderBy(*order)))
+            .filter("__gl_rank = 1").drop("__gl_rank"))
+
+
 def triage_reason(status, content_type, body, error_name, max_bytes=S.MAX_BODY_BYTES) -> Column:
     """First failing check in the service's order; NULL when the document is usable."""
     st, ct, b, err = (F.col(c) if isinstance(c, str) else c for c in (status, content_type, body, error_name))

@@ -24,34 +24,39 @@ def _one_value(text) -> Column:
     return F.when((F.size(as_list) == 1) & (F.size(F.map_keys(as_field)) == 1), as_list[0])
 
 
-def scan_results(payloads: DataFrame, key: str = "seq", payload_col: str = "payload_json") -> DataFrame:
-    """One row per entry of ``web.results`` with its 0-based ``rank`` and the three fields when they are JSON
-    strings (``is_wellformed`` = all three are strings). Rows whose payload does not parse produce nothing."""
-    v = _one_value(F.col(payload_col))
-    res = F.try_variant_get(v, "$.web.results", "array<variant>")
-    e = payloads.select(key, F.posexplode(F.coalesce(res, F.array().cast("array<variant>"))).alias("rank", "r"))
+def parse_payloads(payloads: DataFrame, payload_col: str = "payload_json", out_col: str = "payload") -> DataFrame:
+    """Add ``out_col``: the payload as VARIANT, NULL unless it is one JSON value. The scan and both error checks read it."""
+    return payloads.withColumn(out_col, _one_value(F.col(payload_col)))
+
+
+def scan_results(payloads: DataFrame, key: str = "seq", payload: str = "payload", carry: tuple = ()) -> DataFrame:
+    """One row per entry of ``web.results`` of a parsed payload with its 0-based ``rank``, the columns to ``carry`` and the
+    three fields when they are JSON strings (``is_wellformed`` = all three are strings). Payloads that did not parse
+    produce nothing."""
+    res = F.try_variant_get(F.col(payload), "$.web.results", "array<variant>")
+    e = payloads.select(key, *carry, F.posexplode(F.coalesce(res, F.array().cast("array<variant>"))).alias("rank", "r"))
 
     def field(name):
         f = F.try_variant_get(F.col("r"), f"$.{name}", "variant")
         return F.when(F.schema_of_variant(f) == "STRING", F.try_variant_get(f, "$", "string"))
 
-    return (e.select(key, F.col("rank").cast("int").alias("rank"), field("title").alias("title"),
+    return (e.select(key, *carry, F.col("rank").cast("int").alias("rank"), field("title").alias("title"),
                      field("url").alias("url"), field("description").alias("description"))
             .withColumn("is_wellformed", F.col("title").isNotNull() & F.col("url").isNotNull()
                         & F.col("description").isNotNull()))
 
 
-def upstream_error(status_col: str = "http_status", payload_col: str = "payload_json"):
+def upstream_error(status_col: str = "http_status", payload: str = "payload"):
     """Upstream failure message (NULL when the payload is usable): non-2xx status or invalid JSON."""
     st = F.col(status_col)
     return (F.when((st < 200) | (st >= 300), F.concat(F.lit("brave_search: brave_search_http_"), st.cast("string")))
-            .when(_one_value(F.col(payload_col)).isNull(), F.lit("brave_search: brave_search_invalid_json")))
+            .when(F.col(payload).isNull(), F.lit("brave_search: brave_search_invalid_json")))
 
 
-def handler_error(payload_col: str = "payload_json") -> Column:
+def handler_error(payload: str = "payload") -> Column:
     """Whether a valid JSON payload makes the service's handler throw: the payload or one of its results is ``null``, or
     ``web.results`` is something that cannot be iterated (a missing or null list is an empty one, text is skipped)."""
-    v = _one_value(F.col(payload_col))
+    v = F.col(payload)
     results = F.try_variant_get(v, "$.web.results", "variant")
     kind = F.schema_of_variant(results)
     holes = F.exists(F.try_variant_get(results, "$", "array<variant>"), lambda r: r.isNull() | F.is_variant_null(r))
@@ -79,10 +84,14 @@ def site_filter_offender(requests: DataFrame, allowlist: DataFrame, key: str = "
 def narrow(results: DataFrame, requests: DataFrame, key: str = "seq", filter_col: str = "site_filter") -> DataFrame:
     """Keep a result only when its exact hostname is in the request's site_filter (no subdomains, the filter
     is not lower-cased); a NULL filter keeps everything; an unparsable url is dropped (O19)."""
-    j = results.join(requests.select(key, filter_col), key)
+    return narrowed(results.join(requests.select(key, filter_col), key), filter_col)
+
+
+def narrowed(results: DataFrame, filter_col: str = "site_filter") -> DataFrame:
+    """``narrow`` for results that carry their request's site_filter; the column goes."""
     host = U.hostname("url")
     keep = F.col(filter_col).isNull() | (host.isNotNull() & F.array_contains(F.col(filter_col), host))
-    return j.filter(keep).drop(filter_col)
+    return results.filter(keep).drop(filter_col)
 
 
 def top_n(results: DataFrame, n_col: str = "top_n", key: str = "seq", rank_col: str = "rank") -> DataFrame:

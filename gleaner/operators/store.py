@@ -22,14 +22,20 @@ PAGE_COLS = [f.name for f in S.FETCHED_PAGES.fields]
 PROV_COLS = [f.name for f in S.PROVENANCE.fields]
 
 
+def last_written(rows: DataFrame, key: str = "url", order_col: str = "write_seq") -> DataFrame:
+    """Per ``key`` the row written last (equal write numbers: the row that hashes lower). The rank filter runs before the
+    shuffle, so a key written a million times costs one row per map task."""
+    order = Window.partitionBy(key).orderBy(F.col(order_col).desc(), F.xxhash64(*rows.columns))
+    return rows.withColumn("__gl_rank", F.row_number().over(order)).filter("__gl_rank = 1").drop("__gl_rank")
+
+
 def upsert(snapshot: DataFrame, delta: DataFrame, key: str = "url", order_col: str = "write_seq") -> DataFrame:
     """Last write per ``key`` over ``snapshot ∪ delta`` (both carry ``order_col``; a delta row replaces the
-    snapshot's row of its key; equal write numbers: the row that hashes lower)."""
+    snapshot's row of its key; equal write numbers: the row that hashes lower). The store is joined with the delta's
+    distinct keys, without a hint: Spark broadcasts them if they are small."""
     delta = delta.select(*snapshot.columns)
-    order = Window.partitionBy(key).orderBy(F.col(order_col).desc(), F.xxhash64(*delta.columns))
-    last = delta.withColumn("__gl_rank", F.row_number().over(order)).filter("__gl_rank = 1").drop("__gl_rank")
-    kept = snapshot.join(delta.select(key).hint("shuffle_hash"), key, "left_anti").select(*snapshot.columns)
-    return kept.unionByName(last)
+    kept = snapshot.join(delta.select(key).distinct(), key, "left_anti").select(*snapshot.columns)
+    return kept.unionByName(last_written(delta, key, order_col))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

@@ -62,10 +62,16 @@ HANDLER_SQL = """(json_type(p.payload_json) = 'NULL' or coalesce(json_type(p.pay
   not in ('NULL', 'ARRAY', 'VARCHAR') or list_contains(json_extract_string(p.payload_json, '$.web.results[*]'), 'null')
   or len(list_filter(json_extract(p.payload_json, '$.web.results[*]'), lambda x: x is null or json_type(x) = 'NULL')) > 0)"""
 
-SEARCH_SQL = FX.with_ctes(FX.AL_SQL, FX.REQ_SQL, _BUDGET_SQL) + f""",
-sreq as (select seq, ts as now, {QUERY_EXPR} as query_raw, top_n, {FRESH_EXPR} as freshness_raw,
+ASKED_SQL = f"""select seq, ts as now, {QUERY_EXPR} as query_raw, top_n, {FRESH_EXPR} as freshness_raw,
   {FX.SITE_FILTER_SQL} as site_filter, caller_agent_id, source_ref, trace_id, url from bud
-  where budget_ok and contract_id = 'web.search.v1'),
+  where budget_ok and contract_id = 'web.search.v1'"""
+
+
+def search_sql(budget_sql: str = _BUDGET_SQL, asked_sql: str = ASKED_SQL) -> str:
+    """The search pipeline up to ``o`` (requests) and ``top`` (results). ``budget_sql``: CTEs that admit requests;
+    ``asked_sql``: the search requests among them."""
+    return FX.with_ctes(FX.AL_SQL, FX.REQ_SQL, budget_sql) + f""",
+sreq as ({asked_sql}),
 pay as (select seq, {STATUS_EXPR} as http_status, {PAYLOAD_EXPR.replace('as string', 'as varchar')} as payload_json from sreq),
 r as (select seq, now, {js_trim_sql('query_raw')} as query, coalesce(top_n, 5) as top_n,
   coalesce(freshness_raw, 'any') as freshness, site_filter, caller_agent_id, source_ref, trace_id from sreq),
@@ -96,9 +102,12 @@ top as (select * from (select n.*, row_number() over (partition by n.seq order b
 """
 
 
+SEARCH_SQL = search_sql()
+
+
 @register("search_results_scan")
 def search_results_scan(spark, sf_dir):
-    return SR.scan_results(payloads(spark, sf_dir))
+    return SR.scan_results(SR.parse_payloads(payloads(spark, sf_dir)))
 
 
 ORACLES["search_results_scan"] = SEARCH_SQL + """select seq, rank, title, url, description,
@@ -107,7 +116,7 @@ ORACLES["search_results_scan"] = SEARCH_SQL + """select seq, rank, title, url, d
 
 @register("search_normalise")
 def search_normalise(spark, sf_dir):
-    return SR.normalise(SR.scan_results(payloads(spark, sf_dir)), FX.allowlist(spark))
+    return SR.normalise(SR.scan_results(SR.parse_payloads(payloads(spark, sf_dir))), FX.allowlist(spark))
 
 
 ORACLES["search_normalise"] = SEARCH_SQL + f"""select seq, rank, title, url, description as snippet from fields
@@ -125,7 +134,7 @@ ORACLES["site_filter_check"] = SEARCH_SQL + "select seq, offender from off"
 @register("search_site_filter")
 def search_site_filter(spark, sf_dir):
     req = search_requests(spark, sf_dir)
-    norm = SR.normalise(SR.scan_results(payloads(spark, sf_dir)), FX.allowlist(spark))
+    norm = SR.normalise(SR.scan_results(SR.parse_payloads(payloads(spark, sf_dir))), FX.allowlist(spark))
     return SR.narrow(norm, req).select("seq", "rank", "url")
 
 

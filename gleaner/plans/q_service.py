@@ -41,13 +41,11 @@ _ADMITTED = FX.LINES_SQL + ", " + q_requests._ADMIT_SQL + f""", adml as (select
  {_js('source_ref')} as source_ref, {_js('freshness')} as freshness, {_js('trace_id')} as trace_id, {_js('query')} as query,
  cast(try_cast(json_extract(jv, '$.top_n') as double) as int) as top_n,
  json_extract_string(jv, '$.site_filter[*]') as sites, json_type(jv, '$.site_filter') as sites_type from vv join adm on adm.seq = vv.seq)"""
-_FETCH = q_fetch.PIPE_SQL.replace(q_requests._BUDGET_SQL, _ADMITTED).replace(
-    "from bud where budget_ok and contract_id = 'web.fetch.v1'", "from adml where code = 'admitted' and contract_id = 'web.fetch.v1'")
-_i, _j = q_search.SEARCH_SQL.index("sreq as ("), q_search.SEARCH_SQL.index("pay as (")
-_SEARCH = (q_search.SEARCH_SQL[:_i] + """sreq as (select a.seq, a.ts as now, a.query as query_raw, a.top_n,
+_FETCH = q_fetch.pipe_sql(FX.CRAWL_SQL, q_fetch.BY_URL_SQL, _ADMITTED,
+                          "from adml where code = 'admitted' and contract_id = 'web.fetch.v1'")
+_SEARCH = q_search.search_sql(_ADMITTED, """select a.seq, a.ts as now, a.query as query_raw, a.top_n,
  a.freshness as freshness_raw, case when a.sites_type = 'ARRAY' then a.sites end as site_filter, a.caller_agent_id, a.source_ref,
- a.trace_id, q.url from adml a join req q on q.seq = a.seq where a.code = 'admitted' and a.contract_id = 'web.search.v1'),
-""" + q_search.SEARCH_SQL[_j:]).replace(q_requests._BUDGET_SQL, _ADMITTED)
+ a.trace_id, q.url from adml a join req q on q.seq = a.seq where a.code = 'admitted' and a.contract_id = 'web.search.v1'""")
 _CODES = f"""select seq, code from (
  select * from ({FX.with_ctes(FX.REQ_SQL, _ADMITTED)} select seq, code from adml where code <> 'admitted')
  union all select * from ({_FETCH} select seq, case when status = 'off_allowlist' then 'not_allowlisted'

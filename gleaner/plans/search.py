@@ -36,8 +36,9 @@ def search_pipeline(requests: DataFrame, payloads: DataFrame, allowlist: DataFra
          .withColumn("top_n", F.coalesce(F.col("top_n").cast("int"), F.lit(S.DEFAULT_TOP_N)))
          .withColumn("freshness", F.coalesce("freshness", F.lit(S.DEFAULT_SEARCH_FRESHNESS))))
     off = SR.site_filter_offender(r, allowlist, key)
-    p = payloads.select(key, "http_status", "payload_json", SR.upstream_error().alias("upstream_error"),
-                        SR.handler_error().alias("handler_error"))
+    # each payload is parsed once; what the parse gives is stored with the request
+    p = SR.parse_payloads(payloads.select(key, "http_status", "payload_json")).select(
+        key, "http_status", "payload", SR.upstream_error().alias("upstream_error"), SR.handler_error().alias("handler_error"))
     r = r.join(off, key, "left").join(p, key, "left")
     message = (F.when(F.col("query") == "", F.lit("query is empty"))
                .when(F.col("offender").isNotNull(),
@@ -54,12 +55,10 @@ def search_pipeline(requests: DataFrame, payloads: DataFrame, allowlist: DataFra
     r = materialize(r.withColumn("code", code).withColumn("message", message).drop("offender", "http_status", "handler_error"),
                     "search-requests")
     good = r.filter(F.col("code") == "ok")
-    raw = SR.scan_results(good.select(key, "payload_json"), key)
-    # the upstream is asked for top_n results: entries past that count were never returned
-    raw = raw.join(good.select(key, "top_n"), key).filter(F.col("rank") < F.col("top_n")).drop("top_n")
-    norm = SR.normalise(raw, allowlist)
-    narrowed = SR.narrow(norm, good, key)
-    top = SR.top_n(narrowed.join(good.select(key, "top_n"), key), "top_n", key)
+    # every result carries what its request asked for; the upstream is asked for top_n results, so entries past that
+    # count were never returned
+    raw = SR.scan_results(good, key, carry=("top_n", "site_filter")).filter(F.col("rank") < F.col("top_n"))
+    top = SR.top_n(SR.narrowed(SR.normalise(raw, allowlist)), "top_n", key)
     results = top.select(key, "result_rank", "title", "url", "snippet",
                          U.origin("url").alias("origin"))
     counts = results.groupBy(key).agg(F.count(F.lit(1)).alias("n_results"))

@@ -60,10 +60,10 @@ def serve(lines: DataFrame, allowlist: DataFrame, snapshot: DataFrame, crawl: Da
     fetch = good.filter(F.col("contract_id_raw") == S.CONTRACT_FETCH).select(
         "seq", F.col("ts").alias("now"), "url", F.col("caller_agent_id").alias("requesting_agent_id"),
         F.col("source_ref").alias("task_id"), (F.col("freshness") == "realtime").alias("bypass_cache"), "trace_id")
-    fetched = FP.fetch_pipeline(fetch, allowlist, snapshot, crawl).outcomes
+    fetched = FP.fetch_pipeline(fetch, allowlist, snapshot, crawl)
     search = good.filter(F.col("contract_id_raw") == S.CONTRACT_SEARCH).select(
         "seq", F.col("ts").alias("now"), "query", "top_n", "freshness", "site_filter", "caller_agent_id", "source_ref", "trace_id")
     found = SP.search_pipeline(search, payloads, allowlist)
     return (refusals(a)
-            .union(fetched.select("seq", "code").join(FP.responses(fetched), "seq").select("seq", "code", "response"))
+            .union(fetched.outcomes.select("seq", "code").join(FP.responses(fetched), "seq").select("seq", "code", "response"))
             .union(found.outcomes.select("seq", "code").join(SP.responses(found), "seq").select("seq", "code", "response")))

@@ -62,6 +62,28 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode("body", "UTF-8").alias("body"), "error_name", F.col("url").alias("final_url"))
 
 
+#: Where a page's fetch ends, by the last digit of its number: pages further on (a chain 1, 2, 3 and a circle 5, 6).
+REDIRECTS = {1: 1, 2: 1, 5: 1, 6: -1}
+ELSEWHERE = "https://example.net/elsewhere"  # off the list, not crawled
+OLD_HTML = "<html><head><title>old</title></head><body><main>an older copy</main></body></html>"
+
+
+def redirecting_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``crawl`` with redirects within each ten pages, and an older row (lower ``crawl_seq``) for every third page."""
+    c = crawl(spark, sf_dir)
+    digit = F.col("page_id") % 10
+    shift = F.create_map(*[F.lit(x) for pair in REDIRECTS.items() for x in pair])
+    target = read(spark, sf_dir, "pages", F.col("page_id").alias("t_page"), F.col("url").alias("t_url"))
+    real = F.col("page_id") >= 0
+    c = c.join(target, F.when(real, F.col("page_id") + shift[digit.cast("int")]) == F.col("t_page"), "left")
+    final = (F.when(real & (digit == 7), F.concat("url", F.lit(FAILURE_MARK)))
+             .when(real & (digit == 8), F.lit(ELSEWHERE)).otherwise(F.coalesce("t_url", "final_url")))
+    now = c.withColumn("final_url", final).drop("t_page", "t_url").withColumn("crawl_seq", F.lit(1).cast("long"))
+    old = now.where(real & (F.col("page_id") % 3 == 0)).withColumns(
+        {"crawl_seq": F.lit(0).cast("long"), "body": F.encode(F.lit(OLD_HTML), "UTF-8"), "final_url": F.col("url")})
+    return now.unionByName(old)
+
+
 _DERIVED: dict = {}
 
 
@@ -87,13 +109,14 @@ def derive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages", "page_id", "url")
     n_pages = _page_count(spark, sf_dir)
     et = F.col("event_type")
-    return (e.join(p, F.col("page_id") == F.col("event_id") % F.lit(n_pages))
+    url = F.coalesce("url", F.lit(""))  # an event without page asks for no url
+    return (e.join(p, F.col("page_id") == F.col("event_id") % F.lit(n_pages), "left")
             .select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
                     F.concat(F.lit("task:"), F.col("user_id").cast("string")).alias("source_ref"),
                     F.when(et.isin("view", "purchase"), "web.search.v1").otherwise("web.fetch.v1").alias("contract_id"),
                     F.when(et == "signup", "realtime").otherwise("cached").alias("freshness"),
                     F.when(et == "error", "not-a-uuid").otherwise(VALID_TRACE_ID).alias("trace_id"),
-                    F.when(F.col("event_id") % 4 == 1, F.concat("url", F.lit(FAILURE_MARK))).otherwise(F.col("url")).alias("url"),
+                    F.when(F.col("event_id") % 4 == 1, F.concat(url, F.lit(FAILURE_MARK))).otherwise(url).alias("url"),
                     "event_type", "user_id",
                     F.concat(F.lit("agent:"), (F.col("user_id") % 7).cast("string")).alias("caller_agent_id"),
                     F.concat(F.lit("pages about "), F.col("user_id").cast("string")).alias("query"),
@@ -120,21 +143,23 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cited(texts: DataFrame, spark: SparkSession, sf_dir: str, id_expr: str) -> DataFrame:
     """``texts`` with four sentences after every text (column ``text``): one cites a page, one a made-up url, one
-    both, one none. The page goes by ``id_expr``."""
+    both, one none. The page goes by ``id_expr``; a text that finds no page gets the last sentence only."""
     n = _page_count(spark, sf_dir)
     p = read(spark, sf_dir, "pages", F.col("page_id").alias("p_page"), F.col("url").alias("p_url"))
-    j = texts.withColumn("p_page", F.expr(f"pmod({id_expr}, {n})")).join(p, "p_page")
-    text = F.concat(F.coalesce("text", F.lit("")), F.lit(". Noted at "), "p_url", F.lit(". Claimed at https://made-up.example/"),
-                    F.col("p_page").cast("string"), F.lit(". Both "), "p_url",
-                    F.lit(" and https://made-up.example/b say so. Nothing is cited here."))
+    j = texts.withColumn("p_page", F.expr(f"pmod({id_expr}, {n})")).join(p, "p_page", "left")
+    cites = F.concat(F.lit(". Noted at "), "p_url", F.lit(". Claimed at https://made-up.example/"),
+                     F.col("p_page").cast("string"), F.lit(". Both "), "p_url",
+                     F.lit(" and https://made-up.example/b say so"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.coalesce(cites, F.lit("")), F.lit(". Nothing is cited here."))
     return j.withColumn("text", text).drop("p_page", "p_url")
 
 
 def cited_sql(source: str, columns: str, id_expr: str) -> str:
     """The same rule over ``source``, keeping ``columns``."""
-    return f"""select {columns}, concat(coalesce(s.text, ''), '. Noted at ', p.url, '. Claimed at https://made-up.example/',
- cast(p.page_id as varchar), '. Both ', p.url, ' and https://made-up.example/b say so. Nothing is cited here.') as text
-from {source} s join pages p on p.page_id = ({id_expr}) % (select count(*) from pages)"""
+    return f"""select {columns}, concat(coalesce(s.text, ''), case when p.url is not null then concat('. Noted at ', p.url,
+ '. Claimed at https://made-up.example/', cast(p.page_id as varchar), '. Both ', p.url,
+ ' and https://made-up.example/b say so') end, '. Nothing is cited here.') as text
+from {source} s left join pages p on p.page_id = ({id_expr}) % (select count(*) from pages)"""
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,14 +202,21 @@ CRAWL_SQL = f"""crawl as (select *, url as final_url from (
   case page_id % 10 when 3 then 'AbortError' when 4 then 'ECONNREFUSED' end
  from pages))"""
 
+_SHIFT = " ".join(f"when {d} then {k}" for d, k in REDIRECTS.items())
+#: To be used after ``CRAWL_SQL``, whose rows it takes; only the latest row of each url is left.
+REDIRECTING_SQL = CRAWL_SQL.replace("crawl as", "plain_crawl as", 1) + f""",
+crawl as (select c.* exclude (final_url), case when c.page_id >= 0 and c.page_id % 10 = 7 then c.url || '{FAILURE_MARK}'
+  when c.page_id >= 0 and c.page_id % 10 = 8 then '{ELSEWHERE}' else coalesce(t.url, c.final_url) end as final_url
+ from plain_crawl c left join pages t on c.page_id >= 0 and t.page_id = c.page_id + case c.page_id % 10 {_SHIFT} end)"""
+
 REQ_SQL = f"""req as (select e.event_id as seq, cast(e.ts as timestamp) as ts,
  concat('task:', cast(e.user_id as varchar)) as source_ref,
  case when e.event_type in ('view','purchase') then 'web.search.v1' else 'web.fetch.v1' end as contract_id,
  case when e.event_type = 'signup' then 'realtime' else 'cached' end as freshness,
  case when e.event_type = 'error' then 'not-a-uuid' else '{VALID_TRACE_ID}' end as trace_id,
- case when e.event_id % 4 = 1 then p.url || '{FAILURE_MARK}' else p.url end as url, e.event_type, e.user_id, concat('agent:', cast(e.user_id % 7 as varchar)) as caller_agent_id,
+ case when e.event_id % 4 = 1 then coalesce(p.url, '') || '{FAILURE_MARK}' else coalesce(p.url, '') end as url, e.event_type, e.user_id, concat('agent:', cast(e.user_id % 7 as varchar)) as caller_agent_id,
  concat('pages about ', cast(e.user_id as varchar)) as query, cast(1 + e.event_id % 10 as integer) as top_n
-from events e join pages p on p.page_id = e.event_id % (select count(*) from pages))"""
+from events e left join pages p on p.page_id = e.event_id % (select count(*) from pages))"""
 
 ANS_SQL = """ans as (select page_id as doc_id, concat('Fact one is plain. See ', url, '. Also https://hallucinated.example/',
  cast(page_id as varchar), ' agrees, they say. Both (', url, ') and https://example.com/none differ. Plain end.') as text

@@ -52,7 +52,7 @@ def test_fetch_pipeline_cases(spark):
     assert snap2["https://example.com/signin"]["low_signal"] is True
     assert snap2["https://example.com/signin"]["title"] == "Sign in"
     assert snap2["https://example.com/forbidden"]["title"] is None
-    lines = [r["response"] for r in FP.responses(res.outcomes).collect()]
+    lines = [r["response"] for r in FP.responses(res).collect()]
     assert any('"code":"not_allowlisted"' in x for x in lines)
 
 

@@ -103,9 +103,9 @@ def test_text_source_arrival_order(spark, tmp_path):
     d.mkdir()
     (d / "a.ndjson").write_text('{"n": 1}\n\n{"n": 2}\n{} x\n')
     df = RS.read_lines(spark, str(d))
-    rows = df.orderBy("ts", "file_path", "block_start", "pos_in_split").collect()
+    rows = df.orderBy("ts", "file_path", "block_start", "place").collect()
     assert [r["value"] for r in rows] == ['{"n": 1}', "", '{"n": 2}', "{} x"]
-    parsed = R.parse_lines(df).orderBy("pos_in_split").collect()
+    parsed = R.parse_lines(df).orderBy("place").collect()
     assert [r["parse_error"] for r in parsed] == [None, None, "invalid_json"]
 
 
