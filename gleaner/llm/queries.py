@@ -235,10 +235,21 @@ with d as (
 ), w as (
   select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
+), tokens as materialized (
+  select rid, unnest(w) as word, unnest(range(1, len(w) + 1)) as s, len(w) as n from w
+), phrases as materialized (
+  select rid, s, n, list(word) over (partition by rid order by s rows between current row and 4 following) as w5,
+         list(word) over (partition by rid order by s
+           rows between current row and {_LIMITS.repeat_words - 1} following) as w_repeat,
+         list(word) over (partition by rid order by s
+           rows between current row and {_LIMITS.longest_words} following) as w_longest
+  from tokens
 ), windows as (
-  select rid, size, s, list_slice(w, s, s + size - 1) as phrase
-  from w, (values (5), ({_LIMITS.repeat_words}), ({_LIMITS.longest_words + 1})) as k(size),
-       unnest(range(1, len(w) - size + 2)) as t(s)
+  select rid, 5 as size, s, w5 as phrase from phrases where s + 4 <= n
+  union all
+  select rid, {_LIMITS.repeat_words}, s, w_repeat from phrases where s + {_LIMITS.repeat_words - 1} <= n
+  union all
+  select rid, {_LIMITS.longest_words + 1}, s, w_longest from phrases where s + {_LIMITS.longest_words} <= n
 ), again as (
   select rid, size, s from windows qualify count(*) over (partition by rid, size, phrase) > 1
 ), covered as (
