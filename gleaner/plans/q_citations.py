@@ -47,19 +47,25 @@ def provenance(spark, sf_dir):
     return c.select(X.sha256_hex("body_text").alias("content_sha256"))
 
 
+#: Texts go by a row number, so that those without id, or with the same, don't mix. Every cited url is judged once.
+_JUDGED_SQL = f"""m as materialized (select url, max(content_sha256) as content_sha256 from url_sha group by url),
+tracked as materialized (select url from m where content_sha256 <> '' and content_sha256 in (select content_sha256 from prov)),
+cite as materialized (select rid, pos, unnest({urls_sql('sentence')}) as url from sent where contains(sentence, 'http')),
+bad as materialized (select distinct c.rid, c.pos from cite c anti join tracked t on t.url = c.url)"""
+
+
+def _sent_sql(docs: str) -> str:
+    return f"""texts as materialized (select row_number() over () as rid, * from {docs}),
+sent as materialized (select rid, unnest(parts) as sentence, unnest(range(len(parts))) as pos
+  from (select rid, {split_sql('text')} as parts from texts))"""
+
+
 def _filter_sql(docs_cte: str, docs: str) -> str:
-    return FX.with_ctes(FX.CRAWL_SQL, URL_SHA_SQL, PROV_SQL, docs_cte) + f""",
-sent as (select doc_id, unnest(parts) as sentence, unnest(range(len(parts))) as pos
-  from (select doc_id, {split_sql('text')} as parts from {docs})),
-cite as (select doc_id, pos, unnest({urls_sql('sentence')}) as url from sent),
-m as (select url, max(content_sha256) as content_sha256 from url_sha group by url),
-tr as (select c.doc_id, c.pos, (m.content_sha256 is not null and m.content_sha256 <> ''
-   and m.content_sha256 in (select content_sha256 from prov)) as tracked from cite c left join m on m.url = c.url),
-bad as (select distinct doc_id, pos from tr where not tracked),
-kept as (select s.doc_id, s.pos, s.sentence from sent s anti join bad b on b.doc_id = s.doc_id and b.pos = s.pos),
-agg as (select doc_id, string_agg(sentence, ' ' order by pos) as joined from kept group by doc_id)
+    return FX.with_ctes(FX.CRAWL_SQL, URL_SHA_SQL, PROV_SQL, docs_cte, _sent_sql(docs), _JUDGED_SQL) + f""",
+kept as (select s.rid, s.pos, s.sentence from sent s anti join bad b on b.rid = s.rid and b.pos = s.pos),
+agg as (select rid, string_agg(sentence, ' ' order by pos) as joined from kept group by rid)
 select a.doc_id, case when length(a.text) = 0 then a.text else {js_trim_sql("coalesce(g.joined, '')")} end as filtered
-from {docs} a left join agg g on g.doc_id = a.doc_id"""
+from texts a left join agg g on g.rid = a.rid"""
 
 
 @register("sentence_split", f"""select doc_id, cast(pos as bigint) as pos, sentence from (select doc_id,
@@ -87,25 +93,19 @@ def post_filter(spark, sf_dir):
     return out.select("doc_id", "filtered")
 
 
-@register("post_filter_documents", _filter_sql(f"docs as ({FX.cited_sql('documents', 's.doc_id', 's.doc_id')})", "docs"))
+@register("post_filter_documents", _filter_sql(f"docs as materialized ({FX.cited_sql('documents', 's.doc_id', 's.doc_id')})", "docs"))
 def post_filter_documents(spark, sf_dir):
     docs = FX.cited(read(spark, sf_dir, "documents", "doc_id", "text"), spark, sf_dir, "doc_id")
     out = CI.post_filter(docs, url_sha(spark, sf_dir), provenance(spark, sf_dir))
     return out.select("doc_id", "filtered")
 
 
-@register("post_filter_drop_counts", FX.with_ctes(FX.CRAWL_SQL, URL_SHA_SQL, PROV_SQL, FX.ANS_SQL) + f""",
-sent as (select doc_id, unnest(parts) as sentence, unnest(range(len(parts))) as pos
-  from (select doc_id, {split_sql('text')} as parts from ans)),
-cite as (select doc_id, pos, unnest({urls_sql('sentence')}) as url from sent),
-m as (select url, max(content_sha256) as content_sha256 from url_sha group by url),
-tr as (select c.doc_id, c.pos, (m.content_sha256 is not null and m.content_sha256 <> ''
-   and m.content_sha256 in (select content_sha256 from prov)) as tracked from cite c left join m on m.url = c.url),
-bad as (select doc_id, count(distinct pos) as n from tr where not tracked group by doc_id),
-per as (select doc_id, count(*) as n_sentences, count(*) filter (where len({urls_sql('sentence')}) > 0) as n_url_sentences
-  from sent group by doc_id)
+@register("post_filter_drop_counts", FX.with_ctes(FX.CRAWL_SQL, URL_SHA_SQL, PROV_SQL, FX.ANS_SQL, _sent_sql("ans"), _JUDGED_SQL) + f""",
+per as (select rid, count(*) as n_sentences, count(*) filter (where len({urls_sql('sentence')}) > 0) as n_url_sentences
+  from sent group by rid),
+dropped as (select rid, count(*) as n from bad group by rid)
 select a.doc_id, coalesce(p.n_sentences, 0) as n_sentences, coalesce(p.n_url_sentences, 0) as n_url_sentences,
- coalesce(b.n, 0) as n_dropped from ans a left join per p on p.doc_id = a.doc_id left join bad b on b.doc_id = a.doc_id""")
+ coalesce(b.n, 0) as n_dropped from texts a left join per p on p.rid = a.rid left join dropped b on b.rid = a.rid""")
 def post_filter_drop_counts(spark, sf_dir):
     return CI.drop_counts(FX.answers(spark, sf_dir), url_sha(spark, sf_dir), provenance(spark, sf_dir))
 

@@ -118,14 +118,19 @@ REQF_SQL = f"""reqf as (select r.*, b.ttl_class as al_ttl_class,
  left join {Q.allow_best('s.url', 's.seq', 'req')} b on b.seq = r.seq where r.contract_id = 'web.fetch.v1')"""
 
 
-SNAP_TIMES_SQL = f"""snap as (select url, case when page_id % 17 = 9 then 'not a date'
- else {iso_sql("(timestamp '2024-01-01 00:00:00' + to_hours(page_id))")} end as fetched_at from pages)"""
-
-
-@register("cache_lookup", FX.with_ctes(FX.AL_SQL, SNAP_TIMES_SQL, FX.REQ_SQL, REQF_SQL) + f"""select r.seq, r.url,
- (s.url is not null) as hit from reqf r left join snap s on s.url = r.url and r.freshness <> 'realtime'
- and {parse_iso_sql('s.fetched_at')} is not null
- and epoch_us(r.ts) - epoch_us({parse_iso_sql('s.fetched_at')}) <= cast(r.al_ttl as bigint) * 1000000""")
+#: The allowlist entry of each page's url and failure url, found once per url; freshness as one comparison.
+_LOOKUP_SQL = f"""urls as materialized (select url from pages union select url || '{FX.FAILURE_MARK}' from pages union select ''),
+entry as materialized (select url, {Q.TTL_CASE} as ttl from {Q.allow_best('s.url', 's.url', 'urls')}),
+stored as materialized (select url, epoch_us({parse_iso_sql('fetched_at')}) as fetched from (select url, case when page_id % 17 = 9
+ then 'not a date' else {iso_sql("(timestamp '2024-01-01 00:00:00' + to_hours(page_id))")} end as fetched_at from pages)
+ where {parse_iso_sql('fetched_at')} is not null),
+asked as materialized (select r.seq, r.url, case when r.freshness <> 'realtime' then r.url end as look_url,
+ epoch_us(r.ts) - cast(e.ttl as bigint) * 1000000 as oldest
+ from req r left join entry e on e.url = r.url where r.contract_id = 'web.fetch.v1')"""
+
+
+@register("cache_lookup", FX.with_ctes(FX.AL_SQL, FX.REQ_SQL, _LOOKUP_SQL) + """select a.seq, a.url, s.url is not null as hit
+ from asked a left join stored s on s.url = a.look_url and s.fetched >= a.oldest""")
 def cache_lookup(spark, sf_dir):
     r = lookup_requests(spark, sf_dir)
     j = ST.cache_lookup(r, snapshot(spark, sf_dir).drop("write_seq"), now_col="now", ttl_col="al_ttl_seconds")

@@ -47,3 +47,13 @@ def test_empty_text_and_empty_sha(spark):
 def test_nbsp_between_sentences(spark):
     out = _run(spark, "First.\u00a0Second https://bad.example/x. Third.", [], [])
     assert out == "First. Third."
+
+
+def test_documents_without_or_with_equal_ids_do_not_mix(spark):
+    texts = [(None, "One. See https://made-up.example/a for it. Two."), (None, "Plain. Second. Third."),
+             (7, "A. B cites https://made-up.example/b here. C."), (7, "D. E. F."), (7, "D. E. F."), (8, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    none = spark.createDataFrame([], "url string, content_sha256 string")
+    got = sorted(((r.doc_id, r.filtered) for r in CI.post_filter(docs, none, none).collect()), key=str)
+    assert got == sorted([(None, "One. Two."), (None, "Plain. Second. Third."), (7, "A. C."), (7, "D. E. F."),
+                          (7, "D. E. F."), (8, None)], key=str)
