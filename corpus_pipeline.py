@@ -64,7 +64,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     plain, at = _plain(docs)
     rows = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
     id_ = F.col(at["doc_id"])
-    others = [F.col(c) for n, c in at.items() if n not in ("doc_id", "text")]
+    kinds = dict(plain.dtypes)  # maps and variants have no hash of their own
+    others = [F.to_json(F.struct(c)) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(c)
+              for n, c in at.items() if n not in ("doc_id", "text")]
     # orders rows by id (those without one last), then by what they hold; the row number tells equal rows apart
     key = F.struct(id_.isNull().alias("nameless"), id_.alias("id"), F.xxhash64(at["text"]).alias("text"),
                    F.xxhash64(F.lit(0), *others).alias("others"), F.col("row"))
