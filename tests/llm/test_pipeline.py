@@ -102,11 +102,13 @@ def test_stages_take_awkward_rows_and_clashing_columns(spark, docs, doc_list, st
     named = docs
     for c in CLASH:
         named = named.selectExpr("*", f"'kept {c}' as {c}")
+    named = named.selectExpr("*", "map('a', doc_id) as labels", "array(map(1, text)) as deep", "parse_json('[1]') as free")
     out = stage(spark, named, SF)
     assert out.columns == named.columns
     rows = out.collect()
     assert 0 < len(rows) <= len(doc_list)
     assert all(r[c] == f"kept {c}" for r in rows for c in CLASH)
+    assert all(r.labels == {"a": r.doc_id} and r.deep == [{1: r.text}] for r in rows)
     known = {r[:2] for r in doc_list}
     assert all((r.doc_id, r.text) in known for r in rows)
     empty = stage(spark, named.limit(0), SF)
