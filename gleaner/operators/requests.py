@@ -2,7 +2,8 @@
 
 Parsing is strict single-value JSON: ``try_parse_json`` alone accepts trailing text (``{} x``), so the line is
 also parsed wrapped as ``[line]`` and ``{"v":line}``; both must parse to exactly one element / one key.
-Known difference: Spark rejects duplicate object keys (JavaScript keeps the last one).
+Of equal object keys the last one counts, as in JavaScript: ``parse_lines`` tells the session so
+(``spark.sql.variant.allowDuplicateKeys``). A line over the size cap is never parsed.
 
 Validation is one pass of Column predicates over the VARIANT (no UDF). ``errors`` lists stable rule ids in a
 fixed order, joined by ``'; '``; the service prints its validator's message text instead.
@@ -27,19 +28,22 @@ def parse_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
     Each parse is its own column and later columns reference it (an inline expression reused in two columns
     would be evaluated once per use); the envelope is element 0 of the array-wrapped parse."""
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     v = F.col(value_col)
     cols = lines.columns
     # The array-wrapped parse can only stop early (and ignore trailing text) at a ']' inside the line, so the
     # object-wrapped parse that catches that case is needed only for lines containing ']'.
     needs_obj = v.contains("]")
-    staged = (lines.filter(F.length(X.js_trim(v)) > 0)
-              .select("*", F.try_parse_json(F.concat(F.lit("["), v, F.lit("]"))).alias("__gl_arr"),
-                      F.when(needs_obj, F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}")))).alias("__gl_obj")))
+    sized = (lines.filter(F.length(X.js_trim(v)) > 0)
+             .withColumn("__gl_big", F.octet_length(v) > S.MAX_REQUEST_LINE_BYTES))
+    fits = F.when(~F.col("__gl_big"), v)
+    staged = sized.select(
+        "*", F.try_parse_json(F.concat(F.lit("["), fits, F.lit("]"))).alias("__gl_arr"),
+        F.when(needs_obj, F.try_parse_json(F.concat(F.lit('{"v":'), fits, F.lit("}")))).alias("__gl_obj"))
     obj_ok = F.size(F.map_keys(F.try_variant_get("__gl_obj", "$", "map<string,variant>"))) == 1
     single = ((F.size(F.try_variant_get("__gl_arr", "$", "array<variant>")) == 1)
               & (~needs_obj | F.coalesce(obj_ok, F.lit(False))))
-    flags = staged.select(*cols, "__gl_arr", (F.octet_length(v) > S.MAX_REQUEST_LINE_BYTES).alias("__gl_big"),
-                          F.coalesce(single, F.lit(False)).alias("__gl_single"))
+    flags = staged.select(*cols, "__gl_arr", "__gl_big", F.coalesce(single, F.lit(False)).alias("__gl_single"))
     err = F.when(F.col("__gl_big"), F.lit("too_large")).when(~F.col("__gl_single"), F.lit("invalid_json"))
     return flags.select(*cols, err.alias("parse_error"),
                         F.when(~F.col("__gl_big") & F.col("__gl_single"),

@@ -11,7 +11,9 @@ from .. import schemas as S
 from ..functions import text as X
 from ..operators import budgets as B
 from ..operators import requests as R
+from ..session import scratch_path
 from ..sources import fixtures as FX
+from ..sources import requests as RS
 from . import service
 from . import sqltext as Q
 from .registry import register
@@ -109,6 +111,12 @@ v as materialized (select seq, ts, value, jv, parse_error, is_search, is_fetch,
 vv as materialized (select *, parse_error is null and errors is null as valid, {_js('source_ref')} as source_ref_v from v)"""
 
 
+#: The lines as files bring them: numbered in order of arrival; the files' times lie seconds apart, which no ttl tells.
+FILE_LINES_SQL = f"""numbers as (select seq as log_seq, row_number() over (order by ts, seq) - 1 as seq from req),
+log_lines as (select seq as log_seq, {FX.LINE_EXPR} as value from req),
+lines as (select n.seq, timestamp '2024-02-01 00:30:00' as ts, l.value from log_lines l join numbers n on n.log_seq = l.log_seq)"""
+
+
 def _sql(body: str, *ctes: str) -> str:
     return FX.with_ctes(FX.REQ_SQL, FX.LINES_SQL, *ctes) + body
 
@@ -126,18 +134,19 @@ def req_validate(spark, sf_dir):
     return validated(spark, sf_dir).select("seq", "parse_error", "valid", "errors")
 
 
-def _text_lines(spark, sf_dir):
-    """The derived request lines stored as NDJSON text files once per application, read back through the
-    text source."""
-    from ..session import scratch_path
-    from ..sources import requests as RS
+ARRIVAL_MS = 1706747400_000  # 2024-02-01T00:30:00Z, when the first file of request lines arrives
+
 
+def text_dir(spark, sf_dir):
+    """The derived request lines as NDJSON text files that arrive one after another, stored once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TEXT_DIRS:
         path = scratch_path(spark, f"request-lines-text-{uuid.uuid4().hex}")
-        RS.write_lines(FX.request_lines(spark, sf_dir), path)
+        lines = FX.request_lines(spark, sf_dir)
+        RS.write_lines(lines.repartitionByRange(8, "ts", "seq").sortWithinPartitions("ts", "seq"), path)
+        RS.set_arrival(spark, path, ARRIVAL_MS)
         _TEXT_DIRS[key] = path
-    return RS.read_lines(spark, _TEXT_DIRS[key])
+    return _TEXT_DIRS[key]
 
 
 _TEXT_DIRS: dict = {}
@@ -149,7 +158,7 @@ _TEXT_DIRS: dict = {}
  group by parse_error"""))
 def req_text_parse_counts(spark, sf_dir):
     """O1 through the text source: NDJSON files -> blank lines skipped -> strict parse -> counts."""
-    p = R.parse_lines(_text_lines(spark, sf_dir))
+    p = R.parse_lines(RS.read_lines(spark, text_dir(spark, sf_dir)))
     return p.groupBy("parse_error").agg(F.count(F.lit(1)).alias("n"))
 
 

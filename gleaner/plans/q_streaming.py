@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..session import scratch_path
 from ..sources import fixtures as FX
+from ..sources import requests as RS
+from ..streaming import admission as SA
 from ..streaming import budget as SB
 from ..streaming import ingest as SI
-from .q_requests import _BUDGET_SQL
+from .q_requests import _ADMIT_SQL, _BUDGET_SQL, FILE_LINES_SQL, text_dir
 from .q_store import snapshot, writes
 from .registry import ORACLES, register
 
@@ -39,6 +41,17 @@ def stream_budget(spark, sf_dir):
 ORACLES["stream_budget"] = FX.with_ctes(FX.REQ_SQL, _BUDGET_SQL) + "select seq, source_ref, budget_ok from bud"
 
 
+@register("stream_admission", FX.with_ctes(FX.REQ_SQL, FILE_LINES_SQL, _ADMIT_SQL) + "select seq as line, code from adm")
+def stream_admission(spark, sf_dir):
+    """The request files, a few a micro-batch, through the streaming admission; lines go by their number of arrival."""
+    root, path = _run_dir(spark, "stream-admission"), text_dir(spark, sf_dir)
+    SA.admit_files(spark, RS.read_lines_stream(spark, path, max_files_per_trigger=3), f"{root}/out",
+                   f"{root}/ckpt").awaitTermination()
+    out = spark.read.schema(SA.OUTPUT).parquet(f"{root}/out")
+    starts = RS.split_starts(RS.read_lines(spark, path))
+    return out.join(starts, ["file_path", "block_start"]).select((F.col("start") + F.col("place")).alias("line"), "code")
+
+
 @register("stream_ingest")
 def stream_ingest(spark, sf_dir):
     root = _run_dir(spark, "stream-ingest")

@@ -8,7 +8,7 @@ tables are kept; the rules only assign values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -134,6 +134,22 @@ def _page_count(spark: SparkSession, sf_dir: str) -> int:
     return _COUNTS[key]
 
 
+def numbered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log with ``number``: its place, from 0, in order of arrival (counted per range of the order)."""
+    def build():
+        from ..session import materialize
+
+        log = materialize(requests(spark, sf_dir).repartitionByRange("ts", "seq").withColumn("part", F.spark_partition_id()),
+                          "request-log-parts")
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = (log.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+                  .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+        inside = F.row_number().over(Window.partitionBy("part").orderBy("ts", "seq"))
+        return log.join(starts, "part").withColumn("number", F.col("start") + inside - 1).drop("part", "start")
+
+    return _stored(spark, sf_dir, "request-log-numbered", build)
+
+
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One NDJSON envelope line per request, with malformed, invalid and edge-case lines mixed in by rule
     (stored once per application)."""

@@ -49,14 +49,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return _with_place(spark.read.format("text").load(path))
 
 
-def numbered_lines(lines: DataFrame, order: tuple = ("ts", "file_path", "block_start")) -> DataFrame:
-    """``seq, ts, value`` from ``read_lines``: ``seq`` (long, from 0) is the line's number in order of arrival. Lines are
-    counted per split (a few rows a gigabyte), the counts are summed up in ``order``, and every line adds its place."""
+def split_starts(lines: DataFrame, order: tuple = ("ts", "file_path", "block_start")) -> DataFrame:
+    """``file_path, block_start, start``: how many lines arrived before each split of ``read_lines``. Lines are counted
+    per split (a few rows a gigabyte) and the counts are summed up in ``order``."""
     key = ["file_path", "block_start"]
     counts = lines.groupBy(*key).agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return lines.join(starts, key).select((F.col("start") + F.col("place")).alias("seq"), "ts", "value")
+    return counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+
+def numbered_lines(lines: DataFrame, order: tuple = ("ts", "file_path", "block_start")) -> DataFrame:
+    """``seq, ts, value`` from ``read_lines``: ``seq`` (long, from 0) is the line's number in order of arrival: what
+    arrived before its split, and its place there."""
+    found = lines.join(split_starts(lines, order), ["file_path", "block_start"])
+    return found.select((F.col("start") + F.col("place")).alias("seq"), "ts", "value")
 
 
 def read_lines_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -68,6 +74,18 @@ def read_lines_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return _with_place(r.load(path))
 
 
+def set_arrival(spark: SparkSession, path: str, first_ms: int, step_ms: int = 1000) -> None:
+    """Make the files in a folder arrive in the order of their names: their modification times are set to ``first_ms``
+    (since the epoch) and ``step_ms`` later for each further file."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if not f.getPath().getName().startswith(("_", "."))),
+                   key=lambda f: f.getName())
+    for i, f in enumerate(files):
+        fs.setTimes(f, first_ms + step_ms * i, -1)
+
+
 def write_lines(lines: DataFrame, path: str, value_col: str = "value") -> None:
     """Sink for NDJSON lines (text files)."""
     lines.select(F.col(value_col).alias("value")).write.mode("overwrite").text(path)
