@@ -66,11 +66,6 @@ def parse_iso(text) -> Column:
     return F.try_to_timestamp(_c(text))
 
 
-def age_seconds(now_ts, then_ts) -> Column:
-    """(now - then) in seconds with microsecond precision, as double."""
-    return (F.unix_micros(_c(now_ts).cast("timestamp")) - F.unix_micros(_c(then_ts).cast("timestamp"))) / F.lit(1e6)
-
-
 def uri_component(col) -> Column:
     """``encodeURIComponent``: Java form-encoding then the six characters it treats differently."""
     e = F.url_encode(_c(col))
@@ -80,16 +75,12 @@ def uri_component(col) -> Column:
 
 
 def decode_body(body) -> Column:
-    """Lossy UTF-8 decode of a binary body, leading BOM dropped (O36). Invalid bytes become U+FFFD; the
-    number of replacement characters for a broken multi-byte sequence may differ from a WHATWG decoder."""
+    """Lossy UTF-8 decode of a binary body, leading BOM dropped (O36): each maximal part of a broken sequence becomes
+    one U+FFFD, as a WHATWG decoder has it."""
     s = F.make_valid_utf8(_c(body).cast("string"))
     return F.regexp_replace(s, "^\\x{FEFF}", "")
 
 
-def byte_size(col) -> Column:
-    return F.octet_length(_c(col)).cast("long")
-
-
 def render_segment(origin, sha, plaintext) -> Column:
     """Wrap page text as an untrusted segment; literal close tags inside are escaped."""
     safe = F.replace(_c(plaintext), F.lit(S.UNTRUSTED_CLOSE), F.lit(S.UNTRUSTED_CLOSE_ESCAPED))

@@ -63,24 +63,6 @@ def unescape(col) -> Column:
     return out
 
 
-def extract_native(html) -> Column:
-    """struct(title string|null, plaintext string, parse_error boolean). ``parse_error`` when html is NULL."""
-    h = _c(html)
-    t = h
-    for p, r in DROP_STEPS:
-        t = F.regexp_replace(t, p, r)
-    region = t
-    for p in reversed(REGION_PATTERNS):  # article wins over main over body over the whole document
-        region = F.when(F.regexp_extract(t, p, 1) != "", F.regexp_extract(t, p, 1)).otherwise(region)
-    text = F.regexp_replace(F.regexp_replace(region, *INLINE_STEP), *TAG_STEP)
-    plaintext = X.collapse_ws(unescape(text))
-    title = F.nullif(X.collapse_ws(unescape(F.regexp_replace(F.regexp_extract(h, TITLE_PATTERN, 1), *TAG_STEP))),
-                     F.lit(""))
-    return F.struct(F.when(h.isNotNull(), title).alias("title"),
-                    F.when(h.isNotNull(), plaintext).otherwise(F.lit("")).alias("plaintext"),
-                    h.isNull().alias("parse_error"))
-
-
 def quality_reason(title, plaintext) -> Column:
     """captcha_or_paywall by title or by the first 500 characters, then empty below 200 characters.
     The 200 threshold counts UTF-16 units like JavaScript's ``length`` (astral characters count twice); the
@@ -95,8 +77,7 @@ def quality_reason(title, plaintext) -> Column:
 def extract(df: DataFrame, html_col: str) -> DataFrame:
     """Add ``title, plaintext, low_signal, reason`` (reason: parse_error | captcha_or_paywall | empty).
 
-    Same rules as ``extract_native`` but staged as columns: the dropped text and each region candidate are
-    computed once per row and referenced afterwards (an expression repeated inside CASE branches would be
+    Staged as columns: the dropped text and each region candidate are computed once per row and referenced afterwards (an expression repeated inside CASE branches would be
     re-evaluated, since conditional branches are not shared by subexpression elimination)."""
     h = F.col(html_col)
     t = h

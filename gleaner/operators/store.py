@@ -38,10 +38,6 @@ def upsert(snapshot: DataFrame, delta: DataFrame, key: str = "url", order_col: s
     return kept.unionByName(last_written(delta, key, order_col))
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def provenance_rows(df: DataFrame) -> DataFrame:
     """Split candidate provenance rows: ``accepted`` has a valid ``kind`` (the store's CHECK constraint)."""
     return df.withColumn("accepted", F.col("kind").isin(*S.PROVENANCE_KINDS) & F.col("kind").isNotNull())

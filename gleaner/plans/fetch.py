@@ -43,10 +43,11 @@ class FetchResult:
     fetched: DataFrame  # url, plaintext of the pages that it fetched
 
 
-def crawl_pages(crawl: DataFrame, max_bytes=S.MAX_BODY_BYTES) -> DataFrame:
-    """Per crawled url: the page row a fresh fetch would write (triage -> extract -> quality -> fingerprint)."""
+def crawl_pages(crawl: DataFrame, max_bytes=S.MAX_BODY_BYTES, keep: tuple | list = ()) -> DataFrame:
+    """Per crawl row: the page row a fresh fetch would write (triage -> extract -> quality -> fingerprint), and the columns
+    to ``keep``."""
     t = C.triage(crawl, max_bytes=max_bytes).withColumnRenamed("reason", "t_reason")
-    x = XT.extract(t.select("url", "doc_url", "doc_origin", "t_reason", "byte_size", "body_text"), "body_text")
+    x = XT.extract(t.select("url", "doc_url", "doc_origin", "t_reason", "byte_size", "body_text", *keep), "body_text")
     low = F.col("t_reason").isNotNull() | F.col("low_signal")
     return x.select(
         F.col("url").alias("k_url"), F.col("doc_url").alias("k_doc_url"), F.col("doc_origin").alias("k_origin"),
@@ -54,7 +55,7 @@ def crawl_pages(crawl: DataFrame, max_bytes=S.MAX_BODY_BYTES) -> DataFrame:
         F.when(F.col("t_reason").isNotNull(), F.lit(None)).otherwise(F.col("title")).alias("k_title"),
         F.when(low, F.lit("")).otherwise(F.col("plaintext")).alias("k_plaintext"),
         F.when(low, X.low_signal_sha(F.col("doc_url"))).otherwise(X.sha256_hex("plaintext")).alias("k_sha"),
-        F.col("byte_size").alias("k_byte_size"))
+        F.col("byte_size").alias("k_byte_size"), *keep)
 
 
 def fetch_pipeline(requests: DataFrame, allowlist: DataFrame, snapshot: DataFrame, crawl: DataFrame,

@@ -121,3 +121,44 @@ def fingerprint(spark, sf_dir):
     return t.select("page_id", F.col("doc_url").alias("url"),
                     F.when(low, X.low_signal_sha(F.col("doc_url"))).otherwise(X.sha256_hex("plaintext"))
                     .alias("content_sha256"))
+
+
+_FAILS = "case abs(page_id) % 7 " + " ".join(f"when {r} then {at}" for r, (at, _) in FX.BROKEN.items()) + " end"
+_TIMES_OUT = "abs(page_id) % 7 in (" + ", ".join(str(r) for r, (_, name) in FX.BROKEN.items() if name == "AbortError") + ")"
+
+
+@register("crawl_body_errors", FX.with_ctes(FX.CRAWL_SQL, TRIAGED_SQL) + f""",
+b as (select *, {_FAILS} as fails, strlen(body) as len from triaged2 where reason is null or reason = 'over_size_cap'),
+r as (select *, fails is not null and fails <= ceil(len / {FX.PIECE}) and (len <= {MAXB} or fails <= {MAXB} // {FX.PIECE}) as broken from b)
+select t.page_id as fetch_id, t.doc_url as url, cast(t.doc_status as bigint) as status,
+ case when r.broken then case when {_TIMES_OUT.replace('page_id', 't.page_id')} then 'timeout' else 'transport_error' end else t.reason end as reason,
+ cast(case when r.broken then least(r.fails * {FX.PIECE}, r.len) when t.reason = 'over_size_cap' then least(({MAXB} // {FX.PIECE} + 1) * {FX.PIECE}, r.len)
+   else t.byte_size end as bigint) as byte_size,
+ case when t.reason is null and not r.broken then sha256(t.body_text) else sha256('') end as text_sha256
+from triaged2 t left join r on r.page_id = t.page_id""")
+def crawl_body_errors(spark, sf_dir):
+    """Bodies in chunks, cut where the cap is crossed or a read fails."""
+    t = C.triage(C.read_bodies(*FX.chunked_crawl(spark, sf_dir), MAXB), MAXB)
+    return t.select("fetch_id", F.col("doc_url").alias("url"), F.col("doc_status").cast("long").alias("status"), "reason",
+                    "byte_size", X.sha256_hex("body_text").alias("text_sha256"))
+
+
+#: Malformed UTF-8 (hex) and what a decoder makes of it: one U+FFFD per maximal part of a sequence; a byte order mark
+#: is dropped at the very start only.
+MALFORMED = [("C3", 1, ""), ("E282", 1, ""), ("F09F98", 1, ""), ("C080", 2, ""), ("C1BF", 2, ""), ("E08080", 3, ""), ("EDA080", 3, ""),
+             ("EDBFBF", 3, ""), ("F0808080", 4, ""), ("F4908080", 4, ""), ("F8888080", 4, ""), ("FF", 1, ""), ("FEFF", 2, ""),
+             ("80", 1, ""), ("E28241", 1, "A"), ("F09F41", 1, "A"), ("C3C3", 2, ""), ("E2E2", 2, ""), ("EFBBBF", 0, "\ufeff")]
+
+
+@register("decode_malformed", "select page_id, n as case_no, sha256(coalesce(html, '') || what || 'z') as text_sha256, "
+          "cast(length(coalesce(html, '') || what || 'z') as bigint) as n_chars from pages, (values "
+          + ", ".join(f"({n}, repeat(chr(65533), {k}) || {Q.q(more)})" for n, (_, k, more) in enumerate(MALFORMED)) + ") as t(n, what)")
+def decode_malformed(spark, sf_dir):
+    """Every page's html, with a byte order mark before it on even pages, malformed bytes and a letter behind it."""
+    p = read(spark, sf_dir, "pages", "page_id", "html").withColumn(
+        "x", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.unhex(F.lit(h)).alias("b")) for n, (h, *_) in enumerate(MALFORMED)])))
+    mark = F.when(F.col("page_id") % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
+    body = F.concat(mark, F.encode(F.coalesce("html", F.lit("")), "UTF-8"), F.col("x.b"), F.encode(F.lit("z"), "UTF-8"))
+    text = X.decode_body(body)
+    return p.select("page_id", F.col("x.n").alias("case_no"), X.sha256_hex(text).alias("text_sha256"),
+                    F.length(text).cast("long").alias("n_chars"))

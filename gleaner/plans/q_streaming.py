@@ -16,7 +16,9 @@ from ..streaming import admission as SA
 from ..streaming import budget as SB
 from ..streaming import ingest as SI
 from .q_requests import _ADMIT_SQL, _BUDGET_SQL, FILE_LINES_SQL, text_dir
-from .q_store import snapshot, writes
+from . import q_crawl, q_fetch
+from . import sqltext as Q
+from .q_store import iso_sql, snapshot, writes
 from .registry import ORACLES, register
 
 
@@ -68,3 +70,49 @@ def stream_ingest(spark, sf_dir):
 from .q_store import ORACLES as _O  # noqa: E402
 
 ORACLES["stream_ingest"] = _O["page_upsert"]
+
+
+def fetched_rows(spark, sf_dir):
+    """Every fetch request of the log with the crawl row of its url: what the crawler would hand over, in request order."""
+    crawl = FX.redirecting_crawl(spark, sf_dir).where("crawl_seq = 1").drop("crawl_seq", "page_id")
+    r = FX.requests(spark, sf_dir).filter(F.col("contract_id") == S.CONTRACT_FETCH)
+    return r.select("url", F.col("seq").cast("long").alias("crawl_seq"), F.col("ts").alias("fetched_at"),
+                    F.col("caller_agent_id").alias("requesting_agent_id"), F.col("source_ref").alias("task_id")) \
+        .join(crawl, "url").select(*SI.FETCHED.fieldNames())
+
+
+def _ingested(spark, sf_dir):
+    """Run the crawl ingest to its end over several micro-batches; the last one is replayed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INGESTED:
+        root = _run_dir(spark, "stream-crawl")
+        fetched_rows(spark, sf_dir).repartitionByRange(6, "crawl_seq").write.parquet(f"{root}/in")
+        stream = (spark.readStream.schema(SI.FETCHED).option("maxFilesPerTrigger", "2").parquet(f"{root}/in"))
+        q = SI.ingest_crawl(stream, FX.allowlist(spark), f"{root}/pages", f"{root}/provenance", f"{root}/ckpt")
+        q.awaitTermination()
+        _INGESTED[key] = root
+    return _INGESTED[key]
+
+
+_INGESTED: dict = {}
+_CRAWLED_SQL = ("with " + ",\n".join([FX.AL_SQL, FX.REDIRECTING_SQL, FX.REQ_SQL]) + ",\n" + q_crawl.TRIAGED_SQL + ",\n"
+                + q_fetch.PAGES_SQL + f""",
+urls as materialized (select distinct url from req where contract_id = 'web.fetch.v1'),
+entry as materialized (select url, cast({Q.TTL_CASE} as bigint) as ttl from {Q.allow_best('s.url', 's.url', 'urls')}),
+w as (select k.k_doc_url as url, k.k_origin as origin, k.k_sha as content_sha256, k.k_plaintext as plaintext, k.k_title as title,
+  {iso_sql('r.ts')} as fetched_at, e.ttl as ttl_seconds, k.k_low as low_signal, k.k_byte_size as byte_size, cast(r.seq as bigint) as write_seq,
+  r.caller_agent_id as requesting_agent_id, r.source_ref as task_id
+  from req r join entry e on e.url = r.url join kp k on k.k_url = r.url where r.contract_id = 'web.fetch.v1')
+""")
+
+
+@register("stream_ingest_pages", _CRAWLED_SQL + """select url, origin, content_sha256, plaintext, title, fetched_at, ttl_seconds,
+ low_signal, byte_size, write_seq from (select *, row_number() over (partition by url order by write_seq desc) as rk from w) where rk = 1""")
+def stream_ingest_pages(spark, sf_dir):
+    return SI.latest_snapshot(spark, f"{_ingested(spark, sf_dir)}/pages")
+
+
+@register("stream_ingest_provenance", _CRAWLED_SQL + """select url, origin, content_sha256, fetched_at, requesting_agent_id, task_id,
+ 'fetch' as kind from w where not low_signal""")
+def stream_ingest_provenance(spark, sf_dir):
+    return SI.provenance_log(spark, f"{_ingested(spark, sf_dir)}/provenance")

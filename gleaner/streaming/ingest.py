@@ -1,107 +1,140 @@
-"""Streaming ingest of page writes into the page snapshot and the provenance log.
-
-``readStream`` (file source) -> ``foreachBatch``. The snapshot is kept in buckets by url hash: a micro-batch reads and
-rewrites only the buckets that its urls fall into (``data/batch=<id>/bucket=<b>``), and a manifest of at most
-``BUCKETS`` rows (``manifest/batch=<id>``) tells which batch holds each bucket's newest version. Provenance rows go
-to ``provenance/batch=<id>``. All writes use overwrite mode on folders named by the batch id, so a replayed batch
-(after a failure, the checkpoint replays the last uncommitted batch) rewrites the same folders: the sink is
-idempotent.
+"""Streaming ingest into the page store and the provenance log.
+
+``readStream`` (file source) -> ``foreachBatch``, from crawl rows (triage, extraction, quality, fingerprint, then the page
+row and, for usable pages, the provenance row) or from finished page rows.
+
+The store is a base and the runs written since: every micro-batch adds one Parquet run with its last write per url
+(``run=<batch>``), and reading merges the base with the runs, last write per url. When the runs weigh as much as
+``merge_ratio`` of the base, the batch writes their merger as a new base (``base=<batch>``). So a batch writes what it
+brought, and the merges write at most 1 + 1 / ``merge_ratio`` bytes for every byte that came in. Provenance rows go to
+``batch=<batch>`` folders.
+
+A folder is written once: a batch that is replayed after a failure finds it complete (``_SUCCESS``) and leaves it, or
+writes it anew. So nothing is there twice, and readers ``as_of`` a batch are not disturbed by later ones. Old bases and runs
+are never deleted here; give the folder a retention policy.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from .. import schemas as S
+from ..functions import text as X
+from ..operators import allowlist as A
 from ..operators import store as ST
+from ..plans import fetch as FP
 
-BUCKETS = 64
 SNAPSHOT = StructType([*S.FETCHED_PAGES.fields, StructField("write_seq", LongType())])
+#: A crawl row with who asked for it and when: what a stream of fetches brings.
+FETCHED = StructType([*S.CRAWL.fields, StructField("crawl_seq", LongType()), StructField("fetched_at", TimestampType()),
+                      StructField("requesting_agent_id", StringType()), StructField("task_id", StringType())])
+#: The batch number of a store's first base, if it did not start empty.
+FIRST = -1
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _hadoop_fs(spark, root)
+def _complete(spark: SparkSession, root: str, kind: str, as_of: int | None = None) -> list[int]:
+    """Batches whose ``<kind>=<batch>`` folder is complete, ascending."""
+    fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+    names = [(s.getPath(), s.getPath().getName()) for s in fs.listStatus(p)]
+    found = [(int(n.split("=", 1)[1]), path) for path, n in names if n.startswith(f"{kind}=")]
+    return sorted(b for b, path in found if (as_of is None or b <= as_of) and fs.exists(path.suffix("/_SUCCESS")))
+
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
 
-def _manifest(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
-    """bucket -> batch that wrote its newest version."""
-    vs = [v for v in _versions(spark, f"{root}/manifest") if before is None or v < before]
-    if not vs:
-        return {}
-    rows = spark.read.schema("bucket int, batch long").parquet(f"{root}/manifest/batch={vs[-1]}").collect()
-    return {r["bucket"]: r["batch"] for r in rows}
 
+def _write_once(rows: DataFrame, root: str, kind: str, batch_id: int) -> None:
+    if batch_id not in _complete(rows.sparkSession, root, kind):
+        rows.write.mode("overwrite").parquet(f"{root}/{kind}={batch_id}")
 
-def _read(spark: SparkSession, root: str, where: dict[int, int]) -> DataFrame:
-    paths = [f"{root}/data/batch={v}/bucket={b}" for b, v in sorted(where.items())]
-    return spark.read.schema(SNAPSHOT).parquet(*paths) if paths else spark.createDataFrame([], SNAPSHOT)
 
+def _parts(spark: SparkSession, root: str, as_of: int | None) -> tuple[list[str], list[str]]:
+    """Paths of the newest base and of the runs since."""
+    bases = _complete(spark, root, "base", as_of)[-1:]
+    runs = [r for r in _complete(spark, root, "run", as_of) if not bases or r > bases[0]]
+    return [f"{root}/base={b}" for b in bases], [f"{root}/run={r}" for r in runs]
 
-def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The snapshot as of the last batch (before ``before``); None when nothing was written yet."""
-    where = _manifest(spark, root.rstrip("/"), before)
-    return _read(spark, root.rstrip("/"), where) if where else None
 
+def latest_snapshot(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame | None:
+    """The page store after batch ``as_of`` (default: the last one); None when nothing was written yet."""
+    base, runs = _parts(spark, root.rstrip("/"), as_of)
+    if not base and not runs:
+        return None
+    pages = spark.read.schema(SNAPSHOT)
+    empty = spark.createDataFrame([], SNAPSHOT)
+    return ST.upsert(pages.parquet(*base) if base else empty, pages.parquet(*runs) if runs else empty)
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int")
 
+def provenance_log(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame:
+    """The provenance rows of all complete batches up to ``as_of``."""
+    paths = [f"{root.rstrip('/')}/batch={b}" for b in _complete(spark, root.rstrip("/"), "batch", as_of)]
+    return spark.read.schema(S.PROVENANCE).parquet(*paths) if paths else spark.createDataFrame([], S.PROVENANCE)
 
-def _write(rows: DataFrame, root: str, batch_id: int, where: dict[int, int]) -> None:
-    spark = rows.sparkSession
-    data = f"{root}/data/batch={batch_id}"
-    rows.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
-    entries = [(int(b), int(v)) for b, v in where.items()]
-    spark.createDataFrame(entries, "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(
-        f"{root}/manifest/batch={batch_id}")
 
+def page_rows(fetched: DataFrame, allowlist: DataFrame, max_bytes: int = S.MAX_BODY_BYTES) -> DataFrame:
+    """What the service writes for each fetched row (``FETCHED``) whose url is on the list: the page row (``SNAPSHOT``), who
+    asked (``requesting_agent_id``, ``task_id``) and ``kind`` ('fetch' for usable pages, which are the ones that leave
+    provenance; else NULL)."""
+    on = A.lookup(fetched, "url", allowlist).filter(F.col("al_domain").isNotNull())
+    kept = ["crawl_seq", "fetched_at", "requesting_agent_id", "task_id", "al_ttl_seconds"]
+    return FP.crawl_pages(on, max_bytes, keep=kept).select(
+        F.col("k_doc_url").alias("url"), F.col("k_origin").alias("origin"), F.col("k_sha").alias("content_sha256"),
+        F.col("k_plaintext").alias("plaintext"), F.col("k_title").alias("title"), X.iso_ms("fetched_at").alias("fetched_at"),
+        F.col("al_ttl_seconds").alias("ttl_seconds"), F.col("k_low").alias("low_signal"),
+        F.col("k_byte_size").alias("byte_size"), F.col("crawl_seq").alias("write_seq"),
+        "requesting_agent_id", "task_id", F.when(~F.col("k_low"), F.lit("fetch")).alias("kind"))
 
-def make_batch_writer(snapshot_root: str, provenance_root: str, initial_snapshot: str | None = None):
-    root = snapshot_root.rstrip("/")
 
-    def touched(rows: DataFrame) -> list[int]:
-        return [r[0] for r in rows.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+def make_batch_writer(snapshot_root: str, provenance_root: str, initial_snapshot: str | None = None,
+                      merge_ratio: float = 0.5, rows_of: Callable[[DataFrame], DataFrame] = lambda batch: batch):
+    """The ``foreachBatch`` function. ``rows_of`` makes page rows (``SNAPSHOT``; with ``kind`` also provenance) of a batch."""
+    root, log = snapshot_root.rstrip("/"), provenance_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        where = _manifest(spark, root, before=batch_id)
-        if not where and initial_snapshot:
-            first = spark.read.parquet(initial_snapshot).select(*SNAPSHOT.fieldNames())
-            where = dict.fromkeys(touched(first), -1)
-            _write(first, root, -1, where)
-        writes = batch.select(*SNAPSHOT.fieldNames())
-        mine = touched(writes)
-        base = _read(spark, root, {b: v for b, v in where.items() if b in mine})
-        _write(ST.upsert(base, writes), root, batch_id, where | dict.fromkeys(mine, batch_id))
-        if "kind" in batch.columns:
-            prov = ST.provenance_rows(batch.select(*ST.PROV_COLS)).filter("accepted").drop("accepted")
-            prov.write.mode("overwrite").parquet(os.path.join(provenance_root, f"batch={batch_id}"))
+        if initial_snapshot and not _complete(spark, root, "base"):
+            _write_once(spark.read.parquet(initial_snapshot).select(*SNAPSHOT.fieldNames()), root, "base", FIRST)
+        rows = rows_of(batch)
+        if "kind" in rows.columns:
+            rows = rows.persist()  # extracted once for the store and the log
+            accepted = ST.provenance_rows(rows.select(*ST.PROV_COLS)).filter("accepted").drop("accepted")
+            _write_once(accepted, log, "batch", batch_id)
+        _write_once(ST.last_written(rows.select(*SNAPSHOT.fieldNames())), root, "run", batch_id)
+        rows.unpersist()
+        base, runs = _parts(spark, root, batch_id)
+        if runs and sum(_bytes(spark, r) for r in runs) >= merge_ratio * sum(_bytes(spark, b) for b in base):
+            _write_once(latest_snapshot(spark, root, batch_id), root, "base", batch_id)
 
     return write
 
 
+def _start(stream: DataFrame, write, checkpoint: str, available_now: bool):
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 def ingest(stream: DataFrame, snapshot_root: str, provenance_root: str, checkpoint: str,
            initial_snapshot: str | None = None, available_now: bool = True):
-    """Start the ingest query; returns the StreamingQuery."""
-    w = stream.writeStream.foreachBatch(make_batch_writer(snapshot_root, provenance_root, initial_snapshot)) \
-        .option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+    """Start the ingest of finished page rows; returns the StreamingQuery."""
+    return _start(stream, make_batch_writer(snapshot_root, provenance_root, initial_snapshot), checkpoint, available_now)
+
+
+def ingest_crawl(stream: DataFrame, allowlist: DataFrame, snapshot_root: str, provenance_root: str, checkpoint: str,
+                 initial_snapshot: str | None = None, max_bytes: int = S.MAX_BODY_BYTES, available_now: bool = True):
+    """Start the ingest of fetched rows (``FETCHED``); returns the StreamingQuery."""
+    write = make_batch_writer(snapshot_root, provenance_root, initial_snapshot,
+                              rows_of=lambda batch: page_rows(batch, allowlist, max_bytes))
+    return _start(stream, write, checkpoint, available_now)

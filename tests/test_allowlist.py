@@ -15,19 +15,20 @@ def _has(spark, al, urls):
 
 
 def test_exact_and_subdomain(spark):
-    al = _al(spark, ("example.com", "x", "generic"), ("gov.uk", "x", "generic"))
-    assert _has(spark, al, ["https://example.com/path?q=1", "http://example.com/", "https://hmrc.gov.uk/path",
-                            "https://www.gov.uk/"]) == [True] * 4
+    al = _al(spark, ("harbour.example", "x", "generic"), ("met.example.net", "x", "generic"))
+    assert _has(spark, al, ["https://harbour.example", "http://harbour.example:8080/tides#low", "https://met.example.net/?day=2",
+                            "https://buoys.north.met.example.net/log"]) == [True] * 4
 
 
 def test_rejects_off_list_suffix_trick_and_malformed(spark):
-    al = _al(spark, ("example.com", "x", "generic"))
-    assert _has(spark, al, ["https://random-site.com/", "https://example.com.evil.com/", "not a url", ""]) == [False] * 4
+    al = _al(spark, ("harbour.example", "x", "generic"))
+    assert _has(spark, al, ["https://lighthouse.example/", "https://harbour.example.lighthouse.example/", "https://myharbour.example/",
+                            "harbour.example", "https://", None]) == [False] * 6
 
 
 def test_lowercases_host(spark):
-    al = _al(spark, ("gov.uk", "x", "generic"))
-    assert _has(spark, al, ["https://HMRC.GOV.UK/path"]) == [True]
+    al = _al(spark, ("harbour.example", "x", "generic"))
+    assert _has(spark, al, ["https://Pilot.HARBOUR.Example/Boats"]) == [True]
 
 
 def test_longest_suffix_wins_and_ttl(spark):
@@ -74,19 +75,18 @@ def test_gate_stays_shut_for_misleading_urls(spark):
 
 
 def test_validation_messages(spark):
-    bad = [("NOT.A.HOSTNAME", "x", "generic", "2026-05-13"), ("ok.com", "x", "weekly", "2026-05-13"),
-           ("ok.com", "x", "generic", "yesterday"), ("ok.com", "", "generic", "2026-05-13"),
-           ("ok.com", "x", "generic", "2026-02-30")]
-    expect = ["domain", "ttl_class", "added_at", "purpose", "added_at_date"]
-    for row, rule in zip(bad, expect):
-        v = A.validate(AS.from_rows(spark, [row])).collect()[0]
+    good = ("harbour.example", "tide tables", "airline", "2025-11-02")
+    bad = {"domain": "Harbour_Master", "ttl_class": "hourly", "added_at": "02.11.2025", "purpose": None, "added_at_date": "2025-04-31"}
+    place = {"domain": 0, "purpose": 1, "ttl_class": 2, "added_at": 3, "added_at_date": 3}
+    for rule, value in bad.items():
+        row = list(good)
+        row[place[rule]] = "" if value is None else value
+        v = A.validate(AS.from_rows(spark, [tuple(row)])).collect()[0]
         assert v["ok"] is False and v["bad_rule"] == rule and v["bad_index"] == 0
-    v = A.validate(AS.from_rows(spark, [("example.com", "x", "generic", "2026-05-13"),
-                                        ("BAD..!!", "x", "generic", "2026-05-13")])).collect()[0]
-    assert v["bad_index"] == 1 and v["message"] == 'entry 1 has invalid "domain"'
-    good = A.validate(AS.from_rows(spark, [("example.com", "test", "generic", "2026-05-13"),
-                                           ("gov.uk", "government services", "generic", "2026-05-13")])).collect()[0]
-    assert good["ok"] is True and good["n_entries"] == 2
+    v = A.validate(AS.from_rows(spark, [good, good, ("-pier.example", "x", "generic", "2025-11-02")])).collect()[0]
+    assert v["bad_index"] == 2 and v["message"] == 'entry 2 has invalid "domain"'
+    v = A.validate(AS.from_rows(spark, [good, ("met.example.net", "forecasts", "generic", "2024-02-29"), good])).collect()[0]
+    assert v["ok"] is True and v["n_entries"] == 3
 
 
 def test_yaml_loader(spark):

@@ -69,13 +69,13 @@ def test_ingest_batch_writer_is_idempotent(spark):
     write(b0, 0)
     write(b1, 1)
     first = sorted((r["url"], r["plaintext"]) for r in SI.latest_snapshot(spark, snap_root).collect())
-    write(b1, 1)  # a replayed batch rewrites the same folder from the same previous version
+    write(b1, 1)  # a replayed batch finds its folders complete
     again = sorted((r["url"], r["plaintext"]) for r in SI.latest_snapshot(spark, snap_root).collect())
     assert first == again == [("u1", "c"), ("u2", "d")]
-    assert SI.latest_snapshot(spark, snap_root, before=1).filter(F.col("url") == "u2").collect()[0]["plaintext"] == "b"
+    assert SI.latest_snapshot(spark, snap_root, as_of=0).filter(F.col("url") == "u2").collect()[0]["plaintext"] == "b"
 
 
-def test_ingest_rewrites_touched_buckets_only(spark):
+def test_ingest_writes_what_a_batch_brings_and_merges_now_and_then(spark):
     from gleaner.streaming import ingest as SI
 
     root = tempfile.mkdtemp(prefix="gleaner-ingest-")
@@ -84,11 +84,54 @@ def test_ingest_rewrites_touched_buckets_only(spark):
     def page(url, text, seq):
         return (url, "o", "s" + text, text, None, "2024-01-01T00:00:00.000Z", 3600, False, 1, seq)
 
-    write(spark.createDataFrame([page(f"u{i}", "a", i) for i in range(300)], SI.SNAPSHOT), 0)
-    write(spark.createDataFrame([page("u7", "b", 900)], SI.SNAPSHOT), 1)
-    assert len([d for d in os.listdir(os.path.join(root, "s", "data", "batch=1")) if d.startswith("bucket=")]) == 1
-    got = {r["url"]: r["plaintext"] for r in SI.latest_snapshot(spark, os.path.join(root, "s")).collect()}
-    assert len(got) == 300 and got["u7"] == "b" and got["u8"] == "a"
+    write(spark.createDataFrame([page(f"u{i}", "a" * 500, i) for i in range(3000)], SI.SNAPSHOT).coalesce(1), 0)
+    want = {f"u{i}": "a" * 500 for i in range(3000)}
+    for n in range(1, 12):
+        rows = [page(f"u{i}", f"{n}", 10_000 * n + i) for i in range(n, 3000, 10)]
+        want |= {r[0]: r[3] for r in rows}
+        write(spark.createDataFrame(rows, SI.SNAPSHOT).coalesce(1), n)
+    store = os.path.join(root, "s")
+    assert SI._complete(spark, store, "run") == list(range(12))
+    bases = SI._complete(spark, store, "base")
+    assert bases[0] == 0 and 1 <= len(bases) - 1 <= 6
+    weigh = lambda kind: [SI._bytes(spark, f"{store}/{kind}={b}") for b in SI._complete(spark, store, kind)]
+    assert sum(weigh("base")) <= 3.5 * sum(weigh("run"))
+    got = {r["url"]: r["plaintext"] for r in SI.latest_snapshot(spark, store).collect()}
+    assert got == want
+    assert {r["plaintext"] for r in SI.latest_snapshot(spark, store, as_of=0).select("plaintext").distinct().collect()} == {"a" * 500}
+
+
+def test_ingest_of_crawl_rows_with_replayed_and_broken_batches(spark):
+    import shutil
+
+    from gleaner.sources import allowlist as AS
+    from gleaner.streaming import ingest as SI
+
+    root = tempfile.mkdtemp(prefix="gleaner-ingest-")
+    al = AS.from_rows(spark, [dict(domain="tides.example", purpose="x", ttl_class="airline", added_at="2024-01-01")])
+    page = "<html><head><title>Tides</title></head><body><article><p>" + "High water comes later every day. " * 20 + "</p></article></body></html>"
+    t0 = dt.datetime(2024, 1, 1)
+
+    def row(seq, url, body=page, status=200, error=None, final=None):
+        return (url, status, "text/html", bytearray(body.encode()), error, final, seq, t0 + dt.timedelta(minutes=seq), "agent", f"task:{seq}")
+
+    write = SI.make_batch_writer(f"{root}/s", f"{root}/p", rows_of=lambda b: SI.page_rows(b, al))
+    b0 = spark.createDataFrame([row(1, "https://tides.example/a"), row(2, "https://tides.example/b", status=404),
+                                row(3, "https://elsewhere.example/"), row(4, "https://tides.example/c", final="https://tides.example/a")],
+                               SI.FETCHED)
+    b1 = spark.createDataFrame([row(5, "https://tides.example/b"), row(6, "https://tides.example/a", error="AbortError")], SI.FETCHED)
+    write(b0, 0)
+    version = SI.provenance_log(spark, f"{root}/p", as_of=0)  # a reader that has begun
+    write(b1, 1)
+    os.remove(f"{root}/p/batch=1/_SUCCESS")  # as if the batch had died within the write
+    shutil.rmtree(f"{root}/s/run=1")
+    for _ in range(2):
+        write(b1, 1)
+    log = [(r.url, r.task_id) for r in SI.provenance_log(spark, f"{root}/p").collect()]
+    assert sorted(log) == [("https://tides.example/a", "task:1"), ("https://tides.example/a", "task:4"), ("https://tides.example/b", "task:5")]
+    assert version.count() == 2
+    pages = {r.url: (r.low_signal, r.write_seq, r.ttl_seconds) for r in SI.latest_snapshot(spark, f"{root}/s").collect()}
+    assert pages == {"https://tides.example/a": (True, 6, 3600), "https://tides.example/b": (False, 5, 3600)}
 
 
 def test_null_source_ref_is_admitted(spark):
