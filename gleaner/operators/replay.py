@@ -271,7 +271,8 @@ def ttl_replay(log: DataFrame, url_col: str = "url", ts_col: str = "ts", seq_col
     asked = log.select(F.col(url_col).alias("url"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t_us"),
                        F.col(seq_col).cast("long").alias("seq"), F.col(realtime_col).alias("realtime"),
                        F.col(ttl_col).alias("ttl"))
-    found = replay(_lookups(asked, "url", F.lit(None).cast("long")))
+    # range partitioning looks at its input twice: the events are computed once
+    found = replay(materialize(_lookups(asked, "url", F.lit(None).cast("long")), "replay-events"))
     return found.select("seq", F.col("writer").alias("url"), "hit")
 
 
@@ -285,13 +286,15 @@ def store_replay(requests: DataFrame, seeds: DataFrame) -> DataFrame:
     the original snapshot row), ``ref_us`` (when the row it gets was fetched) and ``ref_writer`` (the url whose fetch
     wrote it)."""
     known = seeds.groupBy("url").agg(F.max("t_us").alias("seed_us"))
-    seeded = requests.join(known, "url", "left")
+    seeded = materialize(requests.select("url", "t_us", "seq", "realtime", "ttl", "target").join(known, "url", "left"),
+                         "replay-events")
     lookups = _lookups(seeded, "target", F.col("seed_us"))
-    moved = requests.where(F.col("target") != F.col("url"))
+    moved = seeded.where(~F.col("target").eqNullSafe(F.col("url")))
     out = ["seq", "hit", "from_seed", "ref_us", "ref_writer"]
     if moved.isEmpty():
         return replay(lookups).select(*out)
-    moved = materialize(moved.select(F.col("seq").cast("long").alias("seq"), "target", "t_us", "url")
+    moved = materialize(moved.select(F.col("seq").cast("long").alias("seq"), F.coalesce("target", F.lit("")).alias("target"),
+                                     F.coalesce("t_us", F.lit(0).cast("long")).alias("t_us"), "url")
                         .join(known.withColumnRenamed("url", "target"), "target", "left"), "replay-moved")
     written = moved.limit(0)  # writes under other urls, as far as they are known
     while True:

@@ -208,3 +208,8 @@ def dedupe_key(contract_id, caller, url, query, top_n, freshness, site_filter) -
     fetch_key = F.concat_ws(":", col(caller), c, U.canonical_url(col(url)), col(freshness))
     search_key = F.concat_ws(":", col(caller), c, qc, col(top_n).cast("string"), col(freshness), sf)
     return X.sha256_hex(F.when(c == S.CONTRACT_FETCH, fetch_key).otherwise(search_key))
+
+
+def key_mismatches(df: DataFrame, declared_col: str = "dedupe_key", key_col: str = "computed_key") -> DataFrame:
+    """Rows whose declared dedupe key is missing or differs from the computed one."""
+    return df.where(~F.col(declared_col).eqNullSafe(F.col(key_col)))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import blocks as BL
 from ..operators import crawl as C
 from ..operators import extract as XT
 from ..sources import fixtures as FX
@@ -162,3 +163,35 @@ def decode_malformed(spark, sf_dir):
     text = X.decode_body(body)
     return p.select("page_id", F.col("x.n").alias("case_no"), X.sha256_hex(text).alias("text_sha256"),
                     F.length(text).cast("long").alias("n_chars"))
+
+
+_DROPPED = f"regexp_replace(html, {Q.q(BL.HEAD_PATTERN)}, ' ', 'gs')"
+for _p, _r in XT.DROP_STEPS:
+    _DROPPED = f"regexp_replace({_DROPPED}, {Q.q(_p)}, {Q.q(_r)}, 'g')"
+_BLOCK_LIST = ", ".join(Q.q(t) for t in BL.BLOCK_TAGS)
+#: The nesting depth is carried by a fold over the tags here, not by running sums.
+BLOCKS_SQL = f"""with t as (select page_id, unnest(tokens) as token, unnest(range(len(tokens))) as pos
+  from (select page_id, regexp_extract_all({_DROPPED}, {Q.q(BL.TOKEN_PATTERN)}) as tokens from pages)),
+n as (select *, case when starts_with(token, '<') and ends_with(token, '>') then lower(regexp_extract(token, {Q.q(BL.NAME_PATTERN)}, 1)) end as name,
+  starts_with(token, '</') as closes from t),
+s as (select *, case when name in ({_BLOCK_LIST}) and not ends_with(token, '/>') then case when closes then -1 else 1 end else 0 end as step,
+  case when name = 'a' then case when closes then 0 else 1 end end as link from n),
+b as materialized (select *, sum(abs(step)) over w as block_no, coalesce(last_value(link ignore nulls) over w, 0) as in_link
+  from s window w as (partition by page_id order by pos rows unbounded preceding)),
+d as (select page_id, block_no, list_reduce(list_prepend(0::bigint, list(step::bigint order by block_no) over (partition by page_id order by block_no
+    rows unbounded preceding)), lambda x, y: greatest(x + y, 0)) as depth from b where step <> 0),
+x as (select page_id, block_no, string_agg(txt, '' order by pos) as txt, string_agg(case when in_link = 1 then txt else '' end, '' order by pos) as linked
+  from (select *, case when name is null then token when name in ('br', 'hr', 'img') then ' ' else '' end as txt from b) group by page_id, block_no),
+c as (select page_id, block_no, {XT._sql_collapse(XT._sql_unescape('txt'))} as txt, {XT._sql_collapse(XT._sql_unescape('linked'))} as linked from x)
+select c.page_id, cast(c.block_no as bigint) as block_no, cast(coalesce(d.depth, 0) as bigint) as depth, cast(length(txt) as bigint) as n_chars,
+ cast(length(linked) as bigint) as link_chars,
+ length(txt) - length(linked) >= {BL.LEAST_TEXT} and length(linked) * 2 <= length(txt) as content, sha256(txt) as text_sha256
+from c left join d on d.page_id = c.page_id and d.block_no = c.block_no where length(txt) > 0"""
+
+
+@register("page_blocks", BLOCKS_SQL)
+def page_blocks(spark, sf_dir):
+    """Every page's text blocks with depth, link density and verdict."""
+    b = BL.page_blocks(read(spark, sf_dir, "pages", "page_id", "html"))
+    return b.select("page_id", F.col("block_no").cast("long").alias("block_no"), F.col("depth").cast("long").alias("depth"), "n_chars", "link_chars",
+                    "content", X.sha256_hex("text").alias("text_sha256"))

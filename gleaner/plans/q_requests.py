@@ -253,7 +253,24 @@ _DEDUPE_SQL = f"""dk as (select seq, ts, sha256(case when contract_id = 'web.fet
 @register("request_dedupe", FX.with_ctes(FX.REQ_SQL, _DEDUPE_SQL) + """select dedupe_key, arg_min(seq, (ts, seq)) as first_seq,
  count(*) as n_requests from dk group by dedupe_key""")
 def request_dedupe(spark, sf_dir):
-    req = FX.requests(spark, sf_dir)
-    k = R.dedupe_key("contract_id", "caller_agent_id", "url", "query", "top_n", "freshness", "site_filter")
-    return (req.withColumn("site_filter", FX.site_filter()).withColumn("dedupe_key", k).groupBy("dedupe_key")
+    return (keyed_requests(spark, sf_dir).groupBy(F.col("computed_key").alias("dedupe_key"))
             .agg(F.min_by("seq", F.struct("ts", "seq")).alias("first_seq"), F.count(F.lit(1)).alias("n_requests")))
+
+
+def keyed_requests(spark, sf_dir):
+    """The request log with the dedupe key by the declared rule."""
+    k = R.dedupe_key("contract_id", "caller_agent_id", "url", "query", "top_n", "freshness", "site_filter")
+    return FX.requests(spark, sf_dir).withColumn("site_filter", FX.site_filter()).withColumn("computed_key", k)
+
+
+#: What clients declare: the right key, a key of their own, or none, by the request's number.
+DECLARED_SQL = "case when seq % 5 = 1 then concat('d', cast(seq as string)) when seq % 11 <> 3 then {0} end"
+
+
+@register("dedupe_key_mismatches", FX.with_ctes(FX.REQ_SQL, _DEDUPE_SQL) + f"""select * from (select seq,
+ {DECLARED_SQL.format('dedupe_key').replace('as string', 'as varchar')} as declared_key, dedupe_key as computed_key from dk)
+ where declared_key is distinct from computed_key""")
+def dedupe_key_mismatches(spark, sf_dir):
+    """Requests whose declared dedupe key is not the one that the declared rule gives."""
+    keyed = keyed_requests(spark, sf_dir).withColumn("declared_key", F.expr(DECLARED_SQL.format("computed_key")))
+    return R.key_mismatches(keyed, "declared_key").select("seq", "declared_key", "computed_key")

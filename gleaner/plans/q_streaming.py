@@ -9,14 +9,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..session import scratch_path
+from ..session import scratch_path, start_stateful
 from ..sources import fixtures as FX
 from ..sources import requests as RS
 from ..streaming import admission as SA
 from ..streaming import budget as SB
 from ..streaming import ingest as SI
+from ..streaming import quota as SQ
 from .q_requests import _ADMIT_SQL, _BUDGET_SQL, FILE_LINES_SQL, text_dir
-from . import q_crawl, q_fetch
+from . import q_crawl, q_fetch, q_requests
 from . import sqltext as Q
 from .q_store import iso_sql, snapshot, writes
 from .registry import ORACLES, register
@@ -47,7 +48,7 @@ ORACLES["stream_budget"] = FX.with_ctes(FX.REQ_SQL, _BUDGET_SQL) + "select seq,
 def stream_admission(spark, sf_dir):
     """The request files, a few a micro-batch, through the streaming admission; lines go by their number of arrival."""
     root, path = _run_dir(spark, "stream-admission"), text_dir(spark, sf_dir)
-    SA.admit_files(spark, RS.read_lines_stream(spark, path, max_files_per_trigger=3), f"{root}/out",
+    SA.admit_files(RS.read_lines_stream(spark, path, max_files_per_trigger=3), f"{root}/out",
                    f"{root}/ckpt").awaitTermination()
     out = spark.read.schema(SA.OUTPUT).parquet(f"{root}/out")
     starts = RS.split_starts(RS.read_lines(spark, path))
@@ -67,9 +68,7 @@ def stream_ingest(spark, sf_dir):
     return out.select(*[c for c in out.columns])
 
 
-from .q_store import ORACLES as _O  # noqa: E402
-
-ORACLES["stream_ingest"] = _O["page_upsert"]
+ORACLES["stream_ingest"] = ORACLES["page_upsert"]
 
 
 def fetched_rows(spark, sf_dir):
@@ -116,3 +115,43 @@ def stream_ingest_pages(spark, sf_dir):
  'fetch' as kind from w where not low_signal""")
 def stream_ingest_provenance(spark, sf_dir):
     return SI.provenance_log(spark, f"{_ingested(spark, sf_dir)}/provenance")
+
+
+def _in_order(rows, root, files=5):
+    """The rows as Parquet files that arrive in order of (ts, seq), read as a stream of two files a micro-batch."""
+    rows.repartitionByRange(files, "ts", "seq").write.parquet(f"{root}/in")
+    RS.set_arrival(rows.sparkSession, f"{root}/in", q_requests.ARRIVAL_MS)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", "2").parquet(f"{root}/in")
+
+
+def _ops(spark, sf_dir, contract=None):
+    b = q_requests.budgeted_requests(spark, sf_dir).filter("budget_ok")
+    return (b if contract is None else b.filter(F.col("contract_id") == contract)).select("seq", "ts")
+
+
+@register("stream_daily_cap", ORACLES["daily_cap"])
+def stream_daily_cap(spark, sf_dir):
+    """The daily cap on a stream of admitted operations equals the batch job."""
+    root = _run_dir(spark, "stream-daily")
+    start_stateful(SQ.daily_cap(_in_order(_ops(spark, sf_dir), root)), f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return spark.read.schema(SQ.OUTPUT).parquet(f"{root}/out").select("seq", F.col("period").alias("day"), F.col("within").alias("within_cap"))
+
+
+@register("stream_monthly_spend", ORACLES["monthly_spend_running"])
+def stream_monthly_spend(spark, sf_dir):
+    """The monthly budget on a stream of admitted searches equals the batch job."""
+    root = _run_dir(spark, "stream-monthly")
+    start_stateful(SQ.monthly_spend(_in_order(_ops(spark, sf_dir, S.CONTRACT_SEARCH), root)), f"{root}/out",
+                   f"{root}/ckpt").awaitTermination()
+    return spark.read.schema(SQ.OUTPUT).parquet(f"{root}/out").select("seq", F.col("period").alias("month"), F.col("within").alias("within_budget"))
+
+
+@register("stream_dedupe", FX.with_ctes(FX.REQ_SQL, q_requests._DEDUPE_SQL) + "select distinct dedupe_key from dk")
+def stream_dedupe(spark, sf_dir):
+    """Every declared key once, from a stream of all requests within the horizon."""
+    root = _run_dir(spark, "stream-dedupe")
+    keyed = q_requests.keyed_requests(spark, sf_dir).select("seq", "ts", F.col("computed_key").alias("dedupe_key"))
+    q = (SQ.dedupe(_in_order(keyed, root), horizon="400 days").writeStream.format("parquet").outputMode("append")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("seq long, ts timestamp, dedupe_key string").parquet(f"{root}/out").select("dedupe_key")

@@ -82,3 +82,27 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+#: What streams on ``transformWithState`` need. They have no timers, so batches without data would do nothing, and under
+#: a state TTL they would follow each other without end.
+STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def start_stateful(stream, out: str, checkpoint: str, available_now: bool = True):
+    """Start a stream on ``transformWithState`` into Parquet files at ``out``; returns the StreamingQuery. It takes its
+    settings (``STATEFUL``) from the session as it starts; the session's own are put back."""
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATEFUL}
+    for k, v in STATEFUL.items():
+        conf.set(k, v)
+    try:
+        w = (stream.writeStream.format("parquet").outputMode("append")
+             .option("path", out).option("checkpointLocation", checkpoint))
+        return (w.trigger(availableNow=True) if available_now else w).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)

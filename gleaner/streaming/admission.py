@@ -20,17 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas as S
 from ..operators import requests as R
+from ..session import start_stateful
 
 ORDER = ["ts", "file_path", "block_start", "place"]
 SALTS = 64
-#: The state store that ``transformWithState`` needs.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "file_path string, block_start long, place long, source_ref string, code string"
 _MARKED = pa.schema([("source_ref", pa.string()), ("code", pa.string()), ("ts", pa.timestamp("us", "UTC")),
                      ("file_path", pa.string()), ("block_start", pa.int64()), ("place", pa.int64()), ("salt", pa.int32())])
@@ -104,19 +103,7 @@ def admission_stream(lines: DataFrame, cap: int = S.OPS_PER_TASK, ttl_ms: int |
         TaskBudget(cap, ttl_ms), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
-def admit_files(spark: SparkSession, lines: DataFrame, out: str, checkpoint: str, cap: int = S.OPS_PER_TASK,
-                ttl_ms: int | None = None, available_now: bool = True):
-    """Start the admission of a stream of lines into Parquet files at ``out``; returns the StreamingQuery. The query
-    takes the settings that it needs from the session as it starts; the session's own are put back."""
-    # no timers: batches without data do nothing, and under a state TTL they would follow each other without end
-    asked = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {k: spark.conf.get(k, None) for k in asked}
-    for k, v in asked.items():
-        spark.conf.set(k, v)
-    try:
-        w = (admission_stream(lines, cap, ttl_ms).writeStream.format("parquet").outputMode("append")
-             .option("path", out).option("checkpointLocation", checkpoint))
-        return (w.trigger(availableNow=True) if available_now else w).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def admit_files(lines: DataFrame, out: str, checkpoint: str, cap: int = S.OPS_PER_TASK, ttl_ms: int | None = None,
+                available_now: bool = True):
+    """Start the admission of a stream of lines into Parquet files at ``out``; returns the StreamingQuery."""
+    return start_stateful(admission_stream(lines, cap, ttl_ms), out, checkpoint, available_now)

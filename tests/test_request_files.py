@@ -76,7 +76,7 @@ def test_equal_keys_and_lines_beyond_the_cap(spark):
 
 
 def admitted(spark, root, cap=5, ttl_ms=None):
-    q = SA.admit_files(spark, RS.read_lines_stream(spark, f"{root}/in", 1), f"{root}/out", f"{root}/ckpt", cap, ttl_ms)
+    q = SA.admit_files(RS.read_lines_stream(spark, f"{root}/in", 1), f"{root}/out", f"{root}/ckpt", cap, ttl_ms)
     q.awaitTermination()
     out = spark.read.schema(SA.OUTPUT).parquet(f"{root}/out")
     return {(os.path.basename(r.file_path), r.place): r.code for r in out.collect()}

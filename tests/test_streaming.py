@@ -145,3 +145,63 @@ def test_null_source_ref_is_admitted(spark):
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "out")).collect()
     assert len(out) == 9 and all(r["budget_ok"] for r in out)
+
+
+def _quota(spark, root, stream):
+    from gleaner.session import start_stateful
+    from gleaner.streaming import quota as SQ
+
+    start_stateful(stream, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return {r.seq: r.within for r in spark.read.schema(SQ.OUTPUT).parquet(f"{root}/out").collect()}
+
+
+def test_daily_quota_across_batches_restarts_and_tasks(spark):
+    import random
+
+    from gleaner.streaming import quota as SQ
+
+    root, schema = tempfile.mkdtemp(prefix="gleaner-quota-"), "seq long, ts timestamp"
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=7 * i)) for i in range(600)]  # some 205 a day, three days
+    want, used = {}, {}
+    for seq, ts in rows:
+        used[ts.date()] = used.get(ts.date(), 0) + 1
+        want[seq] = used[ts.date()] <= 20
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    got = {}
+    try:
+        for n, part in enumerate((rows[:10], rows[10:300], rows[300:])):
+            random.Random(n).shuffle(part)
+            spark.createDataFrame(part, schema).repartition(3).write.parquet(f"{root}/in/p={n}")
+            stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+            got = _quota(spark, root, SQ.daily_cap(stream, 20))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
+
+
+def test_monthly_quota_of_null_times_and_no_rows(spark):
+    from gleaner.streaming import quota as SQ
+
+    root, schema = tempfile.mkdtemp(prefix="gleaner-quota-"), "seq long, ts timestamp"
+    spark.createDataFrame([], schema).write.parquet(f"{root}/in")
+    t0 = dt.datetime(2024, 1, 31)
+    spark.createDataFrame([(1, None), (2, t0), (3, t0), (4, t0), (5, t0 + dt.timedelta(days=2))], schema).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+    assert _quota(spark, root, SQ.monthly_spend(stream, "1", "2")) == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
+def test_dedupe_stream_keeps_the_first_of_each_key(spark):
+    from gleaner.streaming import quota as SQ
+
+    root, schema = tempfile.mkdtemp(prefix="gleaner-dedupe-"), "seq long, ts timestamp, dedupe_key string"
+    t0 = dt.datetime(2024, 1, 1)
+    seen = []
+    for n, rows in enumerate(([(1, 0, "a"), (2, 1, "b")], [(3, 2, "a"), (4, 3, "c")], [(5, 400, "a")], [(6, 401, "a"), (7, 402, "d")])):
+        spark.createDataFrame([(s, t0 + dt.timedelta(hours=h), k) for s, h, k in rows], schema).write.parquet(f"{root}/in/p={n}")
+        stream = SQ.dedupe(spark.readStream.schema(schema).parquet(f"{root}/in/*"), horizon="2 days")
+        (stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+         .trigger(availableNow=True).start().awaitTermination())
+        seen = sorted(r.seq for r in spark.read.schema(schema).parquet(f"{root}/out").collect())
+    assert seen == [1, 2, 4, 6, 7]  # 5 came before the watermark had passed the first a by two days
