@@ -2,9 +2,8 @@
 
 The page store is a Parquet snapshot with one row per url; a write is an upsert where the *last write* wins
 (write order, not ``fetched_at``). Only the delta is reduced (a rank filter that Spark applies before the shuffle, so
-a url written a million times costs one row per map task); store rows whose url the delta does not touch pass an
-anti-join on the delta's urls and are neither sorted nor aggregated. Snapshots are written to a new path (a path is
-never read and overwritten by one job).
+a url written a million times costs one row per map task); store rows are joined with the delta's last writes and are
+neither sorted nor aggregated. Snapshots are written to a new path (a path is never read and overwritten by one job).
 
 The provenance log is append-only Parquet. ``row_id`` autoincrement is replaced by the carried
 ``(fetched_at, request_seq)`` order; a global counter is not a scalable notion.
@@ -30,12 +29,16 @@ def last_written(rows: DataFrame, key: str = "url", order_col: str = "write_seq"
 
 
 def upsert(snapshot: DataFrame, delta: DataFrame, key: str = "url", order_col: str = "write_seq") -> DataFrame:
-    """Last write per ``key`` over ``snapshot ∪ delta`` (both carry ``order_col``; a delta row replaces the
-    snapshot's row of its key; equal write numbers: the row that hashes lower). The store is joined with the delta's
-    distinct keys, without a hint: Spark broadcasts them if they are small."""
-    delta = delta.select(*snapshot.columns)
-    kept = snapshot.join(delta.select(key).distinct(), key, "left_anti").select(*snapshot.columns)
-    return kept.unionByName(last_written(delta, key, order_col))
+    """Last write per ``key`` over ``snapshot ∪ delta`` (both carry ``order_col``; of equal write numbers the delta's row
+    counts, within the delta the one that hashes lower), in whatever order deltas arrive.
+
+    The store is joined, without a hint, with one narrow row per key of the delta: Spark broadcasts them if they are small.
+    A second look at the store's keys and write numbers finds the delta rows that an even later write has overtaken."""
+    last = last_written(delta.select(*snapshot.columns), key, order_col)
+    marked = snapshot.join(last.select(key, F.col(order_col).alias("__gl_new")), key, "left")
+    later = F.col(order_col) > F.col("__gl_new")
+    kept = marked.where(F.col("__gl_new").isNull() | later).select(*snapshot.columns)
+    return kept.unionByName(last.join(marked.where(later).select(key), key, "left_anti").select(*snapshot.columns))
 
 
 def provenance_rows(df: DataFrame) -> DataFrame:
