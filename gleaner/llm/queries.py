@@ -356,7 +356,7 @@ def op13_texts(docs: DataFrame) -> DataFrame:
     words = runs.words_of(F.col("text"))
     n, h = F.size(words), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     g = F.floor(h / 10)
-    from_ = g % n
+    from_ = g % F.greatest(n, F.lit(1))
     period = 1 + F.floor((n - from_) / (3 + g % 8))
     repeated = F.array_join(runs.repeat_from(words, from_, period), " ")
     return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), repeated).otherwise(F.col("text")).alias("text"))
