@@ -1,10 +1,17 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams of ``GRAM`` bytes are learned: one of the target (documents labelled good),
-one of raw text (all documents, labelled or not, but for the labelled ones that the cut is set on). Both count in how
-many documents a bucket occurs; a bucket seen in neither has ratio one. The log ratio of the two, one number per
-bucket, is broadcast (its size is fixed). A document's log weight is the smallest sum of log ratios over any ``PASSAGE`` consecutive n-grams:
-a document is as good as its worst passage, so a few foreign words show in a text of any length.
+one of raw text (all documents, labelled or not, but for the labelled ones that the cut is set on). Each is counted in
+two ways, by occurrences and by documents; the log ratios of target to raw, two numbers per bucket, are broadcast (their
+size is fixed). A bucket seen in neither has ratio one.
+
+* ``log_weight``, what documents are drawn by: the mean over all n-grams of the log ratio of the occurrence models, the
+  log of the importance ratio per n-gram. The n-grams of one document are no independent draws: were their ratios
+  multiplied, a text of a kind that the target holds twice as often would weigh 2**length, not 2, and long texts would
+  crowd out all others.
+* ``log_passage``, what documents are accepted by: the smallest sum of log ratios of the document models, clipped, over
+  any ``PASSAGE`` consecutive n-grams. A document is as good as its worst passage, so a few foreign words show in a text
+  of any length.
 
 The cut below which a document is rejected is set on labelled documents held out from the models, so that it rejects
 as many bad ones as possible, a good one weighing ``GOOD_COST`` bad ones. Resampling draws ``k`` documents without
@@ -12,11 +19,11 @@ replacement with chances in proportion to their weights: the largest ``k`` of lo
 worked out from the id, so every run draws the same.
 
 Target model and cut are fitted on at most ``max_labelled`` labelled documents, those whose ids hash lowest; to the raw
-model, other documents are unlabelled. Null or empty text: weight of the empty passage, 0. Null label: unlabelled; an
+model, other documents are unlabelled. Null or empty text: both logs are 0. Null label: unlabelled; an
 id that is labelled twice is good only if all its labels say so. No labels, or only one kind: nothing is rejected; no
 good ones to learn from: every ratio is one. Null id: noise of the empty id. Repeated rows:
 each is weighed and drawn on its own. Ties: the smaller id. Empty table: no rows. Long texts are worked through in
-slices.
+slices. Extra columns: kept by ``weigh``; the names that it adds are parameters.
 """
 
 from __future__ import annotations
@@ -42,6 +49,7 @@ NOTHING_REJECTED = float("-inf")
 
 @dataclass
 class QualityModel:
+    importance: np.ndarray
     log_ratio: np.ndarray
     cut: float
 
@@ -58,21 +66,34 @@ def buckets(raw: bytes) -> np.ndarray:
 
 
 def _slices(raw: bytes):
-    """Parts whose passages are together those of the text."""
-    step = SLICE
-    for s in range(0, max(1, len(raw) - PASSAGE - GRAM + 2), step):
-        yield raw[s:s + step + PASSAGE + GRAM - 2]
+    """Parts whose passages are together those of the text, each with the number of n-grams that no later part holds."""
+    n = max(1, len(raw) - GRAM + 1)
+    for s in range(0, max(1, n - PASSAGE + 1), SLICE):
+        own = n - s if s + SLICE + PASSAGE > n else SLICE
+        yield raw[s:s + SLICE + PASSAGE + GRAM - 2], own
 
 
-def worst_passage(text: str | None, log_ratio: np.ndarray) -> float:
+def weights(text: str | None, model: QualityModel) -> tuple[float, float]:
+    """``log_weight`` and ``log_passage`` of a text."""
     if not text:
-        return 0.0
-    worst = np.inf
-    for part in _slices(text.encode()):
-        sums = np.concatenate([[0.0], np.cumsum(log_ratio[buckets(part)], dtype=np.float64)])
+        return 0.0, 0.0
+    worst, total, n = np.inf, 0.0, 0
+    for part, own in _slices(text.encode()):
+        at = buckets(part)
+        total += float(model.importance[at[:own]].sum(dtype=np.float64))
+        n += own
+        sums = np.concatenate([[0.0], np.cumsum(model.log_ratio[at], dtype=np.float64)])
         width = min(PASSAGE, len(sums) - 1)
         worst = min(worst, float((sums[width:] - sums[:-width]).min()))
-    return worst
+    return total / n, worst
+
+
+def _log_ratio(target: np.ndarray, raw: np.ndarray, pseudo: float) -> np.ndarray:
+    """Log of the target's share of a bucket over the raw text's, both smoothed towards the raw shares."""
+    if not target.any():
+        return np.zeros(len(raw))
+    share = target.sum() / raw.sum()
+    return np.log(target + pseudo * share) - np.log(raw + pseudo) - np.log(share)
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -104,47 +125,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = 1 << BITS
 
     def count(batches):
-        seen = np.zeros((2, size), np.int32)
+        seen = np.zeros((4, size), np.int64)
         for b in batches:
             for text, is_good in zip(b.column(0), b.column(1).to_pylist()):
-                own = np.unique(buckets((text.as_py() or "").encode()))
-                seen[1, own] += 1
+                own, times = np.unique(buckets((text.as_py() or "").encode()), return_counts=True)
+                seen[2, own] += times
+                seen[3, own] += 1
                 if is_good:
-                    seen[0, own] += 1
-        at = np.nonzero(seen[1])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at].astype(np.int64)),
-                                          pa.array(seen[1, at].astype(np.int64))], names=["bucket", "target", "raw"])
-
-    learned = rows.where(~labelled | ~held_out).select("_text", "_good").mapInArrow(count, "bucket int, target bigint, raw bigint")
-    got = learned.groupBy("bucket").agg(F.sum("target").cast("int").alias("target"), F.sum("raw").alias("raw")).toArrow()
-    target, raw = np.zeros(size), np.zeros(size)  # at most 2**BITS rows of three numbers
-    at = got["bucket"].to_numpy()
-    target[at], raw[at] = got["target"].to_numpy(), got["raw"].to_numpy()
-    ratio = np.zeros(size)
-    if target.any():
-        share = target.sum() / raw.sum()
-        ratio = np.log(target + pseudo * share) - np.log(raw + pseudo) - np.log(share)
-    log_ratio = np.clip(ratio, -LIMIT, LIMIT).astype(np.float32)
-    model = QualityModel(log_ratio, NOTHING_REJECTED)
-    checked = weigh(rows.where(labelled & held_out), model, "_text", "_weight").select("_weight", "_good").toArrow()
+                    seen[0, own] += times
+                    seen[1, own] += 1
+        at = np.nonzero(seen[3])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(row[at]) for row in seen)],
+                                         names=["bucket", *counted])
+
+    counted = ["target", "target_docs", "raw", "raw_docs"]
+    learned = (rows.where(~labelled | ~held_out).select("_text", "_good")
+               .mapInArrow(count, "bucket int, " + ", ".join(f"{c} bigint" for c in counted)))
+    # at most 2**BITS rows of five numbers
+    got = learned.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in counted]).toArrow()
+    sums = {c: np.zeros(size) for c in counted}
+    for c in counted:
+        sums[c][got["bucket"].to_numpy()] = got[c].to_numpy()
+    by_document = _log_ratio(sums["target_docs"], sums["raw_docs"], pseudo)
+    model = QualityModel(_log_ratio(sums["target"], sums["raw"], pseudo).astype(np.float32),
+                         np.clip(by_document, -LIMIT, LIMIT).astype(np.float32), NOTHING_REJECTED)
+    checked = weigh(rows.where(labelled & held_out), model, "_text", "_weight", "_passage").select("_passage", "_good").toArrow()
     if checked.num_rows:
-        model.cut = best_cut(checked["_weight"].to_numpy(), np.array(checked["_good"].to_pylist(), bool))
+        model.cut = best_cut(checked["_passage"].to_numpy(), np.array(checked["_good"].to_pylist(), bool))
     return model
 
 
-def weigh(docs: DataFrame, model: QualityModel, text_col: str = "text", weight_col: str = "log_weight") -> DataFrame:
-    """``docs`` with the log weight added under a name that it does not have yet."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
+def weigh(docs: DataFrame, model: QualityModel, text_col: str = "text", weight_col: str = "log_weight",
+          passage_col: str = "log_passage") -> DataFrame:
+    """``docs`` with ``log_weight`` and ``log_passage`` added under names that it does not have yet."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        ratio = shared.value
         for b in batches:
-            weights = [worst_passage(t.as_py(), ratio) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(weights, pa.float64())],
-                                             names=[*b.schema.names, weight_col])
+            both = np.array([weights(t.as_py(), shared.value) for t in b.column(at)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])],
+                                             names=[*b.schema.names, weight_col, passage_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(weight_col, DoubleType())]))
+    added = [StructField(c, DoubleType()) for c in (weight_col, passage_col)]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def gumbel_key(weight: Column, id_: Column, seed: int = 0) -> Column:
@@ -155,11 +179,11 @@ def gumbel_key(weight: Column, id_: Column, seed: int = 0) -> Column:
 
 
 def resample(weighed: DataFrame, fraction: float, id_col: str = "doc_id", weight_col: str = "log_weight",
-             seed: int = 0) -> DataFrame:
-    """``doc_id``, ``log_weight``, ``gumbel_key``, ``sample_rank`` (from 1) and ``sampled`` (among the first
-    ``fraction`` of all rows, rounded up)."""
+             seed: int = 0, keep: tuple = ()) -> DataFrame:
+    """``doc_id``, ``log_weight``, ``gumbel_key``, ``sample_rank`` (from 1), ``sampled`` (among the first
+    ``fraction`` of all rows, rounded up) and the ``keep`` columns."""
     keyed = weighed.select(F.col(id_col).alias("doc_id"), F.col(weight_col).alias("log_weight"),
-                           gumbel_key(F.col(weight_col), F.col(id_col), seed).alias("gumbel_key"), F.lit(1).alias("one"))
+                           gumbel_key(F.col(weight_col), F.col(id_col), seed).alias("gumbel_key"), F.lit(1).alias("one"), *keep)
     ranked = total_order(keyed, [F.col("gumbel_key").desc(), F.col("doc_id")], measure="one", name="gumbel")
     return ranked.select("doc_id", "log_weight", "gumbel_key", (F.col("_rank") + 1).alias("sample_rank"),
-                         (F.col("_rank") < F.ceil(F.col("_total") * fraction)).alias("sampled"))
+                         (F.col("_rank") < F.ceil(F.col("_total") * fraction)).alias("sampled"), *keep)

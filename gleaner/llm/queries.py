@@ -204,11 +204,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of all documents, drawn by weight; ``accepted``: not rejected by the classifier."""
+    """Half of all documents, drawn by importance; ``accepted``: not rejected by the classifier."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
-    drawn = quality.resample(quality.weigh(docs, model).select("doc_id", "log_weight"), 0.5)
-    return drawn.withColumn("accepted", F.col("log_weight") >= F.lit(model.cut))
+    weighed = quality.weigh(docs, model).withColumn("accepted", F.col("log_passage") >= F.lit(model.cut))
+    return quality.resample(weighed, 0.5, keep=("accepted", "log_passage"))
 
 
 # ------------------------------------------------------------------------------------------------------- sharding

@@ -1,7 +1,9 @@
 import math
+import struct
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from gleaner.llm import langid, quality
@@ -94,38 +96,79 @@ def _labelled(spark):
 def test_quality_rejects_bad_and_keeps_good(spark):
     docs, labels = _labelled(spark)
     model = quality.fit(docs, labels)
-    got = {r.doc_id: r.log_weight for r in quality.weigh(docs, model).collect()}
+    got = {r.doc_id: r.log_passage for r in quality.weigh(docs, model).collect()}
     good = [w for i, w in got.items() if i is not None and i < 300]
     bad = [w for i, w in got.items() if i is not None and 1000 <= i < 3000]
     assert max(bad) < model.cut <= min(good)
     assert got[5000] == got[5001] == 0.0 and got[5002] >= model.cut
 
 
+def _rebuilt(rows, good):
+    """Model, passage scores of the held-out labelled rows, and occurrences in raw text, counted one text at a time."""
+    size = 1 << quality.BITS
+    target, raw, held = np.zeros((2, size)), np.zeros((2, size)), []
+    for i, t in rows:
+        if i in good and zlib.crc32(str(i).encode()) % 4 == 2:
+            held.append((i, t))
+            continue
+        for b in quality.buckets((t or "").encode()).tolist():
+            raw[0, b] += 1
+            target[0, b] += bool(good.get(i))
+        own = np.unique(quality.buckets((t or "").encode()))
+        raw[1, own] += 1
+        target[1, own] += bool(good.get(i))
+    ratios = []
+    for t, r in zip(target, raw):
+        share = t.sum() / r.sum()
+        ratios.append(np.log(t + share) - np.log(r + 1) - np.log(share))
+    model = quality.QualityModel(ratios[0], np.clip(ratios[1], -quality.LIMIT, quality.LIMIT), 0.0)
+    return model, held, raw[0]
+
+
+def _mean_and_worst(text, model):
+    at = quality.buckets(text.encode()) if text else None
+    if at is None:
+        return 0.0, 0.0
+    v = np.concatenate([[0.0], np.cumsum(model.log_ratio[at])])
+    w = min(quality.PASSAGE, len(at))
+    return model.importance[at].mean(), (v[w:] - v[:-w]).min()
+
+
 def test_raw_model_covers_unlabelled_documents(spark):
     texts = [(i, f"sentence {i} of the house", i < 40) for i in range(60)] + [(i, f"foreign {i} zorgblat", None) for i in range(100, 700)]
     docs = spark.createDataFrame([t[:2] for t in texts] + [(None, "nameless")], "doc_id bigint, text string").repartition(4)
     labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in texts if g is not None], "doc_id bigint, quality int, toxic int")
-    target, raw = np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS)
-    for i, t, good in [*texts, (None, "nameless", None)]:
-        own = np.unique(quality.buckets(t.encode()))
-        if good is None or zlib.crc32(str(i).encode()) % 4 != 2:
-            raw[own] += 1
-            target[own] += bool(good)
-    share = target.sum() / raw.sum()
-    want = np.clip(np.log(target + share) - np.log(raw + 1) - np.log(share), -quality.LIMIT, quality.LIMIT)
-    assert raw.max() >= 600 and np.allclose(quality.fit(docs, labels).log_ratio, want, atol=1e-5)
-    assert not quality.fit(docs, labels.where("quality = 0")).log_ratio.any()
-
-
-def test_worst_passage_matches_brute_force(monkeypatch):
-    ratio = np.random.default_rng(3).normal(size=1 << quality.BITS).astype(np.float32)
-    text = "straße und haus " * 30
-    v = ratio[quality.buckets(text.encode())].astype(float)
-    want = min(v[i:i + 32].sum() for i in range(len(v) - 31))
-    assert abs(quality.worst_passage(text, ratio) - want) < 1e-6
-    monkeypatch.setattr(quality, "SLICE", 50)
-    assert abs(quality.worst_passage(text, ratio) - want) < 1e-6
-    assert quality.worst_passage(None, ratio) == quality.worst_passage("", ratio) == 0.0
+    model = quality.fit(docs, labels)
+    want, _, raw = _rebuilt([(i, t) for i, t, _ in texts] + [(None, "nameless")], {i: g for i, _, g in texts if g is not None})
+    assert raw.max() >= 600 and np.allclose(model.importance, want.importance, atol=1e-5)
+    assert np.allclose(model.log_ratio, want.log_ratio, atol=1e-5)
+    none = quality.fit(docs, labels.where("quality = 0"))
+    assert not none.log_ratio.any() and not none.importance.any()
+
+
+def test_weights_match_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(*(rng.normal(size=1 << quality.BITS).astype(np.float32) for _ in range(2)), 0.0)
+    texts = ["straße und haus " * 30, "a", "six by", "x" * 37, "y z " * 10, "word " * 21 + "w"]
+    for size in (1 << 20, 50, 7, 1):
+        monkeypatch.setattr(quality, "SLICE", size)
+        for text in texts:
+            assert np.allclose(quality.weights(text, model), _mean_and_worst(text, model), atol=1e-5)
+    assert quality.weights(None, model) == quality.weights("", model) == (0.0, 0.0)
+
+
+def test_draws_follow_the_target(spark):
+    """Raw text is half of either kind, the target three quarters of one: so are the draws, whatever the length."""
+    rng = np.random.default_rng(5)
+    kinds = ["the garden and the house were calm and clear".split(), "stock prices fell again while bonds rose".split()]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2], 20 + i % 400))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1600) if i % 2 == 0 or i % 6 == 1],
+                                   "doc_id bigint, quality int, toxic int")
+    weighed = quality.weigh(docs, quality.fit(docs, labels))
+    drawn = quality.resample(weighed.where("doc_id >= 1600"), 0.1).where("sampled").toPandas()["doc_id"]
+    assert 0.68 < (drawn % 2 == 0).mean() < 0.82
+    assert 150 < (drawn % 400).mean() < 250
 
 
 def test_cut_and_missing_labels(spark, empty_docs):
@@ -148,6 +191,30 @@ def test_gumbel_top_k(spark):
     assert set(again[again["sampled"]]["doc_id"]) == set(drawn[drawn["sampled"]]["doc_id"])
 
 
+def test_op9_matches_a_rebuilt_one(spark):
+    """Every row of the query: models, cut, weights, noise, rank and both decisions, worked out without Spark."""
+    docs = sorted(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    good = {r.doc_id: r.quality == 1 and (r.toxic or 0) == 0 for r in labels if r.quality is not None}
+    model, held, _ = _rebuilt(docs, good)
+    cut = quality.best_cut(np.array([_mean_and_worst(t, model)[1] for _, t in held]), np.array([good[i] for i, _ in held]))
+    want = {}
+    seed = xxhash.xxh64(struct.pack("<i", 0), seed=42).intdigest()
+    for i, t in docs:
+        mean, worst = _mean_and_worst(t, model)
+        uniform = ((xxhash.xxh64(str(i), seed=seed).intdigest() >> 11) + 0.5) / (1 << 53)
+        want[i] = (mean, mean - math.log(-math.log(uniform)), worst)
+    ranked = sorted(want, key=lambda i: (-want[i][1], i))
+    got = {r.doc_id: r for r in op9(spark, SF).collect()}
+    assert sorted(got) == sorted(want) and sorted(r.sample_rank for r in got.values()) == list(range(1, len(docs) + 1))
+    for rank, i in enumerate(ranked, 1):
+        r = got[i]
+        assert np.allclose((r.log_weight, r.gumbel_key, r.log_passage), want[i], atol=1e-4)
+        assert abs(want[ranked[r.sample_rank - 1]][1] - want[i][1]) < 1e-4  # the rank, but for rounding
+        assert r.sampled == (r.sample_rank <= math.ceil(len(docs) / 2))
+        assert r.accepted == (want[i][2] >= cut) or abs(want[i][2] - cut) < 1e-3
+
+
 def test_op9_covers_all_documents(spark):
     got = op9(spark, SF).toPandas()
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
