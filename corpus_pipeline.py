@@ -42,8 +42,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     plain, at = _plain(docs)
     labels = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     model = quality.fit(plain, labels, at["doc_id"], at["text"])
-    weighed = quality.weigh(plain, model, at["text"], "weight")
-    return weighed.where(F.col("weight") >= F.lit(model.cut)).drop("weight").toDF(*docs.columns)
+    weighed = quality.weigh(plain, model, at["text"], "weight", "passage")
+    return weighed.where(F.col("passage") >= F.lit(model.cut)).drop("weight", "passage").toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
