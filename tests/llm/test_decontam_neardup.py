@@ -46,6 +46,43 @@ def test_contamination_matches_brute_force(spark, docs, doc_list, window):
         assert sum(s.end - s.start for s in r.spans) == r.n_hit
 
 
+@pytest.mark.parametrize("window", [1, 3, 13, 70])
+def test_windows_across_blocks(spark, window):
+    """Long documents and items over many blocks, copies, repeated ids, null ids, passages next to block bounds."""
+    rng = random.Random(window)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(k, " ".join(rng.choices(vocab, k=k))) for k in (5, 12, 13, 14, 69, 70, 71, 150, 300)]
+    rows = []
+    for k in range(60):
+        words = rng.choices(vocab, k=rng.choice([0, 63, 64, 65, 128, 700]))
+        for _ in range(3):
+            source = rng.choice(items)[1].split()
+            begin, n, at = rng.randrange(len(source)), rng.randint(1, 200), rng.choice([0, 50, 52, 63, 64, 65, 115, 128, len(words)])
+            words[at:at] = source[begin:begin + n]
+        rows.append((rng.choice([None, 1, 2, k + 10]), " ".join(words)))
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = decontam.find_contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"), window=window).collect()
+    windows = _windows(items, window)
+    want = sorted(((d, *_brute(t, windows)) for d, t in rows), key=str)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == want
+    assert sum(w[2] > 0 for w in want) > 20
+    for r in got:
+        assert sum(s.end - s.start for s in r.spans) == r.n_hit
+        assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
+
+
+def test_one_text_that_repeats_a_passage(spark):
+    """Alignments of one document are spread over its blocks; a third of the rows are copies of it."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    text = " ".join([passage, "and then"] * 2000)
+    docs = spark.createDataFrame([(i, text if i % 3 == 0 else f"clean text {i}") for i in range(30)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, passage), (2, passage + " and"), (3, "clean other")], "item_id bigint, text string")
+    got = decontam.find_contamination(docs, items).collect()
+    assert {(r.n_words, r.n_hit, tuple(r["items"])) for r in got if r.doc_id % 3 == 0} == {(44000, 42000, ("1", "2"))}
+    assert all(r.n_hit == 0 for r in got if r.doc_id % 3)
+
+
 def test_no_items_or_no_documents(spark, docs, doc_list, empty_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     got = decontam.find_contamination(docs, none).collect()
