@@ -38,6 +38,7 @@ from .common import materialize, text_groups
 
 BITS = 24
 BLOCK = 64
+SALTS = 32
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
                     for b in range(256))
 
@@ -308,9 +309,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     marks = (hits.groupBy("doc", "block").agg(F.bit_or("hits").alias("hits"))
              .groupBy("doc").agg(F.collect_list(F.struct("block", "hits")).alias("_marks")))
     held = hits.groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("_items"))
-    per_doc = marks.join(held, "doc")
-    rows = docs.select(text_key(text_col).alias("_key"), *dict.fromkeys([id_col, text_col, *keep]))
-    joined = rows.join(per_doc, rows["_key"] == per_doc["doc"], "left").drop("_key", "doc")
+    # copies are dealt over SALTS tasks; what was found in their text, a small row, goes to each
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    per_doc = marks.join(held, "doc").select(F.col("doc").alias("_doc"), salts.alias("_for"), "_marks", "_items")
+    rows = docs.select(text_key(text_col).alias("_key"), (F.monotonically_increasing_id() % SALTS).alias("_salt"),
+                       *dict.fromkeys([id_col, text_col, *keep]))
+    met = (F.col("_key") == F.col("_doc")) & (F.col("_salt") == F.col("_for"))
+    joined = rows.join(per_doc, met, "left").drop("_key", "_salt", "_doc", "_for")
     passed = [c for c in dict.fromkeys([id_col, *keep])]
     at_text, at_marks, at_items = (joined.columns.index(c) for c in (text_col, "_marks", "_items"))
 
