@@ -109,3 +109,47 @@ def test_page_blocks_of_nested_unclosed_and_linked_text(spark):
     assert got[4] == [(0, 0, "no tags at all, but text enough for a block", 0, True)]
     assert got[5] == [(2, 0, "below zero", 0, False), (3, 1, "up", 0, False)]
     assert got[6] == [(0, 0, "a < b <c", 0, False)] and set(got) == {1, 4, 5, 6}
+
+
+def test_named_references_go_in_one_pass(spark):
+    texts = ["a &amp;lt; b", "&lt;p&gt;&nbsp;x", "&&lt;;", "&amp", "&am&amp;p;", "&bogus; &copy;&reg", "&&&", "", "no reference",
+             "&#38;lt; &#38;#39;", "&hellip;&mdash;;&apos;", "&AMP; &Lt;", "&" + "l" * 300 + "; &lt;"]
+
+    def one_by_one(t):
+        for a, b in XT.ENTITIES:
+            t = t.replace(a, b)
+        return t
+
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for r in df.withColumn("got", XT.named_references("t")).collect():
+        assert r.got == (None if r.t is None else one_by_one(r.t)), r.t
+    assert {r.u for r in df.select(XT.unescape("t").alias("u")).collect()} >= {"< '", "a &lt; b"}
+
+
+def test_regions_as_by_their_patterns(spark):
+    import re
+
+    pages = ["<body>" * 3 + "x", "<article>a</article><article>b</article>", "<article></article><main>m</main>", "</main><main>m",
+             "<MAIN class='x'>m</main >y", "<article </article>z<body>b</body>", "<articles>a</articles><body\n>b</body>", "plain",
+             "<article>a<article></article>", "<main></main><body></body>", "<body>b</body></body>tail"]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    for r in XT.extract(df, "html").collect():
+        found = [m.group(1) for p in XT.REGION_PATTERNS if (m := re.search(p, r.html)) and m.group(1)]
+        text = re.sub(XT.TAG_STEP[0], " ", re.sub(XT.INLINE_STEP[0], "", (found or [r.html])[0]))
+        assert r.plaintext == " ".join(text.split()), r.html
+
+
+def test_collapse_of_all_kinds_of_whitespace(spark):
+    import itertools
+
+    kinds = [" ", "\t", "\n", "\x0b", "\u00a0", "\ufeff", "\u3000", "\u2029", "x", "\u00e9", "\U0001F600"]
+    texts = ["".join(c) for n in range(4) for c in itertools.product(kinds, repeat=n)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.collapse_ws("t").alias("got"))
+    for r in df.collect():
+        assert r.got == " ".join(w for w in r.t.translate({ord(k): " " for k in kinds[:8]}).split(" ") if w)
+
+
+def test_no_step_of_the_extraction_is_planned_twice(spark):
+    """An expression that is written out twice runs twice."""
+    plan = XT.extract(spark.createDataFrame([("x",)], "html string"), "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("abbr|cite") == 1 and plan.count("noscript") == 2  # the element's opening and closing tag
