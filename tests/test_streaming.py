@@ -205,3 +205,50 @@ def test_dedupe_stream_keeps_the_first_of_each_key(spark):
          .trigger(availableNow=True).start().awaitTermination())
         seen = sorted(r.seq for r in spark.read.schema(schema).parquet(f"{root}/out").collect())
     assert seen == [1, 2, 4, 6, 7]  # 5 came before the watermark had passed the first a by two days
+
+
+def test_ingest_does_not_move_rows_by_their_host(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators import allowlist as A
+    from gleaner.sources import allowlist as AS
+    from gleaner.streaming import ingest as SI
+
+    al = AS.from_rows(spark, [dict(domain="tides.example", purpose="x", ttl_class="airline", added_at="2024-01-01")])
+    url = F.concat(F.when(F.col("id") % 3 == 0, "https://elsewhere.example/").otherwise("https://www.tides.example/"), "id")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = spark.range(2000).select(
+        url.alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
+        F.encode(F.concat(F.lit("<p>"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20)), "UTF-8").alias("body"),
+        null("string").alias("error_name"), null("string").alias("final_url"), F.col("id").alias("crawl_seq"),
+        F.timestamp_seconds("id").alias("fetched_at"), F.lit("a").alias("requesting_agent_id"), F.lit("t").alias("task_id"))
+    rows.write.parquet(f"{tmp_path}/in")
+    batch = spark.read.schema(SI.FETCHED).parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    kept = A.host_entries(batch, "url", al).persist()
+    try:
+        assert kept.count() == 1
+        pages = SI.page_rows(batch, al, entries=kept)
+        plan = pages._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [__gl_host" in plan and "SortMergeJoin [__gl_host" not in plan
+        assert sorted(pages.collect()) == sorted(SI.page_rows(batch, al).collect()) and pages.count() == 1333
+    finally:
+        kept.unpersist()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_crawl_rows_without_redirect_do_not_meet_in_one_task(spark):
+    from gleaner.sources import fixtures as FX
+
+    SF_SMALL = "/root/testdata/sf0.001"
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [len(p) for p in FX.redirecting_crawl(spark, SF_SMALL).where("crawl_seq = 1").select("url", "final_url").rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < sum(sizes) / 2
