@@ -6,8 +6,9 @@ from the checkpoint after a restart and, if asked, expires some time after the t
 
 Within a micro-batch the first ``cap`` requests of a task in order of arrival are admitted. A row that ``cap`` rows of its
 task precede within one Arrow batch can never be among them, so it is marked before the shuffle, and marked rows, like
-lines that were refused before, are dealt out by a salt: of a task with a third of all rows at most ``cap`` rows per Arrow
-batch meet in a task. The state function keeps ``cap`` rows besides the chunk in hand.
+lines that were refused before, are dealt out by a salt alone: of a task with a third of all rows at most ``cap`` rows per
+Arrow batch meet in a task, and decided rows make ``SALTS`` groups of a micro-batch, however many tasks they belong to. The
+state function keeps ``cap`` rows besides the chunk in hand.
 
 Order of arrival across micro-batches is the order in which the file source takes up files (oldest first); within one it is
 (ts, file_path, block_start, place), as in ``sources.requests``.
@@ -50,6 +51,14 @@ def _mark(cap: int):
     return work
 
 
+def keyed(rows: DataFrame, cap: int) -> DataFrame:
+    """Rows with the groups they are counted in, (``source_ref``, ``salt``): the task's for rows that may be admitted, for
+    the others only a salt. ``ref`` keeps the task."""
+    marked = rows.mapInArrow(_mark(cap), "source_ref string, code string, ts timestamp, file_path string, "
+                                         "block_start long, place long, salt int")
+    return marked.withColumns({"ref": F.col("source_ref"), "source_ref": F.when(F.col("salt") == 0, F.col("source_ref"))})
+
+
 class TaskBudget(StatefulProcessor):
     """Admits the first ``cap`` requests of a task, over all micro-batches."""
 
@@ -62,28 +71,35 @@ class TaskBudget(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         source_ref, salt = key
 
-        def told(part: pd.DataFrame, code: str | None = None) -> pd.DataFrame:
-            out = part[["file_path", "block_start", "place", "source_ref", "code"]]
-            return out if code is None else out.assign(code=code)
+        def told(part: pd.DataFrame, code) -> pd.DataFrame:
+            return pd.DataFrame({"file_path": part["file_path"], "block_start": part["block_start"], "place": part["place"],
+                                 "source_ref": part["ref"], "code": code})
 
         if salt:
             for chunk in rows:
-                yield told(chunk.assign(code=chunk["code"].where(chunk["code"].notna(), "budget_exhausted")))
+                yield told(chunk, chunk["code"].where(chunk["code"].notna(), "budget_exhausted"))
+            return
+        if source_ref is None:  # no task, no budget
+            for chunk in rows:
+                yield told(chunk, "admitted")
             return
-        before = self.used.get()[0] if self.used.exists() else 0
-        left = max(self.cap - before, 0) if source_ref is not None else None
+        used = self.used.get()
+        before = used[0] if used else 0
+        left = max(self.cap - before, 0)
         first = None
         for chunk in rows:
-            if left is None:  # no task, no budget
-                yield told(chunk, "admitted")
-                continue
-            seen = (chunk if first is None else pd.concat([first, chunk])).sort_values(ORDER, kind="stable")
-            first = seen.iloc[:left]
-            if len(seen) > left:
-                yield told(seen.iloc[left:], "budget_exhausted")
+            if first is not None:  # the first ones so far, and what is new
+                yield told(first.iloc[left:], "budget_exhausted")
+                chunk = pd.concat([first.iloc[:left], chunk])
+            if len(chunk) > 1:
+                order = list(zip(*(chunk[c].tolist() for c in ORDER)))
+                chunk = chunk.take(sorted(range(len(order)), key=order.__getitem__))
+            first = chunk
         if first is not None and len(first):
-            self.used.update((before + len(first),))
-            yield told(first, "admitted")
+            n = min(left, len(first))
+            if n:
+                self.used.update((before + n,))
+            yield told(first, np.where(np.arange(len(first)) < n, "admitted", "budget_exhausted"))
 
     def close(self) -> None:
         pass
@@ -97,9 +113,7 @@ def admission_stream(lines: DataFrame, cap: int = S.OPS_PER_TASK, ttl_ms: int |
     refused = (F.when(F.col("parse_error").isNotNull(), F.lit("bad_query"))
                .when(~F.col("valid"), F.lit("validation_failed")))
     rows = checked.select(F.when(F.col("valid"), F.col("env_source_ref")).alias("source_ref"), refused.alias("code"), *ORDER)
-    marked = rows.mapInArrow(_mark(cap), "source_ref string, code string, ts timestamp, file_path string, "
-                                         "block_start long, place long, salt int")
-    return marked.groupBy("source_ref", "salt").transformWithStateInPandas(
+    return keyed(rows, cap).groupBy("source_ref", "salt").transformWithStateInPandas(
         TaskBudget(cap, ttl_ms), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None")
 
 

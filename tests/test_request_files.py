@@ -114,3 +114,32 @@ def test_stream_admission_forgets_after_its_ttl(spark, tmp_path):
     put(tmp_path / "in", "2.ndjson", [fetch_line("task:a")] * 3, 2)
     out = admitted(spark, tmp_path, cap=2, ttl_ms=1)
     assert [out["2.ndjson", i] for i in range(3)] == ["admitted", "admitted", "budget_exhausted"]
+
+
+def test_lines_of_a_stream_keep_their_numbers_when_files_are_split(spark):
+    from gleaner.plans import q_requests, q_streaming
+
+    SF_SMALL = "/root/testdata/sf0.001"
+
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")  # splits by the bytes of each read and the cores
+    try:
+        lines = RS.numbered_lines(RS.read_lines(spark, q_requests.text_dir(spark, SF_SMALL))).where("trim(value) <> ''")
+        got = q_streaming.stream_admission(spark, SF_SMALL)
+        assert sorted(r.line for r in got.collect()) == sorted(r.seq for r in lines.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_decided_rows_make_few_groups(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000, numPartitions=1).select(
+        F.concat(F.lit("task:"), F.col("id") % 30).alias("source_ref"), F.lit(None).cast("string").alias("code"),
+        F.timestamp_seconds("id").alias("ts"), F.lit("f").alias("file_path"), F.lit(0).cast("long").alias("block_start"),
+        F.col("id").alias("place"))
+    out = SA.keyed(rows, 5)
+    assert out.select("source_ref", "salt").distinct().count() <= 30 + SA.SALTS
+    assert out.where("salt = 0").count() == 150 and out.select("ref").distinct().count() == 30
