@@ -28,11 +28,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,10 +44,14 @@ END = b"\xff"  # no UTF-8 text holds this byte
 START = b"\0" * ORDER
 SYMBOLS = 256
 SLICE = 1 << 20
+MERGE = 1 << 20  # so many grams of slices are held at least before they are merged
+TEXTS = 1 << 16  # of a slice at most: a gram and its text's number in the slice share 64 bits
 GRAMS, WORDS, TOTALS = 0, 1, 2
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def words_of(text: str | None) -> list:
+    """The words of one text; ``words`` finds those of a slice."""
     return text.encode().lower().split() if text else []
 
 
@@ -58,32 +61,95 @@ def slices(texts: list):
     for i, t in enumerate(texts):
         held.append(START + (t.encode().lower() if t else b"") + END)
         size += len(held[-1])
-        if size >= SLICE or i == len(texts) - 1:
+        if size >= SLICE or len(held) == TEXTS or i == len(texts) - 1:
             yield begin, i + 1, held
             held, size, begin = [], 0, i + 1
 
 
 def grams(parts: list, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that ends at each symbol of the texts, oldest byte highest, and how many each text has."""
-    flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    key = np.zeros(len(flat) - ORDER, np.int64)
-    for j in range(ORDER - order, ORDER + 1):
-        key = (key << 8) | flat[j:len(flat) - ORDER + j]
+    """The gram of order ``ORDER`` or ``LOW`` that ends at each symbol of the texts, oldest byte highest, and how many
+    each text has."""
+    flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.int32)
+    low = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
+    key = low[LOW + 1:] if order == LOW else low[:-LOW - 1].astype(np.int64) << 24 | low[LOW + 1:]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     first = np.cumsum(lengths) - lengths  # of a text's START; its grams end ORDER symbols later and on
     keep = np.ones(len(key), bool)
-    for f in first[1:]:
-        keep[f - ORDER:f] = False  # these straddle two texts
+    keep[np.add.outer(first[1:], np.arange(-ORDER, 0))] = False  # these straddle two texts
     return key[keep], lengths - ORDER
 
 
+def words(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lengths of the texts' words, their bytes without what is between them, and how many each text has."""
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    inside = ~SPACE[flat]
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    inside[np.add.outer(ends[:-1], np.arange(ORDER))] = inside[:ORDER] = inside[ends - 1] = False  # START and END
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return ((edges[1::2] - edges[::2]).astype(np.int32), flat[inside],
+            np.diff(np.searchsorted(edges[::2], ends), prepend=0))
+
+
+def vocabulary(found: list) -> tuple[np.ndarray, pa.Array]:
+    """From the slices' ``words``: every word's place in the list of different words, and that list."""
+    lengths = np.concatenate([own for own, _, _ in found])
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    data = pa.py_buffer(np.concatenate([own for _, own, _ in found]))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), data]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def distinct(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of an ordered array, and how often each occurs."""
+    first = np.flatnonzero(np.append(len(ordered) > 0, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.diff(first, append=len(ordered))
+
+
+def merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """One ascending list of keys with the sums of their counts, from several."""
+    keys = np.concatenate([own for own, _ in found])
+    ascending = np.argsort(keys)
+    keys, n = distinct(keys[ascending])
+    return keys, np.add.reduceat(np.concatenate([own for _, own in found])[ascending], np.cumsum(n) - n)
+
+
+class Slices:
+    """Counts of the slices' grams, merged each time that the new ones outnumber those merged before."""
+
+    def __init__(self):
+        self.parts, self.new = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray):
+        self.parts.append((keys, counts))
+        self.new += len(keys)
+        if self.new > max(MERGE, len(self.parts[0][0])):
+            self.parts, self.new = [merged(self.parts)], 0
+
+
 def tail(gram: np.ndarray, bytes_: int) -> np.ndarray:
     return gram & np.int64((1 << 8 * bytes_) - 1)
 
 
-def gram_bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
-    """By the three bytes before the last."""
-    return (mix64(tail(gram >> 8, LOW + 1)) % np.uint64(buckets)).astype(np.int64)
+def in_buckets(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by bucket, else as they were, and where each bucket begins and ends."""
+    narrow = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # 16 bits are sorted in linear time
+    return np.argsort(narrow, kind="stable"), np.append(0, np.cumsum(np.bincount(narrow, minlength=buckets)))
+
+
+def gram_order(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending grams by bucket, dealt by the three bytes before the last."""
+    return in_buckets(mix64(tail(gram >> 8, LOW + 1)) % np.uint64(buckets), buckets)
+
+
+def word_order(different: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Ascending words by bucket, dealt by checksum, where each bucket begins and ends, and the words as a list."""
+    whole = pa.LargeListArray.from_arrays([0, len(different)], different)
+    listed = pc.binary_join(whole, pa.scalar(b" ", different.type))[0].as_py().split()
+    ascending = pc.array_sort_indices(different).to_numpy()
+    bucket = np.fromiter(map(zlib.crc32, listed), np.int64, len(listed)) % buckets
+    order, edges = in_buckets(bucket[ascending], buckets)
+    return ascending[order], edges, listed
 
 
 class Sums:
@@ -142,44 +208,29 @@ def log_probability(gram: np.ndarray, trie: list) -> np.ndarray:
 
 def _chunk_requests(chunk: int, texts: list, training: np.ndarray, buckets: int):
     """What a chunk asks of the buckets: its different grams and words in order, with their training counts."""
-    found, learned = [], []
+    found, worded = Slices(), []
     for s, e, parts in slices(texts):
         key, sizes = grams(parts)
-        codes, different = pd.factorize(key)
-        found.append(different)
-        learned.append(np.bincount(codes, np.repeat(training[s:e], sizes), len(different)))
-    codes, keys = pd.factorize(np.concatenate(found))
-    counts = np.bincount(codes, np.concatenate(learned), len(keys))
-    ascending = np.argsort(keys)
-    keys, counts = keys[ascending], counts[ascending]
-    bucket = gram_bucket(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = []
-    for b in np.nonzero(np.diff(edges))[0].tolist():
-        own = order[edges[b]:edges[b + 1]]
-        rows.append((b, chunk, GRAMS, keys[own].tobytes(), counts[own].astype(np.int64).tobytes()))
-    words = Counter()
-    for t, learn in zip(texts, training):
-        if learn:
-            words.update(words_of(t))
-    for t, learn in zip(texts, training):
-        if not learn:
-            words.update(dict.fromkeys([w for w in words_of(t) if w not in words], 0))
-    for b, own in word_lists(words, buckets):
-        counted = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
-        rows.append((b, chunk, WORDS, b" ".join(own), counted.tobytes()))
+        marked, n = distinct(np.sort(key << 1 | np.repeat(training[s:e], sizes)))
+        found.add(marked >> 1, n * (marked & 1))
+        worded.append(words(parts))
+    keys, counts = merged(found.parts)
+    order, edges = gram_order(keys, buckets)
+    keys, counts, rows = keys[order], counts[order], []
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        own = slice(edges[b], edges[b + 1])
+        rows.append((b, chunk, GRAMS, keys[own].tobytes(), counts[own].tobytes()))
+    at, different = vocabulary(worded)
+    learned = np.repeat(training, np.concatenate([sizes for _, _, sizes in worded]))
+    counts = np.bincount(at[learned], minlength=len(different))
+    order, edges, listed = word_order(different, buckets)
+    counts, listed = counts[order], [listed[i] for i in order.tolist()]
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        own = slice(edges[b], edges[b + 1])
+        rows.append((b, chunk, WORDS, b" ".join(listed[own]), counts[own].tobytes()))
     return rows
 
 
-def word_lists(words, buckets: int) -> list:
-    """(bucket, its words in order) for the buckets that have any."""
-    lists: dict = {}
-    for w in words:
-        lists.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return [(b, sorted(lists[b])) for b in sorted(lists)]
-
-
 _ASKED = "bucket int, chunk bigint, kind int, keys binary, counts binary"
 _ANSWERED = "bucket int, chunk bigint, kind int, answer binary, n bigint, v bigint"
 
@@ -212,14 +263,12 @@ def _answer(low):
         asked = [r for r in table.to_pylist() if r["kind"] == GRAMS]
         if asked:
             keys = [np.frombuffer(r["keys"], np.int64) for r in asked]
-            every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate([np.frombuffer(r["counts"], np.int64) for r in asked]), len(every))
+            every, n = merged([(k, np.frombuffer(r["counts"], np.int64)) for k, r in zip(keys, asked)])
             bottom = low.value
             trie = bottom + levels(every[n > 0], n[n > 0], LOW + 1, ORDER, bottom[-1])
-            value, begin = log_probability(every, trie)[at], 0
+            value = log_probability(every, trie)
             for r, k in zip(asked, keys):
-                rows.append((bucket, r["chunk"], GRAMS, value[begin:begin + len(k)].tobytes(), None, None))
-                begin += len(k)
+                rows.append((bucket, r["chunk"], GRAMS, value[np.searchsorted(every, k)].tobytes(), None, None))
         asked = [r for r in table.to_pylist() if r["kind"] == WORDS]
         total: dict = {}
         for r in asked:
@@ -245,50 +294,55 @@ def _score_chunk(buckets: int, n: int, v: int, n_docs: int):
         sent = sorted((r["kind"], r["bucket"], r["answer"]) for r in answers.to_pylist())
         of_gram = np.frombuffer(b"".join(a for k, _, a in sent if k == GRAMS))
         of_word = np.frombuffer(b"".join(a for k, _, a in sent if k == WORDS), np.int64)
-        parts = []
-        for _, _, p in slices(texts):
-            key, sizes = grams(p)
-            codes, different = pd.factorize(key)
-            parts.append((codes.astype(np.int32), different, sizes))
-        keys = np.sort(pd.unique(np.concatenate([different for _, different, _ in parts])))
-        words = set()
-        for t in texts:
-            words.update(words_of(t))
-        in_order = [w for _, own in word_lists(words, buckets) for w in own]
-        if len(keys) != len(of_gram) or len(in_order) != len(of_word):
+        found, worded = [], []
+        for _, _, parts in slices(texts):
+            key, sizes = grams(parts)
+            text = np.repeat(np.arange(len(parts), dtype=np.uint64), sizes)
+            both = np.sort(key.astype(np.uint64) << 16 | text)  # a text's equal grams beside each other
+            own, times = distinct((both >> 16).astype(np.int64))
+            found.append((own, times.astype(np.int32), both.astype(np.uint16), len(parts)))
+            worded.append(words(parts))
+        keys = np.concatenate([own for own, *_ in found])
+        keys.sort()
+        keys, _ = distinct(keys)
+        at, different = vocabulary(worded)
+        if len(keys) != len(of_gram) or len(different) != len(of_word):
             raise RuntimeError("the documents of a chunk differ between two scans of the table")
         value = np.empty(len(keys))
-        value[np.argsort(gram_bucket(keys, buckets), kind="stable")] = of_gram
-        scores = [np.add.reduceat(value[np.searchsorted(keys, different)][codes], np.cumsum(sizes) - sizes)
-                  for codes, different, sizes in parts]
-        base = {w: math.log10((c + 1) / whole) for w, c in zip(in_order, of_word.tolist()) if c > 0}
-        sums, tokens, known = [], [], []
-        for t in texts:
-            own = words_of(t)
-            got = [x for x in map(base.get, own) if x is not None]
-            tokens.append(len(own) + 1)
-            known.append(len(got) + (n_docs > 0))
-            sums.append(math.fsum(got) + (len(own) - len(got)) * unknown + end)
+        value[gram_order(keys, buckets)[0]] = of_gram
+        scores = [np.bincount(text, np.repeat(value[np.searchsorted(keys, own)], times), count)
+                  for own, times, text, count in found]
+        counts = np.empty(len(different), np.int64)
+        counts[word_order(different, buckets)[0]] = of_word
+        value, begin = np.where(counts > 0, np.log10((counts + 1) / whole), 0.0), 0
+        tokens, known, sums = [], [], []
+        for _, _, sizes in worded:
+            stop = np.cumsum(sizes)
+            own = at[begin:begin + stop[-1]]
+            begin += stop[-1]
+            base = value[own].tolist()
+            tokens.append(sizes + 1)
+            known.append(np.diff(np.append(0, np.cumsum(counts[own] > 0))[stop], prepend=0))
+            sums += [math.fsum(base[e - m:e]) + (m - k) * unknown + end
+                     for e, m, k in zip(stop.tolist(), sizes.tolist(), known[-1].tolist())]
         return pa.table({"doc_id": table.column("doc_id"), "training": table.column("training"),
-                         "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                         "train_tokens": pa.array(np.full(len(tokens), n, np.int64)),
-                         "base_score": pa.array(sums, pa.float64()),
-                         "score": np.concatenate(scores or [np.zeros(0)])})
+                         "n_tokens": np.concatenate(tokens), "n_known": np.concatenate(known) + (n_docs > 0),
+                         "train_tokens": pa.array(np.full(len(texts), n, np.int64)),
+                         "base_score": pa.array(sums, pa.float64()), "score": np.concatenate(scores)})
     return run
 
 
 def low_orders(training_texts: DataFrame) -> tuple[list, int]:
     """Levels 0 to LOW over all training texts, and the number of those texts."""
     def count(batches):
-        total, docs = np.zeros(1 << 8 * (LOW + 1), np.int32), 0
+        found, docs = Slices(), 0
         for b in batches:
             texts = b.column(0).to_pylist()
             docs += len(texts)
             for _, _, parts in slices(texts):
-                np.add.at(total, grams(parts, LOW)[0], 1)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], docs).astype(np.int64))],
-                                         names=["gram", "n"])
+                found.add(*distinct(np.sort(grams(parts, LOW)[0])))
+        gram, n = merged([*found.parts, (np.array([-1]), np.array([docs]))])
+        yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
 
     got = training_texts.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     gram, n = got["gram"].to_numpy(np.int64), got["n"].to_numpy(float)

@@ -1,8 +1,10 @@
 import math
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,73 @@ def test_slices_change_nothing(monkeypatch):
     assert keys == [k for w in whole for k in w]
 
 
+def _calls(run):
+    """What ``run`` returns, and how many calls Python made meanwhile (of its own and of built-in functions)."""
+    made = Counter()
+    sys.setprofile(lambda frame, event, arg: made.update([event]))
+    try:
+        out = run()
+    finally:
+        sys.setprofile(None)
+    return out, made["call"] + made["c_call"]
+
+
+def test_no_call_per_word():
+    texts = [" ".join(f"{t}w{i} the" for i in range(500)) for t in range(100)]
+    training = np.arange(100) % 7 != 2
+    asked, requested = _calls(lambda: ppm._chunk_requests(0, texts, training, 16))
+    assert requested < 3000  # 50,001 different words
+    brute = Brute([t for t, learn in zip(texts, training) if learn])
+    answers = pa.Table.from_pylist([{"bucket": b, "kind": kind, "answer": n if kind == ppm.WORDS else bytes(len(n))}
+                                    for b, _, kind, _, n in asked])
+    run = ppm._score_chunk(16, sum(brute.words.values()), len(brute.words), brute.words[None])
+    got, scored = _calls(lambda: run(pa.table({"doc_id": range(100), "text": texts, "training": training}), answers))
+    assert scored < 3000
+    assert np.allclose(got["base_score"], [brute.base(t) for t in texts], rtol=1e-12)
+
+
+def test_words_of_a_slice_are_the_words_of_its_texts(monkeypatch):
+    monkeypatch.setattr(ppm, "TEXTS", 3)
+    texts = ["Ab  aB\x0bc", None, "", " \t\n\r\f ", "\x00 \x1cq\x85 É\u00a0é", "x" * 40, "end", "\x00", " lead"]
+    found = [ppm.words(parts) for _, _, parts in ppm.slices(texts)]
+    assert len(found) == 3
+    at, different = ppm.vocabulary(found)
+    order, edges, listed = ppm.word_order(different, 4)
+    assert [listed[i] for i in at] == [w for t in texts for w in ppm.words_of(t)]
+    assert np.concatenate([sizes for _, _, sizes in found]).tolist() == [len(ppm.words_of(t)) for t in texts]
+    for b in range(4):
+        own = [listed[i] for i in order[edges[b]:edges[b + 1]]]
+        assert own == sorted(w for w in set(listed) if zlib.crc32(w) % 4 == b)
+
+
+def test_merged_slices_change_nothing(monkeypatch):
+    texts = [f"{i % 5} abc {i}" * 3 for i in range(40)] + [None, ""]
+    training = np.arange(42) % 7 != 2
+    whole = ppm._chunk_requests(0, texts, training, 16)
+    monkeypatch.setattr(ppm, "SLICE", 50)
+    monkeypatch.setattr(ppm, "MERGE", 70)
+    assert len(list(ppm.slices(texts))) > 9 and ppm._chunk_requests(0, texts, training, 16) == whole
+
+
+def test_texts_without_a_word(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id bigint, text string").repartition(1)
+    brute = Brute([None, " \n"])
+    for r, t in zip(sorted(ppm.score(rows, F.col("doc_id") != 2).collect()), [None, "", " \n"]):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (1, 1, 2)
+        assert math.isclose(r.score, brute.score(t), rel_tol=1e-9) and math.isclose(r.base_score, brute.base(t), rel_tol=1e-9)
+
+
+def test_more_texts_than_a_slice_can_number(spark):
+    texts = [(0, "some text"), (1, "other text"), (2, "\x7f\u07ff some")] + [(i, "") for i in range(3, 66_000)] + [(-1, "a text")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(1)
+    found = {r.doc_id: r for r in ppm.score(rows, F.col("doc_id") != 1).collect()}
+    brute = Brute([t for i, t in texts if i != 1])
+    assert len(found) == len(texts)
+    for i, t in texts[:5] + texts[-2:]:
+        assert math.isclose(found[i].score, brute.score(t), rel_tol=1e-9)
+        assert math.isclose(found[i].base_score, brute.base(t), rel_tol=1e-9)
+
+
 def test_probabilities_sum_to_one():
     brute = Brute(["banana bandana", "ananas", ""])
     keys, counts = np.unique(np.concatenate([ppm.grams([Brute.padded(t)])[0] for t in ("banana bandana", "ananas", "")]), return_counts=True)
