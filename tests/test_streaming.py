@@ -252,3 +252,74 @@ def test_crawl_rows_without_redirect_do_not_meet_in_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(sizes) < sum(sizes) / 2
+
+
+def _requests_and_crawl(spark):
+    """Requests of urls with redirects, failures, two crawl rows, none, off the list; and the crawl rows."""
+    from gleaner import schemas as S
+    from gleaner.sources import allowlist as AS
+    from gleaner.streaming import ingest as SI
+
+    al = AS.from_rows(spark, [dict(domain="tides.example", purpose="x", ttl_class="airline", added_at="2024-01-01")])
+    t0, site = dt.datetime(2024, 1, 1), "https://tides.example/"
+
+    def html(word):
+        body = f"High water comes {word} every day. " * 20
+        return bytearray(f"<html><head><title>{word}</title></head><body><article><p>{body}</p></article></body></html>".encode())
+
+    crawl = spark.createDataFrame([
+        (site + "a", 200, "text/html", html("a"), None, None), (site + "b", 200, "text/html", html("b"), None, site + "a"),
+        (site + "c", 404, "text/html", html("c"), None, ""), (site + "d", 200, "text/html", html("d1"), None, None),
+        (site + "d", 200, "text/html", html("d2"), None, site + "a"), (site + "e", 0, None, None, "AbortError", site + "a"),
+        ("https://elsewhere.example/", 200, "text/html", html("off"), None, site + "a"),
+        (site + "unasked", 200, "text/html", html("u"), None, None)], S.CRAWL)
+    names = ["a", "b", "a", "d", "c", "e", "a", "b", "d", "e", "nowhere", "a", "c"]
+    urls = [site + n for n in names] + ["https://elsewhere.example/"] * 2 + [site + "a"] * 30 + ["https://elsewhere.example/"]
+    asked = spark.createDataFrame([(u, seq, t0 + dt.timedelta(minutes=seq), "agent", f"task:{seq}") for seq, u in enumerate(urls)],
+                                  SI.REQUESTED)
+    return al, asked, crawl
+
+
+def test_ingest_of_requests_equals_that_of_fetched_rows(spark, tmp_path, monkeypatch):
+    from gleaner.streaming import ingest as SI
+
+    monkeypatch.setattr(SI, "SHARE", 4)
+    al, asked, crawl = _requests_and_crawl(spark)
+    got = {}
+    for way, rows_of, make in (("fetched", lambda b: SI.page_rows(b, al), lambda r: r.join(crawl, "url").select(*SI.FETCHED.fieldNames())),
+                               ("asked", lambda b: SI.page_rows(b, al, crawl=crawl), lambda r: r)):
+        write = SI.make_batch_writer(f"{tmp_path}/{way}/s", f"{tmp_path}/{way}/p", rows_of=rows_of)
+        for n, part in enumerate((asked.where("crawl_seq < 8"), asked.where("crawl_seq between 8 and 12"), asked.where("crawl_seq > 12"))):
+            write(make(part), n)
+        got[way] = [[sorted(map(repr, SI.latest_snapshot(spark, f"{tmp_path}/{way}/s", as_of=n).collect())) for n in range(3)],
+                    sorted(map(repr, SI.provenance_log(spark, f"{tmp_path}/{way}/p").collect()))]
+    assert got["asked"] == got["fetched"] and len(got["asked"][0][2]) == 4 and len(got["asked"][1]) == 40
+
+
+def test_rows_of_a_hot_url_are_not_made_in_one_task(spark, monkeypatch):
+    from gleaner.streaming import ingest as SI
+
+    monkeypatch.setattr(SI, "SHARE", 4)
+    _, asked, crawl = _requests_and_crawl(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = [[r.crawl_seq for r in p if r.url.endswith("/a")]
+                 for p in SI.with_crawl(asked, crawl, SI.shares(asked)).select("url", "crawl_seq").rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(s for p in parts for s in p) == sorted(r.crawl_seq for r in asked.collect() if r.url.endswith("/a"))
+    assert max(map(len, parts)) < 34
+
+
+def test_crawl_ingest_does_not_store_a_body_per_request(spark):
+    from gleaner.plans import q_streaming as QS
+    from gleaner.streaming import ingest as SI
+
+    root = QS._ingested(spark, "/root/testdata/sf0.001")
+    asked = spark.read.parquet(f"{root}/in")
+    assert asked.count() == QS.fetch_log(spark, "/root/testdata/sf0.001").count() > 0
+    assert "body" not in asked.columns
+    assert len(SI._complete(spark, f"{root}/provenance", "batch")) == 3
