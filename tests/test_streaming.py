@@ -323,3 +323,16 @@ def test_crawl_ingest_does_not_store_a_body_per_request(spark):
     assert asked.count() == QS.fetch_log(spark, "/root/testdata/sf0.001").count() > 0
     assert "body" not in asked.columns
     assert len(SI._complete(spark, f"{root}/provenance", "batch")) == 3
+
+
+def test_bodies_of_hosts_off_the_list_are_not_joined(spark, monkeypatch):
+    from gleaner.operators import allowlist as A
+    from gleaner.streaming import ingest as SI
+
+    al, asked, crawl = _requests_and_crawl(spark)
+    joined, join = [], SI.with_crawl
+    monkeypatch.setattr(SI, "with_crawl", lambda requests, table, many: joined.append(table) or join(requests, table, many))
+    whole = sorted(map(repr, SI.page_rows(asked, al, crawl=crawl).collect()))
+    assert whole == sorted(map(repr, SI.page_rows(asked, al, entries=A.host_entries(asked, "url", al), crawl=crawl).collect()))
+    for table in joined:
+        assert {r.url for r in table.collect()} == {f"https://tides.example/{n}" for n in ("a", "b", "c", "d", "e", "unasked")}
