@@ -280,6 +280,13 @@ def _requests_and_crawl(spark):
     return al, asked, crawl
 
 
+def _heads_and_bodies(crawl):
+    from pyspark.sql import functions as F
+
+    rows = crawl.withColumn("fetch_id", F.xxhash64("url", "body"))
+    return rows.drop("body"), rows.select("fetch_id", "url", "body")
+
+
 def test_ingest_of_requests_equals_that_of_fetched_rows(spark, tmp_path, monkeypatch):
     from gleaner.streaming import ingest as SI
 
@@ -287,7 +294,7 @@ def test_ingest_of_requests_equals_that_of_fetched_rows(spark, tmp_path, monkeyp
     al, asked, crawl = _requests_and_crawl(spark)
     got = {}
     for way, rows_of, make in (("fetched", lambda b: SI.page_rows(b, al), lambda r: r.join(crawl, "url").select(*SI.FETCHED.fieldNames())),
-                               ("asked", lambda b: SI.page_rows(b, al, crawl=crawl), lambda r: r)):
+                               ("asked", lambda b: SI.page_rows(b, al, crawl=_heads_and_bodies(crawl)), lambda r: r)):
         write = SI.make_batch_writer(f"{tmp_path}/{way}/s", f"{tmp_path}/{way}/p", rows_of=rows_of)
         for n, part in enumerate((asked.where("crawl_seq < 8"), asked.where("crawl_seq between 8 and 12"), asked.where("crawl_seq > 12"))):
             write(make(part), n)
@@ -306,7 +313,7 @@ def test_rows_of_a_hot_url_are_not_made_in_one_task(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         parts = [[r.crawl_seq for r in p if r.url.endswith("/a")]
-                 for p in SI.with_crawl(asked, crawl, SI.shares(asked)).select("url", "crawl_seq").rdd.glom().collect()]
+                 for p in SI.with_crawl(asked, *_heads_and_bodies(crawl), SI.shares(asked)).select("url", "crawl_seq").rdd.glom().collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -331,8 +338,23 @@ def test_bodies_of_hosts_off_the_list_are_not_joined(spark, monkeypatch):
 
     al, asked, crawl = _requests_and_crawl(spark)
     joined, join = [], SI.with_crawl
-    monkeypatch.setattr(SI, "with_crawl", lambda requests, table, many: joined.append(table) or join(requests, table, many))
-    whole = sorted(map(repr, SI.page_rows(asked, al, crawl=crawl).collect()))
-    assert whole == sorted(map(repr, SI.page_rows(asked, al, entries=A.host_entries(asked, "url", al), crawl=crawl).collect()))
+    monkeypatch.setattr(SI, "with_crawl", lambda requests, heads, bodies, many: joined.append(bodies) or join(requests, heads, bodies, many))
+    whole = sorted(map(repr, SI.page_rows(asked, al, crawl=_heads_and_bodies(crawl)).collect()))
+    assert whole == sorted(map(repr, SI.page_rows(asked, al, entries=A.host_entries(asked, "url", al), crawl=_heads_and_bodies(crawl)).collect()))
     for table in joined:
         assert {r.url for r in table.collect()} == {f"https://tides.example/{n}" for n in ("a", "b", "c", "d", "e", "unasked")}
+
+
+def test_crawl_rows_of_equal_pages_are_found_apart(spark, tmp_path):
+    from gleaner import schemas as S
+    from gleaner.sources import fixtures as FX
+    from gleaner.streaming import ingest as SI
+
+    schema = "page_id long, url string, html string"
+    pages = [(i, f"https://example.com/{i}", f"<p>{i}</p>") for i in range(8)] + [(1, "https://example.com/1", "<p>1</p>"), (2, "https://example.com/2", "<p>two</p>"),
+                                                                                 (None, "https://example.com/0", "<p>no number</p>")]
+    spark.createDataFrame(pages, schema).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    crawl = FX.redirecting_crawl(spark, str(tmp_path)).where("crawl_seq = 1").select(*S.CRAWL.fieldNames())
+    asked = crawl.select("url").distinct().selectExpr("url", "xxhash64(url) as crawl_seq")
+    got = SI.with_crawl(asked, *FX.heads_and_bodies(spark, str(tmp_path)), SI.shares(asked)).drop("crawl_seq")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, crawl.collect()))
